@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def shared_key_pairs(items: DataFrame, member: str, key: str, min_shared: int, blocks: int = 8) -> DataFrame:
+def shared_key_pairs(
+    items: DataFrame,
+    member: str,
+    key: str,
+    min_shared: int,
+    carry: Sequence[str] = (),
+    aggs: Sequence[Column] = (),
+    blocks: int = 8,
+) -> DataFrame:
     """All pairs a < b with at least ``min_shared`` common keys: (a, b, common, n_a, n_b).
 
+    With ``carry`` the items hold one row per (member, key) and ``aggs`` may aggregate
+    over the common keys using ``<column>_a`` and ``<column>_b``.
+
     Prefix filter, exact: order each member's keys from rare to common.  Two members
     with s common keys must meet in the first n - s + 1 keys of both, so the s - 1 most
     common keys of a member never generate a pair.  A key held by a third of all
@@ -16,7 +29,9 @@ def shared_key_pairs(items: DataFrame, member: str, key: str, min_shared: int, b
     which are true results.  What a key does generate is split over blocks x blocks
     tasks, so no task pairs a whole group.
     """
-    have = items.select(F.col(member).alias("m"), F.col(key).alias("k")).distinct()
+    have = items.select(F.col(member).alias("m"), F.col(key).alias("k"), *carry)
+    if not carry:
+        have = have.distinct()
     freq = have.groupBy("k").agg(F.count("*").alias("f"))
     rare_first = Window.partitionBy("m").orderBy("f", "k")
     whole = Window.partitionBy("m")
@@ -32,13 +47,13 @@ def shared_key_pairs(items: DataFrame, member: str, key: str, min_shared: int, b
     a = prefix.select("k", F.col("m").alias("a"), F.col("blk").alias("ba"), F.explode(every).alias("bb"))
     b = prefix.select("k", F.col("m").alias("b"), F.explode(every).alias("ba"), F.col("blk").alias("bb"))
     meet = a.join(b, ["k", "ba", "bb"]).where("a < b").select("a", "b").distinct()
-    sized = ranked.select("m", "k", "n")
-    left = sized.select(F.col("m").alias("a"), "k", F.col("n").alias("n_a"))
-    right = sized.select(F.col("m").alias("b"), "k", F.col("n").alias("n_b"))
+    def side(name):
+        return ranked.select(F.col("m").alias(name), "k", *[F.col(c).alias(f"{c}_{name}") for c in ("n", *carry)])
+
     return (
-        meet.join(left, "a")
-        .join(right, ["b", "k"])
+        meet.join(side("a"), "a")
+        .join(side("b"), ["b", "k"])
         .groupBy("a", "b")
-        .agg(F.count("*").alias("common"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+        .agg(F.count("*").alias("common"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), *aggs)
         .where(F.col("common") >= min_shared)
     )
