@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["tables", "serving"]
+MODULES = ["tables", "serving", "windows"]
 
 
 def load() -> None:

@@ -20,26 +20,28 @@ class Entry:
     build: Callable[[Tables], DataFrame]
     sql: str | None
     doubles: tuple[str, ...]
+    digits: int
 
 
 ENTRIES: dict[str, Entry] = {}
 
 
-def add(name: str, build: Callable[[Tables], DataFrame], sql: str | None = None, doubles: str = "") -> None:
+def add(name: str, build: Callable[[Tables], DataFrame], sql: str | None = None, doubles: str = "", digits: int = DIGITS) -> None:
     """Register a query; ``doubles`` names its double columns (rounded on both sides)."""
     if name in ENTRIES:
         raise ValueError(f"duplicate query {name}")
-    ENTRIES[name] = Entry(build, sql, tuple(doubles.split()))
+    ENTRIES[name] = Entry(build, sql, tuple(doubles.split()), digits)
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six places, with -0.0 made 0.0: sums differ in the last bits by order."""
-    doubles = {f.name: F.round(f.name, DIGITS) + F.lit(0.0) for f in df.schema if isinstance(f.dataType, DoubleType)}
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """Doubles to a fixed number of places, with -0.0 made 0.0: sums differ in the last bits by order."""
+    doubles = {f.name: F.round(f.name, digits) + F.lit(0.0) for f in df.schema if isinstance(f.dataType, DoubleType)}
     return df.withColumns(doubles) if doubles else df
 
 
 def run(name: str, spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(ENTRIES[name].build(Tables(spark, folder)))
+    entry = ENTRIES[name]
+    return rounded(entry.build(Tables(spark, folder)), entry.digits)
 
 
 def oracle(name: str) -> str | None:
@@ -48,6 +50,6 @@ def oracle(name: str) -> str | None:
         return None
     sql = with_views(entry.sql)
     if entry.doubles:
-        parts = ", ".join(f"round(CAST({c} AS DOUBLE), {DIGITS}) + 0e0 AS {c}" for c in entry.doubles)
+        parts = ", ".join(f"round(CAST({c} AS DOUBLE), {entry.digits}) + 0e0 AS {c}" for c in entry.doubles)
         sql = f"SELECT * REPLACE ({parts}) FROM ({sql}) AS result"
     return sql

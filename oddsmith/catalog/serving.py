@@ -220,12 +220,12 @@ SELECT condition_id, (2 * sum(i * x) - (count(*) + 1) * sum(x)) / (count(*) * su
 
 
 def listings(t):
-    return t.part.select(F.col("p_brand").alias("district"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_retailprice")).otherwise(0.0).alias("price"),
+    return t.part.select(F.col("p_brand").alias("district"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_retailprice") / 7).otherwise(0.0).alias("price"),
                          F.col("p_type").alias("source"))
 
 
 add("listing_stats", lambda t: A.listing_stats(listings(t)), """
-WITH l AS (SELECT p_brand AS district, CASE WHEN p_partkey % 4 <> 0 THEN p_retailprice ELSE 0 END AS price, p_type AS source FROM part),
+WITH l AS (SELECT p_brand AS district, CASE WHEN p_partkey % 4 <> 0 THEN p_retailprice / 7 ELSE 0 END AS price, p_type AS source FROM part),
 r AS (SELECT *, row_number() OVER (PARTITION BY district ORDER BY price) AS rn, count(*) OVER (PARTITION BY district) AS n FROM l WHERE price > 0)
 SELECT district, count(*) AS listings, sum(price) / count(*) AS avg_price, count(DISTINCT source) AS sources,
   (SELECT r.price FROM r WHERE r.district = l.district AND r.rn = r.n // 2 + 1) AS median_price FROM l GROUP BY 1""", "avg_price median_price")

@@ -28,7 +28,7 @@ def top_markets(markets: DataFrame, n: int = 20) -> DataFrame:
 
 
 def top_movers(markets: DataFrame, n: int = 20) -> DataFrame:
-    now = F.try_element_at("outcome_prices", F.lit(1))
+    now = F.get("outcome_prices", F.lit(0))
     moved = markets.where(is_open()).select(
         "condition_id", "question", now.alias("price"), F.col("one_day_price_change").alias("change"), "volume_24h"
     ).withColumn("previous", F.col("price") - F.col("change"))
