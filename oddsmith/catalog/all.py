@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["tables", "serving", "windows"]
+MODULES = ["tables", "serving", "windows", "signals"]
 
 
 def load() -> None:
