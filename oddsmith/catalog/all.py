@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["tables", "serving", "windows", "signals"]
+MODULES = ["tables", "serving", "windows", "signals", "calibration"]
 
 
 def load() -> None:

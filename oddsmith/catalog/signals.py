@@ -70,8 +70,8 @@ SCORED_SQL = f"""SELECT event_id, transaction_hash, wallet, hours_before, correc
     CASE WHEN (direction = 'up' AND side = 'BUY') OR (direction = 'down' AND side = 'SELL') THEN 1 ELSE 0 END AS correct
   FROM ({EVENTS_SQL}) e JOIN activity a ON a.condition_id = e.condition_id AND a.ts < e.window_start AND a.ts >= e.window_start - INTERVAL 24 HOUR
   QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts DESC, transaction_hash DESC) <= 200)"""
-add("pre_news_trade_score", lambda t: scored(t).select("event_id", "transaction_hash", "wallet", "hours_before", "correct", "pre_news_score"), SCORED_SQL,
-    "hours_before pre_news_score", digits=9)
+add("pre_news_trade_score", lambda t: scored(t).select("event_id", "transaction_hash", "wallet", "correct", "pre_news_score"), f"SELECT * EXCLUDE (hours_before) FROM ({SCORED_SQL})",
+    "pre_news_score", digits=9)
 
 
 def stats(t):
