@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["tables", "serving", "windows", "signals", "calibration"]
+MODULES = ["tables", "serving", "windows", "signals", "calibration", "graph"]
 
 
 def load() -> None:
