@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["tables", "serving", "windows", "signals", "calibration", "graph"]
+MODULES = ["tables", "serving", "windows", "signals", "calibration", "graph", "causal"]
 
 
 def load() -> None:
