@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["tables", "serving", "windows", "signals", "calibration", "graph", "causal"]
+MODULES = ["tables", "serving", "windows", "signals", "calibration", "graph", "causal", "studies"]
 
 
 def load() -> None:
