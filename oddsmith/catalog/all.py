@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["tables", "serving", "windows", "signals", "calibration", "graph", "causal", "studies"]
+MODULES = ["tables", "serving", "windows", "signals", "calibration", "graph", "causal", "studies", "news"]
 
 
 def load() -> None:

@@ -112,10 +112,9 @@ def impute_scale(df: DataFrame, cols: Sequence[str], split: str = "split", train
     constant columns is decided on the driver.
     """
     base = df.where(F.col(split) == train)
-    medians = None
-    for c in cols:
-        q = exact_quantiles(base, [], c, {f"_med_{c}": 0.5})
-        medians = q if medians is None else medians.crossJoin(F.broadcast(q))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols]))
+    found = exact_quantiles(base.select(cells.alias("c")).select("c.*"), ["feature"], "x", {"median": 0.5})
+    medians = found.groupBy().pivot("feature", list(cols)).agg(F.first("median")).select(*[F.col(c).alias(f"_med_{c}") for c in cols])  # one row
     filled = df.crossJoin(F.broadcast(medians)).select(*[c for c in df.columns if c not in cols], *[F.coalesce(F.col(c), F.col(f"_med_{c}"), F.lit(0.0)).alias(c) for c in cols])
     stats = filled.where(F.col(split) == train).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
     spread = stats.first()
