@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["tables", "serving", "windows", "signals", "calibration", "graph", "causal", "studies", "news"]
+MODULES = ["tables", "serving", "windows", "signals", "calibration", "graph", "causal", "studies", "news", "streaming"]
 
 
 def load() -> None:
