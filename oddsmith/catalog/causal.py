@@ -68,14 +68,14 @@ def correlations(t):
 
 add("pairwise_correlation", correlations, f"""
 WITH {YES_SQL}, d AS (SELECT * FROM (SELECT token_id, bucket, price - lag(price) OVER (PARTITION BY token_id ORDER BY bucket) AS v FROM ys) WHERE v IS NOT NULL)
-SELECT src, dst, coalesce(corr(x.v, y.v), 0) AS r, count(*) AS n FROM pr JOIN d x ON x.token_id = src JOIN d y ON y.token_id = dst AND y.bucket = x.bucket WHERE src < dst GROUP BY ALL""", "r")
+SELECT src, dst, coalesce(covar_pop(x.v, y.v) / nullif(stddev_pop(x.v) * stddev_pop(y.v), 0), 0) AS r, count(*) AS n FROM pr JOIN d x ON x.token_id = src JOIN d y ON y.token_id = dst AND y.bucket = x.bucket WHERE src < dst GROUP BY ALL""", "r")
 add("pc_dag", lambda t: C.pc_dag(correlations(t), 0.2))
 add("merge_evidence", lambda t: C.merge_evidence(C.pc_dag(correlations(t), 0.2), C.granger_matrix(yes_series(t), pairs(t), 3), 0.2))
 
 
 def event_panel(t):
-    """Per event the series of its markets; the first market is the treated one."""
-    k = tokens(t)
+    """Per event the series of its first market, the treated one, and of up to twenty controls."""
+    k = limit_by(tokens(t), ["event_slug"], [F.asc("token_id")], 21)
     first = k.groupBy("event_slug").agg(F.min("token_id").alias("event_id"))
     rows = k.join(first, "event_slug").join(yes_series(t), "token_id")
     return rows.select("event_id", F.lit(EVENT_TIME).cast("timestamp").alias("event_time"), "token_id", F.when(F.col("token_id") == F.col("event_id"), 1).otherwise(0).alias("treated"), "bucket", "price")
@@ -100,7 +100,7 @@ lk AS (SELECT a.token_id, b.token_id AS of_id FROM tk a JOIN tk b ON a.event_slu
 im AS (SELECT lk.token_id, avg(move) AS impact, stddev_pop(move) AS impact_std, count(*) AS analogies FROM lk JOIN bk ON bk.token_id = of_id GROUP BY 1),
 px AS (SELECT token_id, arg_max(price, ROW(ts, trade_id)) AS current_price FROM trades WHERE outcome = 'Yes' GROUP BY 1)
 SELECT token_id, current_price, coalesce(impact, 0) AS impact, coalesce(impact_std, 0) AS impact_std, coalesce(analogies, 0) AS analogies,
-  least(1, greatest(0, current_price + coalesce(impact, 0))) AS projected_price FROM px LEFT JOIN im USING (token_id)""", "current_price impact impact_std projected_price")
+  least(1, greatest(0, current_price + coalesce(impact, 0))) AS projected_price FROM px LEFT JOIN im USING (token_id)""", "current_price impact impact_std projected_price", digits=9)
 
 
 def signals(t):

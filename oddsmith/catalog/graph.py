@@ -56,7 +56,7 @@ d AS (SELECT src AS node, count(DISTINCT dst) AS d FROM f GROUP BY 1),
 tr AS (SELECT x.src AS node, count(*) AS t FROM f x JOIN f y ON x.src = y.src AND x.dst < y.dst JOIN f z ON z.src = x.dst AND z.dst = y.dst GROUP BY 1),
 c AS (SELECT avg(2e0 * coalesce(t, 0) / (d * (d - 1))) AS clustering FROM d LEFT JOIN tr USING (node) WHERE d >= 2)
 SELECT (SELECT count(*) FROM d) AS nodes, (SELECT avg(d) FROM d) AS avg_degree, (SELECT count(*) FROM e) AS edges, (SELECT min(weight) FROM e) AS min_weight, (SELECT max(weight) FROM e) AS max_weight,
-  (SELECT median(weight) FROM e) AS median_weight, (SELECT coalesce(clustering, 0) FROM c) AS clustering, 2e0 * (SELECT count(*) FROM e) / ((SELECT count(*) FROM d) * ((SELECT count(*) FROM d) - 1)) AS density""",
+  (SELECT median(weight) FROM e) AS median_weight, (SELECT coalesce(clustering, 0) FROM c) AS clustering, CASE WHEN (SELECT count(*) FROM d) > 1 THEN 2e0 * (SELECT count(*) FROM e) / ((SELECT count(*) FROM d) * ((SELECT count(*) FROM d) - 1)) ELSE 0 END AS density""",
     "avg_degree min_weight max_weight median_weight clustering density")
 
 

@@ -37,6 +37,13 @@ def ratio_or_null(num: str | Column, den: str | Column) -> Column:
     return col(num) / F.nullif(col(den).cast("double"), F.lit(0.0))
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation, null when a side is constant (corr() fails on that under ANSI)."""
+    both = col(x).isNotNull() & col(y).isNotNull()
+    a, b = F.when(both, col(x)), F.when(both, col(y))
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def sum_if(cond: Column, value: str | Column) -> Column:
     return F.sum(F.when(cond, col(value)).otherwise(0.0))
 

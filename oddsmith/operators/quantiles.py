@@ -56,4 +56,5 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, wanted: dict[s
         hi = F.max(F.when((F.col("_w.name") == name) & (F.col("_w.side") == "hi"), F.col("_x")))
         pos = F.lit(p) * (F.max("_total") - 1)
         out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    return hits.groupBy(*keys).agg(*out).select(*by, *wanted)
+    # without groups there is always one row, of nulls when there are no values
+    return hits.groupBy(*keys).agg(*out).select(*by, *wanted) if by else hits.agg(*out)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from oddsmith.functions.scalars import clamp
+from oddsmith.functions.scalars import clamp, correlation
 from oddsmith.session import cut_lineage
 
 SERIES_KEY = ["token_id"]
@@ -100,7 +100,7 @@ def pairwise_correlation(changes: DataFrame, pairs: DataFrame, value: str = "dif
     """Pearson correlation of the given pairs over their common buckets: (src, dst, r, n)."""
     a = changes.select(F.col("token_id").alias("src"), "bucket", F.col(value).alias("x"))
     b = changes.select(F.col("token_id").alias("dst"), "bucket", F.col(value).alias("y"))
-    out = pairs.join(a, "src").join(b, ["dst", "bucket"]).groupBy("src", "dst").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
+    out = pairs.join(a, "src").join(b, ["dst", "bucket"]).groupBy("src", "dst").agg(correlation("x", "y").alias("r"), F.count("*").alias("n"))
     return out.withColumn("r", F.coalesce("r", F.lit(0.0)))
 
 
@@ -377,7 +377,7 @@ def signal_ensemble(
     try:
         scores = {r["signal"]: r for r in signal_accuracy(signals.where(F.col("signal").isin(names))).collect()}
         pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-        corr = wide.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs]).first() if pairs else {}
+        corr = wide.agg(*[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs]).first() if pairs else {}
         active: list[str] = []
         out = []
         for name in names:
@@ -388,7 +388,7 @@ def signal_ensemble(
             if row is None or (row["in_sample"] or 0) < min_in or (row["out_of_sample"] or 0) < min_out:
                 continue
             links = [corr[f"{a}|{name}"] for a in active]
-            links = [abs(c) for c in links if c is not None and c == c]
+            links = [abs(c) for c in links if c is not None]
             entry["uniqueness"] = 1.0 - sum(links) / len(links) if links else 1.0
             if entry["uniqueness"] < min_unique:
                 continue

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddsmith.functions.scalars import ladder_template, ou_threshold
+from oddsmith.functions.scalars import correlation, ladder_template, ou_threshold
 from oddsmith.operators.quantiles import exact_quantiles
 
 KEY = ["event_slug", "ladder"]
@@ -97,8 +97,8 @@ def ladder_summary(ladders: DataFrame) -> DataFrame:
     """One row: sizes, shares and the correlations of calibration with incoherence."""
     return ladders.agg(
         F.count("*").alias("ladders"), F.sum("n_markets").alias("markets"), F.avg("curve_brier").alias("mean_curve_brier"),
-        F.avg(F.when(F.col("arbitrage_count") > 0, 1.0).otherwise(0.0)).alias("share_arbitrage"), F.corr("atm_brier", "curve_brier").alias("corr_atm_curve"),
-        F.corr("atm_brier", F.abs("mean_error")).alias("corr_atm_error"), F.corr("curve_brier", "arbitrage_edge").alias("corr_curve_edge"))
+        F.avg(F.when(F.col("arbitrage_count") > 0, 1.0).otherwise(0.0)).alias("share_arbitrage"), correlation("atm_brier", "curve_brier").alias("corr_atm_curve"),
+        correlation("atm_brier", F.abs("mean_error")).alias("corr_atm_error"), correlation("curve_brier", "arbitrage_edge").alias("corr_curve_edge"))
 
 
 def decoupled_ladders(ladders: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddsmith.functions.scalars import clamp
+from oddsmith.functions.scalars import clamp, correlation
 from oddsmith.operators.graph import both_ways, spread_intensity, triangles_per_node
 from oddsmith.operators.quantiles import exact_quantiles
 from oddsmith.operators.versions import limit_by
@@ -47,7 +47,7 @@ def market_similarity(top: DataFrame, holders: DataFrame, bars: DataFrame, signa
     rets = bars.join(ids, "condition_id", "left_semi").withColumn("r", F.when((F.col("close") > 0) & (prev > 0), F.ln(F.col("close") / F.nullif(prev, F.lit(0.0))))).where("r is not null")
     both = rets.select(F.col("condition_id").alias("a"), "bar_time", F.col("r").alias("ra")).join(
         rets.select(F.col("condition_id").alias("b"), "bar_time", F.col("r").alias("rb")), "bar_time").where("a < b")
-    corr = both.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("c"), F.stddev_pop("ra").alias("sa"), F.stddev_pop("rb").alias("sb")).where(
+    corr = both.groupBy("a", "b").agg(F.count("*").alias("n"), correlation("ra", "rb").alias("c"), F.stddev_pop("ra").alias("sa"), F.stddev_pop("rb").alias("sb")).where(
         (F.col("n") >= min_common) & (F.col("sa") > 1e-10) & (F.col("sb") > 1e-10)).select("a", "b", F.abs("c").alias("correlation"))
     vec = signals.join(ids, "condition_id", "left_semi").select("condition_id", F.array(*[F.col(c).cast("double") for c in SIGNALS]).alias("v"))
     vec = vec.withColumn("len", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).where("len > 1e-10")
