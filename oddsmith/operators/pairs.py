@@ -14,21 +14,23 @@ def shared_key_pairs(
     key: str,
     min_shared: int,
     carry: Sequence[str] = (),
-    aggs: Sequence[Column] = (),
+    sums: dict[str, Column] | None = None,
     blocks: int = 8,
 ) -> DataFrame:
     """All pairs a < b with at least ``min_shared`` common keys: (a, b, common, n_a, n_b).
 
-    With ``carry`` the items hold one row per (member, key) and ``aggs`` may aggregate
-    over the common keys using ``<column>_a`` and ``<column>_b``.
+    With ``carry`` the items hold one row per (member, key), and ``sums`` are added up
+    over the common keys from ``<column>_a`` and ``<column>_b``.
 
     Prefix filter, exact: order each member's keys from rare to common.  Two members
     with s common keys must meet in the first n - s + 1 keys of both, so the s - 1 most
-    common keys of a member never generate a pair.  A key held by a third of all
-    members therefore only pairs members that also share other keys just as common,
-    which are true results.  What a key does generate is split over blocks x blocks
-    tasks, so no task pairs a whole group.
+    common keys of a member (its suffix) never generate a pair.  A key held by a third
+    of all members therefore only pairs members that also share other keys just as
+    common, which are true results.  What a key does generate is split over
+    blocks x blocks tasks, so no task pairs a whole group.  The suffix keys, s - 1 per
+    member, are looked up afterwards for the pairs that were found.
     """
+    sums = sums or {}
     have = items.select(F.col(member).alias("m"), F.col(key).alias("k"), *carry)
     if not carry:
         have = have.distinct()
@@ -41,19 +43,26 @@ def shared_key_pairs(
         .withColumn("n", F.count("*").over(whole))
         .where(F.col("n") >= min_shared)
     )
-    prefix = ranked.where(F.col("r") <= F.col("n") - (min_shared - 1)).select("m", "k")
-    prefix = prefix.withColumn("blk", F.pmod(F.hash("m"), F.lit(blocks)))
+    in_prefix = F.col("r") <= F.col("n") - (min_shared - 1)
+    prefix, suffix = ranked.where(in_prefix), ranked.where(~in_prefix)
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(F.col("m").alias(name), "k", *[F.col(c).alias(f"{c}_{name}") for c in ("n", *carry)])
+
+    def total(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("a", "b").agg(
+            F.count("*").alias("common"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), *[F.sum(c).alias(n) for n, c in sums.items()])
+
     every = F.array(*[F.lit(i) for i in range(blocks)])
-    a = prefix.select("k", F.col("m").alias("a"), F.col("blk").alias("ba"), F.explode(every).alias("bb"))
-    b = prefix.select("k", F.col("m").alias("b"), F.explode(every).alias("ba"), F.col("blk").alias("bb"))
-    meet = a.join(b, ["k", "ba", "bb"]).where("a < b").select("a", "b").distinct()
-    def side(name):
-        return ranked.select(F.col("m").alias(name), "k", *[F.col(c).alias(f"{c}_{name}") for c in ("n", *carry)])
-
-    return (
-        meet.join(side("a"), "a")
-        .join(side("b"), ["b", "k"])
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("common"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), *aggs)
-        .where(F.col("common") >= min_shared)
-    )
+    a = side(prefix, "a").withColumn("ba", F.pmod(F.hash("a"), F.lit(blocks))).withColumn("bb", F.explode(every))
+    b = side(prefix, "b").withColumn("bb", F.pmod(F.hash("b"), F.lit(blocks))).withColumn("ba", F.explode(every))
+    found = total(a.join(b, ["k", "ba", "bb"]).where("a < b"))
+    if min_shared == 1:
+        return found
+    ids = found.select("a", "b")
+    rest = ids.join(side(suffix, "a"), "a").join(side(ranked, "b"), ["b", "k"]).unionByName(
+        ids.join(side(suffix, "b"), "b").join(side(prefix, "a"), ["a", "k"]))
+    more = total(rest).select("a", "b", *[F.col(c).alias(f"_{c}") for c in ("common", *sums)])
+    added = {c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in ("common", *sums)}
+    rows = found.join(more, ["a", "b"], "left").select("a", "b", "n_a", "n_b", *[e.alias(c) for c, e in added.items()])
+    return rows.where(F.col("common") >= min_shared)

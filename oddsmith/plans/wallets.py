@@ -141,8 +141,8 @@ def wallet_pairs(activity: DataFrame, as_of: Column, seconds: int = DAY, within:
     low, high = F.least("usd_a", "usd_b"), F.greatest("usd_a", "usd_b")
     pairs = shared_key_pairs(
         items, "wallet", "condition_id", min_shared, carry=["trades", "side", "usd"],
-        aggs=[F.count_if(F.col("side_a") == F.col("side_b")).alias("agree"), F.sum(F.col("trades_a") * F.col("trades_b")).alias("cross"),
-              F.avg(low / F.nullif(high, F.lit(0.0))).alias("size_similarity")])
+        sums={"agree": F.when(F.col("side_a") == F.col("side_b"), 1).otherwise(0), "cross": F.col("trades_a") * F.col("trades_b"),
+              "ratios": F.when(high > 0, low / F.nullif(high, F.lit(0.0))).otherwise(0.0), "rated": F.when(high > 0, 1).otherwise(0)})
     fills = recent.groupBy("condition_id", "wallet", "ts").agg(F.count("*").alias("n"))
     gap = F.make_dt_interval(secs=F.lit(within))
     near = range_join(
@@ -156,7 +156,7 @@ def wallet_pairs(activity: DataFrame, as_of: Column, seconds: int = DAY, within:
     return rows.select(
         "a", "b", "common", (F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("overlap"),
         (F.col("agree") / F.col("common")).alias("direction"), (F.coalesce("matches", F.lit(0)) / F.col("cross")).alias("timing"),
-        F.coalesce("size_similarity", F.lit(0.0)).alias("size_similarity"), (F.col("volume_a") + F.col("volume_b")).alias("total_volume"))
+        F.coalesce(F.col("ratios") / F.nullif("rated", F.lit(0)), F.lit(0.0)).alias("size_similarity"), (F.col("volume_a") + F.col("volume_b")).alias("total_volume"))
 
 
 def wallet_clusters(pairs: DataFrame, min_similarity: float = 0.6) -> DataFrame:
