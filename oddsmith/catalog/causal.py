@@ -100,7 +100,7 @@ lk AS (SELECT a.token_id, b.token_id AS of_id FROM tk a JOIN tk b ON a.event_slu
 im AS (SELECT lk.token_id, avg(move) AS impact, stddev_pop(move) AS impact_std, count(*) AS analogies FROM lk JOIN bk ON bk.token_id = of_id GROUP BY 1),
 px AS (SELECT token_id, arg_max(price, ROW(ts, trade_id)) AS current_price FROM trades WHERE outcome = 'Yes' GROUP BY 1)
 SELECT token_id, current_price, coalesce(impact, 0) AS impact, coalesce(impact_std, 0) AS impact_std, coalesce(analogies, 0) AS analogies,
-  least(1, greatest(0, current_price + coalesce(impact, 0))) AS projected_price FROM px LEFT JOIN im USING (token_id)""", "current_price impact impact_std projected_price", digits=9)
+  least(1, greatest(0, current_price + coalesce(impact, 0))) AS projected_price FROM px LEFT JOIN im USING (token_id)""", "current_price impact impact_std projected_price", digits=12)
 
 
 def signals(t):

@@ -57,25 +57,51 @@ FROM m JOIN pc USING (condition_id) LEFT JOIN vo USING (condition_id) LEFT JOIN
 add("lifecycle_features", lambda t: X.lifecycle_features(t.markets, t.trades, t.books, t.holders), LIFECYCLE_SQL, LIFE_COLS)
 
 
-def lots_with_history(t):
-    rows = W.artist_history(t.lots)
-    texts = lot_texts(t).select(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("lot_id"), "dims", "made")
-    rows = rows.withColumns({"estimate_low": F.col("p_retailprice") * 10, "estimate_high": F.col("p_retailprice") * 20 + F.col("l_quantity"), "title": F.col("p_name"), "medium": F.col("p_type"), "lot_position": F.col("lot_number")})
-    return rows.join(texts, "lot_id")
+CATEGORIES = ["painting", "sculpture", "print", "ceramic", "wine", "jewelry", "book", "asian_art", ""]
+CREATORS = ["artist", "maker", "unknown"]
 
 
-LOT_DOUBLES = ("log_price avg_log_price price_std prior_lots price_trend height_cm width_cm log_area aspect year age_at_sale log_estimate estimate_spread price_to_estimate month_sin month_cos log_lot_position price_vs_history l_extendedprice")
-LOT_SQL = f"""WITH h AS ({HISTORY_SQL}), x AS (SELECT h.*, sale_date, p_size, l_quantity, p_name, p_type, p_retailprice,
+def lots_with_history(t):
+    """Lots with artist history; the catalogue fields that the tables lack are derived from their keys."""
+    k, q = F.col("l_partkey"), F.col("l_quantity")
+    rows = W.artist_history(t.lots)
+    texts = lot_texts(t).select(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("lot_id"), S.parse_dimensions("dims").alias("s"), S.parse_creation_year("made").alias("y"))
+    pick = lambda values, c: F.element_at(F.array(*[F.lit(v) for v in values]), (c % len(values) + 1).cast("int"))
+    words = F.split("p_name", " ")
+    return rows.join(texts, "lot_id").withColumns({
+        "vital_status": pick(["alive", "dead", "unknown"], k), "birth_year": F.when(k % 4 != 0, 1850 + k % 80), "death_year": F.when(k % 3 == 1, 1930 + k % 60), "nationality": F.when(k % 2 == 0, F.col("artist")),
+        "height_cm": F.col("s.h"), "width_cm": F.col("s.w"), "depth_cm": F.col("s.d"), "creation_year": F.col("y.year"), "creation_approx": F.col("y.approx"), "category": pick(CATEGORIES, k),
+        "estimate_low": F.when(k % 7 != 0, F.col("p_retailprice") * 10), "estimate_high": F.col("p_retailprice") * 20 + q / 7.3, "estimate_low_usd": F.col("p_retailprice") * 8, "estimate_high_usd": F.col("p_retailprice") * 15 + q,
+        "sale_size": 7 + k % 5, "lot_position": F.col("lot_number"), "hammer_price": F.col("price"), "final_price": F.col("price") * (1 + F.col("l_tax")), "starting_bid": F.when(k % 6 != 0, F.col("price") * (1 - F.col("l_discount"))),
+        "num_bids": k % 9, "bidding_method": F.when(k % 2 == 0, "Online ").otherwise("room"), "reserve_met": F.when(k % 5 != 0, F.when(k % 5 > 2, 1).otherwise(0)), "creator_type": F.when(k % 4 != 3, pick(CREATORS, k)),
+        "artist_name_confidence": F.col("l_discount"), "dimensions_confidence": F.col("l_tax"), "medium_confidence": F.when(k % 3 == 0, 0.5), "creation_confidence": F.lit(None).cast("double"),
+        "provenance": words, "literature": F.when(k % 2 == 1, words), "exhibitions": F.array().cast("array<string>"), "title": F.col("p_name"), "description": F.col("p_name"), "signed": F.when(k % 3 == 0, "yes"),
+        "condition": F.lit(" "), "style": F.col("p_type"), "origin": F.when(k % 2 == 0, F.col("artist")), "accepts_crypto": F.when(F.col("l_returnflag") == "A", 1).otherwise(0), "guaranteed": F.when(k % 11 == 0, 1)})
+
+
+BASE_COLS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+LOT_EXPR = {
+    "log_price": "ln(l_extendedprice)", "is_living": "CASE k % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END", "artist_birth_year": "born", "artist_career_length": "CASE WHEN coalesce(died, 2025) - born > 0 THEN coalesce(died, 2025) - born END",
+    "is_rare_artist": "is_rare_artist", "artist_market_depth": "coalesce(ln(1 + prior_lots), 0)", "nationality_known": "(k % 2 = 0)::INT", "height_cm": "hc", "width_cm": "wc", "log_surface_area": "ln(hc * wc)", "aspect_ratio": "wc / hc",
+    "has_depth": "(p_size % 4 = 1)::INT", "creation_year": "made", "creation_is_approximate": "(p_size % 5 IN (0, 1, 2))::INT", "is_painting": "(k % 9 = 0)::INT", "is_sculpture": "(k % 9 = 1)::INT", "is_work_on_paper": "(k % 9 = 2)::INT",
+    "is_decorative": "(k % 9 = 3)::INT", "medium_known": "(k % 9 <> 8)::INT", "log_estimate_low": "ln(1 + el)", "log_estimate_high": "ln(1 + eh)", "log_estimate_mid": "ln(1 + (el + eh) / 2)", "estimate_spread": "(eh - el) / el",
+    "sale_month": "month(sale_date)", "sale_year_numeric": "year(sale_date)", "sale_day_of_week": "isodow(sale_date) - 1", "sale_size": "7 + k % 5", "lot_position_pct": "l_linenumber::DOUBLE / (7 + k % 5)", "artist_avg_log_price": "avg_log_price",
+    "artist_price_std": "price_std", "artist_prior_lots": "prior_lots", "artist_price_trend": "price_trend", "log_depth_cm": "CASE WHEN p_size % 4 = 1 THEN ln(8e0) ELSE 0 END", "age_at_creation": "CASE WHEN made - born >= 0 THEN made - born END",
+    "years_since_creation": "2025 - made", "artist_name_confidence": "l_discount", "dimensions_confidence": "l_tax", "medium_confidence": "CASE WHEN k % 3 = 0 THEN 5e-1 ELSE 0 END", "creation_confidence": "0",
+    "num_bids": "nullif(k % 9, 0)", "log_starting_bid": "ln(1 + sb)", "is_online_sale": "(k % 2 = 0)::INT", "reserve_met": "CASE WHEN k % 5 <> 0 THEN (k % 5 > 2)::INT END", "hammer_start_ratio": "l_extendedprice / sb",
+    "is_attributed_artist": "CASE WHEN k % 4 <> 3 THEN (k % 3 = 0)::INT END", "is_maker_not_artist": "CASE WHEN k % 4 <> 3 THEN (k % 3 = 1)::INT END", "provenance_count": "nw", "literature_count": "CASE WHEN k % 2 = 1 THEN nw ELSE 0 END",
+    "exhibition_count": "0", "title_length": "length(p_name)", "has_description": "(length(trim(p_name)) > 10)::INT", "has_signed_inscribed": "(k % 3 = 0)::INT", "has_condition_report": "0", "has_style_period": "1", "has_origin": "(k % 2 = 0)::INT",
+    "is_wine": "(k % 9 = 4)::INT", "is_jewelry": "(k % 9 = 5)::INT", "is_book": "(k % 9 = 6)::INT", "is_asian_art": "(k % 9 = 7)::INT", "has_crypto": "(l_returnflag = 'A')::INT", "is_guaranteed": "(k % 11 = 0)::INT",
+    "final_hammer_ratio": "1 + l_tax", "estimate_mid_usd": "ln(1 + (ul + uh) / 2)", "log_estimate_range_usd": "ln(1 + uh - ul)", "estimate_relative_level": "ln(1 + (ul + uh) / 2) - avg_log_price"}
+LOT_SQL = f"""WITH h AS ({HISTORY_SQL}), x AS (SELECT h.*, h.l_partkey AS k, sale_date, p_size, p_name, l_discount, l_tax, l_returnflag, len(string_split(p_name, ' ')) AS nw,
+  CASE WHEN h.l_partkey % 4 <> 0 THEN 1850 + h.l_partkey % 80 END AS born, CASE WHEN h.l_partkey % 3 = 1 THEN 1930 + h.l_partkey % 60 END AS died,
   CASE p_size % 4 WHEN 0 THEN l_quantity WHEN 1 THEN p_size WHEN 2 THEN (l_quantity + 5e-1) * 254e-2 END AS hc, CASE p_size % 4 WHEN 0 THEN CAST(p_size AS DOUBLE) WHEN 1 THEN l_quantity WHEN 2 THEN p_size * 254e-2 END AS wc,
-  CASE p_size % 5 WHEN 0 THEN 1900 + l_quantity WHEN 1 THEN 1850 WHEN 2 THEN floor((1900 + l_quantity + 1910 + p_size) / 2) WHEN 3 THEN 1900 + l_quantity END AS year,
-  p_retailprice * 10 AS el, p_retailprice * 20 + l_quantity AS eh FROM h JOIN lots ON auction = h.l_orderkey AND lot_number = h.l_linenumber AND lots.l_partkey = h.l_partkey AND lots.l_suppkey = h.l_suppkey AND price = h.l_extendedprice)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, ln(l_extendedprice) AS log_price, artist_lot_count, is_rare_artist, avg_log_price, price_std, prior_lots, price_trend, hc AS height_cm, wc AS width_cm,
-  ln(1 + hc * wc) AS log_area, hc / wc AS aspect, CASE WHEN p_size % 4 = 1 THEN 1 ELSE 0 END AS is_3d, year, CASE WHEN p_size % 5 IN (0, 1, 2) THEN 1 ELSE 0 END AS year_approx, year(sale_date) - year AS age_at_sale,
-  CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END AS is_promo, CASE WHEN p_type = 'ECONOMY' THEN 1 ELSE 0 END AS is_economy, ln((el + eh) / 2) AS log_estimate, (eh - el) / ((el + eh) / 2) AS estimate_spread,
-  l_extendedprice / ((el + eh) / 2) AS price_to_estimate, year(sale_date) AS sale_year, quarter(sale_date) AS sale_quarter, sin(2 * pi() * month(sale_date) / 12) AS month_sin, cos(2 * pi() * month(sale_date) / 12) AS month_cos,
-  CASE WHEN dayofweek(sale_date) IN (0, 6) THEN 1 ELSE 0 END AS is_weekend, l_linenumber AS lot_position, ln(1 + l_linenumber) AS log_lot_position, ln(l_extendedprice) - avg_log_price AS price_vs_history,
-  length(p_name) AS title_length, len(string_split(p_name, ' ')) AS title_words, {', '.join(f"CASE WHEN contains(lower(p_name), '{s}') THEN 1 ELSE 0 END AS style_{s}" for s in ('red', 'blue', 'small', 'large', 'ring', 'bolt'))} FROM x"""
-add("lot_features", lambda t: X.lot_features(lots_with_history(t), S.parse_dimensions("dims"), S.parse_creation_year("made")).select("lot_id.*", "*").drop("lot_id"), LOT_SQL, LOT_DOUBLES)
+  CASE p_size % 5 WHEN 0 THEN 1900 + l_quantity WHEN 1 THEN 1850 WHEN 2 THEN floor((1900 + l_quantity + 1910 + p_size) / 2) WHEN 3 THEN 1900 + l_quantity END AS made,
+  CASE WHEN h.l_partkey % 7 <> 0 THEN p_retailprice * 10 END AS el, p_retailprice * 20 + l_quantity / 73e-1 AS eh, p_retailprice * 8 AS ul, p_retailprice * 15 + l_quantity AS uh,
+  CASE WHEN h.l_partkey % 6 <> 0 THEN h.l_extendedprice * (1 - l_discount) END AS sb
+  FROM h JOIN lots ON auction = h.l_orderkey AND lot_number = h.l_linenumber AND lots.l_partkey = h.l_partkey AND lots.l_suppkey = h.l_suppkey AND price = h.l_extendedprice)
+SELECT {BASE_COLS}, {', '.join(f'{e} AS {n}' for n, e in LOT_EXPR.items())} FROM x"""
+add("lot_features", lambda t: X.lot_features(lots_with_history(t)).select("lot_id.*", "*").drop("lot_id"), LOT_SQL, "l_extendedprice " + " ".join(LOT_EXPR))
 
 
 def vectors(t, d=6):

@@ -83,26 +83,59 @@ def lifecycle_features(markets: DataFrame, trades: DataFrame, books: DataFrame,
     }).na.fill(0.0, zero).na.fill(0, ["total_holders"]).drop("start_date", "end_date", "cut", "category")
 
 
-def lot_features(history: DataFrame, dims: Column, made: Column) -> DataFrame:
-    """Projection over the lots with their artist history: size, age, medium, estimate, sale, ratios, text."""
-    rows = history.withColumns({"_d": dims, "_m": made})
-    h, w = F.col("_d.h"), F.col("_d.w")
-    area = h * w
-    low, high = F.col("estimate_low"), F.col("estimate_high")
-    mid = (low + high) / 2
-    month = F.month("sale_date")
-    text = F.lower("title")
-    flags = {f"style_{s}": F.when(F.contains(text, F.lit(s)), 1).otherwise(0) for s in ("red", "blue", "small", "large", "ring", "bolt")}
-    return rows.select(
-        "lot_id", F.ln("price").alias("log_price"), "artist_lot_count", "is_rare_artist", "avg_log_price", "price_std", "prior_lots", "price_trend",
-        h.alias("height_cm"), w.alias("width_cm"), F.log1p(area).alias("log_area"), (h / F.nullif(w, F.lit(0.0))).alias("aspect"), F.when(F.col("_d.d").isNotNull(), 1).otherwise(0).alias("is_3d"),
-        F.col("_m.year").cast("double").alias("year"), F.col("_m.approx").alias("year_approx"), (F.year("sale_date") - F.col("_m.year")).cast("double").alias("age_at_sale"),
-        F.when(F.col("medium") == "PROMO", 1).otherwise(0).alias("is_promo"), F.when(F.col("medium") == "ECONOMY", 1).otherwise(0).alias("is_economy"),
-        F.ln(mid).alias("log_estimate"), ((high - low) / F.nullif(mid, F.lit(0.0))).alias("estimate_spread"), (F.col("price") / F.nullif(mid, F.lit(0.0))).alias("price_to_estimate"),
-        F.year("sale_date").alias("sale_year"), F.quarter("sale_date").alias("sale_quarter"), F.sin(2 * 3.141592653589793 * month / 12).alias("month_sin"), F.cos(2 * 3.141592653589793 * month / 12).alias("month_cos"),
-        F.when(F.dayofweek("sale_date").isin(1, 7), 1).otherwise(0).alias("is_weekend"), "lot_position", F.log1p("lot_position").alias("log_lot_position"),
-        (F.ln("price") - F.col("avg_log_price")).alias("price_vs_history"), F.length("title").alias("title_length"), F.size(F.split("title", " ")).alias("title_words"),
-        *[c.alias(n) for n, c in flags.items()])
+def _positive(c: str) -> Column:
+    return F.when(F.col(c) > 0, F.col(c).cast("double"))
+
+
+def _known(c: str, longer_than: int = 0) -> Column:
+    return F.when(F.length(F.trim(F.col(c))) > longer_than, 1.0).otherwise(0.0)
+
+
+def _is(c: str, *values: str) -> Column:
+    return F.when(F.lower(F.trim(F.col(c))).isin(*values), 1.0).otherwise(0.0)
+
+
+def lot_features(lots: DataFrame, as_of_year: int = 2025) -> DataFrame:
+    """Feature groups of sold lots as one projection over lots with artist history.
+
+    artist, physical, medium, estimate, sale, history, derived sizes, extraction
+    confidence, bidding, creator, documents, text, style, category flags, payment, ratios.
+    """
+    h, w, d = _positive("height_cm"), _positive("width_cm"), _positive("depth_cm")
+    low, high = _positive("estimate_low"), _positive("estimate_high")
+    born, died, made = _positive("birth_year"), _positive("death_year"), _positive("creation_year")
+    hammer, start = _positive("hammer_price"), _positive("starting_bid")
+    usd_low, usd_high = _positive("estimate_low_usd"), _positive("estimate_high_usd")
+    career, age = F.coalesce(died, F.lit(float(as_of_year))) - born, made - born
+    mid, usd_mid = (low + high) / 2, (usd_low + usd_high) / 2
+    nothing = F.lit(0.0)
+    features = {
+        "is_living": F.when(F.col("vital_status") == "alive", 1.0).when(F.col("vital_status") == "dead", 0.0), "artist_birth_year": born,
+        "artist_career_length": F.when(career > 0, career), "is_rare_artist": F.col("is_rare_artist").cast("double"),
+        "artist_market_depth": F.coalesce(F.log1p(F.col("prior_lots")), nothing), "nationality_known": _known("nationality"),
+        "height_cm": h, "width_cm": w, "log_surface_area": F.ln(h * w), "aspect_ratio": w / h, "has_depth": F.when(d.isNotNull(), 1.0).otherwise(0.0),
+        "creation_year": made, "creation_is_approximate": F.col("creation_approx").cast("double"),
+        "is_painting": _is("category", "painting"), "is_sculpture": _is("category", "sculpture"), "is_work_on_paper": _is("category", "works_on_paper", "print", "photograph"),
+        "is_decorative": _is("category", "decorative", "ceramic"), "medium_known": _known("category"),
+        "log_estimate_low": F.log1p(low), "log_estimate_high": F.log1p(high), "log_estimate_mid": F.log1p(mid), "estimate_spread": (high - low) / low,
+        "sale_month": F.month("sale_date").cast("double"), "sale_year_numeric": F.year("sale_date").cast("double"), "sale_day_of_week": F.weekday("sale_date").cast("double"),
+        "sale_size": F.coalesce(F.col("sale_size").cast("double"), nothing), "lot_position_pct": F.col("lot_position") / _positive("sale_size"),
+        "artist_avg_log_price": F.col("avg_log_price"), "artist_price_std": F.col("price_std"), "artist_prior_lots": F.col("prior_lots"), "artist_price_trend": F.col("price_trend"),
+        "log_depth_cm": F.coalesce(F.log1p(d), nothing), "age_at_creation": F.when(age >= 0, age), "years_since_creation": as_of_year - made,
+        **{c: F.coalesce(F.col(c).cast("double"), nothing) for c in ("artist_name_confidence", "dimensions_confidence", "medium_confidence", "creation_confidence")},
+        "num_bids": _positive("num_bids"), "log_starting_bid": F.log1p(start), "is_online_sale": F.when(F.lower(F.trim(F.col("bidding_method"))) == "online", 1.0).otherwise(0.0),
+        "reserve_met": F.col("reserve_met").cast("double"), "hammer_start_ratio": hammer / start,
+        "is_attributed_artist": F.when(F.col("creator_type") == "artist", 1.0).when(F.col("creator_type").isNotNull(), 0.0),
+        "is_maker_not_artist": F.when(F.col("creator_type").isin("maker", "producer", "artisan"), 1.0).when(F.col("creator_type").isNotNull(), 0.0),
+        **{f"{n}_count": F.coalesce(F.array_size(c).cast("double"), nothing) for n, c in (("provenance", "provenance"), ("literature", "literature"), ("exhibition", "exhibitions"))},
+        "title_length": F.coalesce(F.length("title").cast("double"), nothing), "has_description": _known("description", 10), "has_signed_inscribed": _known("signed"),
+        "has_condition_report": _known("condition"), "has_style_period": _known("style"), "has_origin": _known("origin"),
+        "is_wine": _is("category", "wine"), "is_jewelry": _is("category", "jewelry"), "is_book": _is("category", "book"), "is_asian_art": _is("category", "asian_art"),
+        "has_crypto": F.coalesce(F.col("accepts_crypto").cast("double"), nothing), "is_guaranteed": F.coalesce(F.col("guaranteed").cast("double"), nothing),
+        "final_hammer_ratio": _positive("final_price") / hammer, "estimate_mid_usd": F.log1p(usd_mid),
+        "log_estimate_range_usd": F.log1p(F.greatest(usd_high - usd_low, nothing)), "estimate_relative_level": F.log1p(usd_mid) - F.col("avg_log_price"),
+    }
+    return lots.select("lot_id", F.ln(hammer).alias("log_price"), *[c.alias(n) for n, c in features.items()])
 
 
 def impute_scale(df: DataFrame, cols: Sequence[str], split: str = "split", train: str = "train") -> DataFrame:
