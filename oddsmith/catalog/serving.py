@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from oddsmith.catalog.registry import add
-from oddsmith.functions.scalars import ago
 from oddsmith.operators.bars import ohlcv_bars
 from oddsmith.plans import aggregates as A
 from oddsmith.plans import serving as V

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from oddsmith.catalog.registry import add
 from oddsmith.catalog.serving import FOCUS_SQL, OBI_SQL, RATIO_SQL, ROI_SQL, TOP5_SQL, WIN_SQL
-from oddsmith.functions import scalars as S
 from oddsmith.operators.versions import closed_since
 from oddsmith.plans import aggregates as A
 from oddsmith.plans import manipulation as M

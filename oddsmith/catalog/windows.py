@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from oddsmith.catalog.registry import add
 from oddsmith.catalog.tables import ALIGNED_SQL, aligned
-from oddsmith.operators.ordered import DAY
 from oddsmith.plans import windows as W
 from oddsmith.plans.time_joins import resolved_markets
 

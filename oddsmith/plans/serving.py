@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddsmith.functions.scalars import ago, array_sum, safe_ratio, sum_if
+from oddsmith.functions.scalars import ago, array_sum, safe_ratio
 from oddsmith.operators.versions import latest_snapshot, limit_by
 
 HOUR = 3600

@@ -27,7 +27,7 @@ def read_table(spark: SparkSession, root: str, name: str, since: str | None = No
 
 
 def write_table(df: DataFrame, root: str, name: str, mode: str = "append") -> None:
-    """Write by month.  Rows go to (month, salt) so that a hot month is many files, not one task."""
+    """Write into month folders.  Rows are not moved by month first, so a hot month is written by every task that has some of it."""
     timed = schemas.RETENTION.get(name)
     if timed is None:
         df.write.mode(mode).parquet(f"{root}/{name}")

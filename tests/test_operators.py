@@ -201,3 +201,10 @@ def test_radius_join_near_the_date_line_and_pole(spark):
     p = spark.createDataFrame([(1, 0.0, -179.99), (2, 89.99, -170.0), (3, -8.5069, 115.2624), (4, 40.0, 40.0)], "point_id long, p_lat double, p_lng double")
     got = {(r["centre_id"], r["point_id"]): r["km"] for r in graph.radius_join(c, p, 35.0).collect()}
     assert set(got) == {(1, 1), (2, 2), (3, 3)} and 20 < got[(3, 3)] < 35
+
+
+def test_last_value_at_cutoffs(spark, events):
+    cuts = spark.createDataFrame([("hot", "early", at(5000)), ("hot", "late", at(30000)), ("k1", "early", at(5000))], "k string, tag string, cut timestamp")
+    got = {(r["k"], r["tag"]): r["last"] for r in asof.last_at_cutoffs(events, cuts, ["k"], "ts", "cut", "v", ["ts", "id"], "last").collect()}
+    rows = [tuple(r) for r in events.collect()]
+    assert got == {(k, tag): max((t, i, v) for kk, t, i, v in rows if kk == k and t <= c)[2] for k, tag, c in map(tuple, cuts.collect())}
