@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmith.llm import mixing
+from oddsmith.llm import langid, mixing, quality, tokens
 from oddsmith.session import prepare
 
 
@@ -15,6 +15,20 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def op4_quality_discriminant(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op8_bit_plane_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.tokenize(spark, _table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(_table(spark, folder, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
@@ -52,7 +66,10 @@ FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_quality_discriminant": op4_quality_discriminant,
+        "op8_bit_plane_tokens": op8_bit_plane_tokens,
         "op9_source_mix": op9_source_mix,
+        "op10_language": op10_language,
     }
 
 
