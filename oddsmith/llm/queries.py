@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmith.llm import decontaminate, langid, lm, minhash, mixing, quality, tokens
+from oddsmith.llm import decontaminate, langid, lm, minhash, mixing, quality, repeats, tokens
 from oddsmith.llm.store import stored
 from oddsmith.session import prepare
 
@@ -82,6 +82,28 @@ def op6_edit_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminations(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op7_induced_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.without_repeats(_table(spark, folder, "documents"))
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS bytes FROM documents),
+n AS (SELECT doc_id, bytes, length(bytes) // 2 AS size FROM d),
+w AS (SELECT doc_id, pos, md5(substr(bytes, 2 * pos + 1, 200)) AS part FROM (SELECT doc_id, bytes, unnest(range(size - 99)) AS pos FROM n WHERE size >= 100)),
+r AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY part ORDER BY doc_id, pos) AS place FROM w) WHERE place > 1),
+g AS (SELECT doc_id, pos, pos - coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos), pos - 1000) AS gap FROM r),
+s AS (SELECT doc_id, pos, sum(CASE WHEN gap > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM g),
+i AS (SELECT doc_id, span, min(pos) AS a, max(pos) + 100 AS b FROM s GROUP BY doc_id, span),
+e AS (SELECT i.doc_id, i.span, i.a, i.b, coalesce(lag(i.b) OVER (PARTITION BY i.doc_id ORDER BY i.a), 0) AS before FROM i),
+k AS (
+  SELECT e.doc_id, string_agg(substr(n.bytes, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS last, sum(b - a) AS n_removed, count(*) AS n_spans
+  FROM e JOIN n USING (doc_id) GROUP BY e.doc_id)
+SELECT n.doc_id, CAST(n.size AS BIGINT) AS n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(k.n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(k.head, '') || substr(n.bytes, 2 * coalesce(k.last, 0) + 1))) AS kept_sha256
+FROM n LEFT JOIN k USING (doc_id)
+"""
+
+
 def op8_bit_plane_tokens(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -133,6 +155,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_cross_entropy_difference": op2_cross_entropy_difference,
         "op4_quality_discriminant": op4_quality_discriminant,
         "op6_edit_decontamination": op6_edit_decontamination,
+        "op7_induced_suffix_dedup": op7_induced_suffix_dedup,
         "op8_bit_plane_tokens": op8_bit_plane_tokens,
         "op9_source_mix": op9_source_mix,
         "op10_language": op10_language,
@@ -143,5 +166,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_odd_sketch_dedup": OP1_SQL,
         "op2_cross_entropy_difference": OP2_SQL,
+        "op7_induced_suffix_dedup": OP7_SQL,
         "op9_source_mix": OP9_SQL,
     }
