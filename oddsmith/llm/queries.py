@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmith.llm import decontaminate, langid, lm, minhash, mixing, quality, repeats, tokens
+from oddsmith.llm import decontaminate, langid, lm, minhash, mixing, paragraphs, quality, repeats, tokens
 from oddsmith.llm.store import stored
 from oddsmith.session import prepare
 
@@ -78,6 +78,10 @@ def op4_quality_discriminant(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op5_lookup_table_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return paragraphs.fingerprints(_table(spark, folder, "documents"))
+
+
 def op6_edit_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminations(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -154,6 +158,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_odd_sketch_dedup": op1_odd_sketch_dedup,
         "op2_cross_entropy_difference": op2_cross_entropy_difference,
         "op4_quality_discriminant": op4_quality_discriminant,
+        "op5_lookup_table_fingerprint": op5_lookup_table_fingerprint,
         "op6_edit_decontamination": op6_edit_decontamination,
         "op7_induced_suffix_dedup": op7_induced_suffix_dedup,
         "op8_bit_plane_tokens": op8_bit_plane_tokens,
