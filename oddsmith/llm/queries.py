@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmith.llm import decontaminate, langid, lm, minhash, mixing, paragraphs, quality, repeats, tokens
+from oddsmith.llm import decontaminate, disclosure, langid, lm, minhash, mixing, paragraphs, quality, repeats, tokens
 from oddsmith.llm.store import stored
 from oddsmith.session import prepare
 
@@ -74,6 +74,10 @@ FROM d LEFT JOIN s USING (doc_id)
 """
 
 
+def op3_disclosure_terms(spark: SparkSession, folder: str) -> DataFrame:
+    return disclosure.personal_data(_table(spark, folder, "documents"))
+
+
 def op4_quality_discriminant(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -157,6 +161,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_odd_sketch_dedup": op1_odd_sketch_dedup,
         "op2_cross_entropy_difference": op2_cross_entropy_difference,
+        "op3_disclosure_terms": op3_disclosure_terms,
         "op4_quality_discriminant": op4_quality_discriminant,
         "op5_lookup_table_fingerprint": op5_lookup_table_fingerprint,
         "op6_edit_decontamination": op6_edit_decontamination,
