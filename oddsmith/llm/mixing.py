@@ -33,7 +33,8 @@ def word_count(text: str | Column = "text") -> Column:
 
 def id_hash(doc_id: str | Column = "doc_id") -> Column:
     """The first 60 bits of the md5 of the id as text."""
-    digest = F.md5(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary"))
+    text = F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")
+    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
