@@ -61,7 +61,7 @@ HEADLINE_SQL = f"""SELECT article_id, source, published_at, confidence, CASE WHE
   FROM (SELECT *, lower(body) AS x, {WORDS} AS w FROM articles)"""
 add("headline_sentiment", headline, HEADLINE_SQL, "confidence sentiment urgency")
 add("sentiment_hourly", lambda t: V.sentiment_hourly(headline(t), "source", "published_at"), f"""
-SELECT source, date_trunc('hour', published_at) AS hour, count(*) AS article_count, avg(sentiment) AS avg_sentiment, max(urgency) AS max_urgency, least(count(DISTINCT source), 255) AS source_diversity,
+SELECT source, date_trunc('hour', published_at) AS hour, count(*) AS article_count, avg(sentiment) AS avg_sentiment, max(urgency) AS max_urgency, count(DISTINCT source) AS source_diversity,
   sum(sentiment * confidence) / greatest(sum(confidence), 1e-9) AS weighted_sentiment, count(*)::DOUBLE AS news_velocity FROM ({HEADLINE_SQL}) GROUP BY ALL""",
     "avg_sentiment max_urgency weighted_sentiment news_velocity")
 add("sentiment_rollup", lambda t: V.sentiment_rollup(V.sentiment_hourly(headline(t), "source", "published_at"), "source", 24 * 31, t.as_of), f"""

@@ -321,7 +321,7 @@ def candidates(t):
 
 add("trade_candidates", candidates, f"""
 WITH c AS (SELECT condition_id, score, confidence, price, token_ids FROM ({COMPOSITE_SQL}) JOIN (SELECT condition_id, outcome_prices[1] AS price, token_ids FROM markets) USING (condition_id)
-  WHERE confidence >= 3e-1 ORDER BY abs(score) DESC, condition_id LIMIT 100),
+  WHERE confidence >= 3e-1),
 s AS (SELECT *, CASE WHEN condition_id % 4 = 0 AND CAST(condition_id % 10 AS DOUBLE) / 20 > 1e-1 THEN 'posterior' WHEN condition_id % 4 = 1 AND CAST(condition_id % 10 AS DOUBLE) / 10 > 3e-1 THEN 'model'
   WHEN abs(score) >= 15 AND confidence >= 5e-1 AND price BETWEEN 1e-1 AND 9e-1 THEN 'composite_direct' END AS source FROM c),
 e AS (SELECT *, CASE source WHEN 'posterior' THEN price * -1e-1 WHEN 'model' THEN 5e-1 - price * 5e-1 ELSE score / 100 END AS edge,

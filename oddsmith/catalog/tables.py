@@ -81,7 +81,7 @@ def raw_positions(t):
 add("parse_positions", lambda t: parse.parse_positions(raw_positions(t)).select(
     "proxy_wallet", "condition_id", "outcome", "outcome_index", "size", "initial_value", "cash_pnl", "avg_price", "end_date"), """
 SELECT CAST(wallet AS VARCHAR) AS proxy_wallet, CAST(condition_id AS VARCHAR) AS condition_id, outcome,
-  least(255, greatest(0, position_id % 300 - 20)) AS outcome_index, size, initial_value,
+  greatest(0, position_id % 300 - 20) AS outcome_index, size, initial_value,
   CASE WHEN position_id % 3 <> 0 THEN cash_pnl ELSE 0 END AS cash_pnl, 0.0 AS avg_price,
   CASE WHEN position_id % 7 = 0 THEN TIMESTAMP '2099-01-01' ELSE version END AS end_date FROM position_versions""",
     "size initial_value cash_pnl avg_price")
@@ -102,7 +102,7 @@ add("parse_holders", lambda t: parse.parse_holders(t.holders.select("condition_i
     F.array(F.struct(F.col("wallet").cast("string").alias("proxyWallet"), (F.col("wallet") * 5).alias("outcomeIndex"), "amount")).alias("holders"),
 )).alias("value"))), """
 SELECT condition_id, 't' || condition_id AS token_id, CAST(wallet AS VARCHAR) AS proxy_wallet, '' AS pseudonym,
-  least(255, wallet * 5) AS outcome_index, amount FROM holders""", "amount")
+  wallet * 5 AS outcome_index, amount FROM holders""", "amount")
 add("parse_activity", lambda t: parse.parse_activity(t.activity.select(F.to_json(F.struct(
     F.col("wallet").cast("string").alias("proxyWallet"), F.col("condition_id").cast("string").alias("conditionId"), F.lower("side").alias("side"),
     F.col("usdc_size").alias("usdcSize"), "price", F.col("transaction_hash").cast("string").alias("transactionHash"),

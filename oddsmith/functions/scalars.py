@@ -75,61 +75,85 @@ def ladder_template(question: str | Column) -> Column:
 
 
 def parse_dimensions(text: str | Column) -> Column:
-    """struct(h, w, d) in cm from "70 x 60 cm", labelled "35 w x 25 h x 18 d" or inches."""
+    """struct(h, w, d) in cm from "70 x 60 cm", labelled "35 w x 25 h x 18 d" or inches.
+
+    The text becomes a list of (number, label); one fold keeps the numbers in order and
+    the last number of each label.  Labels count when at least two numbers carry one.
+    """
     s = F.regexp_replace(F.lower(F.trim(col(text))), ",", ".")
-    factor = F.when(F.contains(s, F.lit("in")) & ~F.contains(s, F.lit("cm")), 2.54).otherwise(1.0)
-    number = r"[0-9]+(?:\.[0-9]+)?"
-    nums = F.transform(F.regexp_extract_all(s, F.lit(f"({number})"), 1), lambda x: x.cast("double") * factor)
-    labels = F.size(F.regexp_extract_all(s, F.lit(rf"({number})\s*[whd]"), 1))
+    scale = F.when(F.contains(s, F.lit("in")) & ~F.contains(s, F.lit("cm")), 2.54).otherwise(1.0)
+    found = F.regexp_extract_all(s, F.lit(r"[0-9]+(?:\.[0-9]+)?(?:\s*[whd])?"), F.lit(0))
+    tokens = F.transform(found, lambda t: F.struct(F.regexp_substr(t, F.lit("^[0-9.]+")).cast("double").alias("x"), F.regexp_substr(t, F.lit("[whd]$")).alias("label")))
+    empty = F.struct(F.array().cast("array<double>").alias("plain"), *[F.lit(None).cast("double").alias(k) for k in "hwd"], F.lit(0).alias("labels"))
+
+    def note(state: Column, t: Column) -> Column:
+        keep = [F.when(t["label"] == k, t["x"]).otherwise(state[k]).alias(k) for k in "hwd"]
+        return F.struct(F.concat(state["plain"], F.array(t["x"])).alias("plain"), *keep, (state["labels"] + t["label"].isNotNull().cast("int")).alias("labels"))
+
+    def done(state: Column) -> Column:
+        return F.struct(*[(F.when(state["labels"] >= 2, state[k]).otherwise(F.get(state["plain"], F.lit(i))) * scale).alias(k) for i, k in enumerate("hwd")])
+
+    missing = F.struct(*[F.lit(None).cast("double").alias(k) for k in "hwd"])
+    return F.coalesce(F.aggregate(tokens, empty, note, done), missing)
 
-    def labelled(letter):
-        # the last mention of a label counts
-        hits = F.regexp_extract_all(s, F.lit(rf"({number})\s*{letter}"), 1)
-        return F.try_element_at(hits, F.lit(-1)).cast("double") * factor
 
-    parts = [
-        F.when(labels >= 2, labelled(letter)).otherwise(F.try_element_at(nums, F.lit(i))).alias(letter)
-        for i, letter in enumerate("hwd", start=1)
-    ]
-    return F.struct(*parts)
+#: kinds of date mentions, most telling first: pattern, and the year from its first and second number
+_YEAR_KINDS = (
+    (r"(?:circa|c\.?)\s*[0-9]{4}", lambda a, b: a),
+    (r"[0-9]{1,2}(?:st|nd|rd|th)\s+century", lambda a, b: a * 100 - 50),
+    (r"[0-9]{4}\s*[-–]\s*[0-9]{4}", lambda a, b: F.floor((a + b) / 2).cast("int")),
+    (r"[0-9]{4}", lambda a, b: F.when(a.between(1000, 2030), a)),
+)
 
 
 def parse_creation_year(text: str | Column) -> Column:
-    """struct(year, approx) from a year, circa, century (its midpoint), range or any year inside."""
-    s = F.trim(col(text))
+    """struct(year, approx) from a year, circa, century (its midpoint), range or any year inside.
+
+    All mentions are taken in one pass; the most telling kind wins, then the first.
+    """
+    s = F.lower(F.trim(col(text)))
+    mentions = F.regexp_extract_all(s, F.lit("|".join(pattern for pattern, _ in _YEAR_KINDS)), F.lit(0))
+
+    def read(mention: Column, place: Column) -> Column:
+        numbers = F.transform(F.regexp_extract_all(mention, F.lit("[0-9]+"), F.lit(0)), lambda n: n.cast("int"))
+        a, b = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))
+        kind = year = None
+        for i, (pattern, year_of) in enumerate(_YEAR_KINDS):
+            is_kind = mention.rlike(f"^(?:{pattern})$")
+            kind = F.when(is_kind, i) if kind is None else kind.when(is_kind, i)
+            year = F.when(is_kind, year_of(a, b)) if year is None else year.when(is_kind, year_of(a, b))
+        return F.struct(kind.alias("kind"), place.alias("place"), year.alias("year"))
+
+    year = F.array_min(F.transform(mentions, read))["year"]
+    plain = s.rlike("^[0-9]{4}$")
+    year = F.when(plain, s.try_cast("int")).otherwise(year)
+    return F.struct(year.alias("year"), (year.isNotNull() & ~plain).cast("int").alias("approx"))
 
-    def grab(pattern, group=1):
-        return F.nullif(F.regexp_extract(s, pattern, group), F.lit("")).cast("int")
 
-    circa = grab(r"(?i)(?:circa|c\.?)\s*([0-9]{4})")
-    century = grab(r"(?i)([0-9]{1,2})(?:ST|ND|RD|TH)\s+CENTURY")
-    low, high = grab(r"([0-9]{4})\s*[-–]\s*([0-9]{4})"), grab(r"([0-9]{4})\s*[-–]\s*([0-9]{4})", 2)
-    any_year = grab(r"([0-9]{4})")
-    exact = s.rlike(r"^[0-9]{4}$")
-    year = (
-        F.when(exact, any_year)
-        .when(circa.isNotNull(), circa)
-        .when(century.isNotNull(), (century - 1) * 100 + 50)
-        .when(low.isNotNull(), F.floor((low + high) / 2).cast("int"))
-        .when(any_year.between(1000, 2030), any_year)
-    )
-    return F.struct(year.alias("year"), F.when(year.isNull() | exact, 0).otherwise(1).alias("approx"))
+def _amount(s: Column, units: Sequence[tuple[str, float]]) -> Column:
+    """Value of the (number, word) whose word starts with the earliest listed unit, times the unit; ties go to the first."""
+    found = F.regexp_extract_all(s, F.lit(r"[0-9.]+(?:\s*[a-z]+)?"), F.lit(0))
 
+    def read(t: Column, place: Column) -> Column:
+        word, rank, factor = F.coalesce(F.regexp_substr(t, F.lit("[a-z]+$")), F.lit("")), None, None
+        for i, (unit, size) in enumerate(units):
+            hit = F.startswith(word, F.lit(unit))
+            rank, factor = (F.when(hit, i), F.when(hit, size)) if rank is None else (rank.when(hit, i), factor.when(hit, size))
+        return F.struct(rank.alias("rank"), place.alias("place"), (F.regexp_substr(t, F.lit("^[0-9.]+")).try_cast("double") * factor).alias("value"))
 
-def _number(text: Column, unit: str) -> Column:
-    return F.nullif(F.regexp_extract(text, rf"([0-9.]+)\s*{unit}", 1), F.lit("")).cast("double")
+    return F.array_min(F.filter(F.transform(found, read), lambda x: x["rank"].isNotNull()))["value"]
 
 
 def parse_price_idr(text: str | Column) -> Column:
     """Rupiah amount: "Rp 2,5 Miliar" = 2.5e9, "Rp 500 Juta" = 5e8, else the plain number."""
-    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(col(text)), "rp", ""), r"\.", ""), ",", ".")
-    return F.coalesce(_number(s, "miliar") * 1e9, _number(s, "juta") * 1e6, _number(s, ""))
+    # thousands are set off by dots, decimals by a comma
+    s = F.translate(F.regexp_replace(F.lower(col(text)), "rp", ""), ",.", ".")
+    return _amount(s, [("miliar", 1e9), ("juta", 1e6), ("", 1.0)])
 
 
 def parse_area_m2(text: str | Column) -> Column:
     """Square metres from m2, are (100 m2) or hectares."""
-    s = F.regexp_replace(F.lower(col(text)), ",", ".")
-    return F.coalesce(_number(s, "m"), _number(s, "are") * 100, _number(s, "h[ae]") * 10000)
+    return _amount(F.translate(F.lower(col(text)), ",", "."), [("m", 1.0), ("are", 100.0), ("ha", 10000.0), ("he", 10000.0)])
 
 
 def parse_coordinate(text: str | Column) -> Column:

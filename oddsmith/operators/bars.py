@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsmith.operators.ordered import DAY, time_chunk, with_row_number
+from oddsmith.operators.versions import order_key
 
 
 def bucket(ts: str | Column, seconds: int) -> Column:
@@ -22,7 +23,7 @@ def ohlcv_bars(trades: DataFrame, seconds: int, key: Sequence[str] = ("condition
     All aggregates combine before the shuffle, so a hot market costs one row per
     (input partition, bar).
     """
-    when = F.struct("ts", tie)
+    when = order_key(trades, "ts", tie)
     return trades.groupBy(*key, bucket("ts", seconds).alias("bar_time")).agg(
         F.min_by("price", when).alias("open"),
         F.max("price").alias("high"),

@@ -7,7 +7,9 @@ that decide when to stop.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsmith.session import cut_lineage
@@ -20,16 +22,22 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", *rest).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _edge_state(pairs: DataFrame) -> tuple:
+    """Size and a full-width hash sum of an edge set."""
+    return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(node, component): alternating large-star and small-star, logarithmic in practice.
 
     Each step needs only the minimum of a node's neighbours (a combined aggregate) and
-    a join back, so a hub is never gathered in one task.
+    a join back, so a hub is never gathered in one task.  The rounds end when the edges
+    no longer change; ``max_rounds`` is a guard that raises.
     """
     pairs = edges.select("src", "dst").where("src <> dst").distinct()
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    before = None
     pairs = cut_lineage(pairs)
+    before = _edge_state(pairs)
     for _ in range(max_rounds):
         # large star: every larger neighbour moves to the smallest node around
         near = both_ways(pairs)
@@ -41,48 +49,58 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         pairs = down.join(low, "src").select("dst", "m").unionByName(low.select(F.col("src").alias("dst"), "m")).where("dst <> m").select(
             F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
         pairs = cut_lineage(pairs)
-        # stars are stable when the edge set repeats: compare size and a hash sum
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("src", "dst") % 1000003)).first()
+        # stars are stable when the edge set repeats
+        state = _edge_state(pairs)
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     label = pairs.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"))
     return nodes.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def shortest_paths(edges: DataFrame, origins: DataFrame, max_rounds: int = 200, check_every: int = 4) -> DataFrame:
-    """(origin, node, cost): relaxation rounds from each origin over directed edges."""
-    best = origins.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"))
-    step = edges.select("src", "dst", "weight")
-    known = cut_lineage(best)
-    state = None
-    for i in range(max_rounds):
-        moved = known.join(step, known["node"] == step["src"]).select("origin", F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"))
-        known = known.unionByName(moved).groupBy("origin", "node").agg(F.min("cost").alias("cost"))
-        if (i + 1) % check_every == 0:
-            known = cut_lineage(known)
-            now = known.agg(F.count("*"), F.sum(F.col("cost").cast("decimal(38,9)"))).first()
-            if now == state:
-                break
-            state = now
-    return known
-
-
-def spread_intensity(edges: DataFrame, origins: DataFrame, factor: str = "factor", floor: float = 0.05, rounds: int = 8) -> DataFrame:
-    """Best product of edge factors along any path, dropped below ``floor``.
-
-    With factors of at most 0.7 nothing survives more than eight hops, so the number of
-    rounds is fixed and no result goes to the driver.
+HOPS = 6
+
+
+def _spread(known: DataFrame, step: DataFrame, value: str, combine: Callable[[Column, Column], Column], best: Callable[[str], Column], better: Callable[[Column, Column], Column], keep: str) -> DataFrame:
+    """Relax (origin, node, value) over (src, dst, by) until no value improves.
+
+    A round follows a few hops from the nodes that changed in the round before, and
+    checkpoints what it improved; nodes that are settled are not joined again.
     """
-    step = both_ways(edges.select("src", "dst", factor))
-    known = origins.select("origin", F.col("origin").alias("node"), F.lit(1.0).alias("intensity"))
-    for i in range(rounds):
-        moved = known.join(step, known["node"] == step["src"]).select("origin", F.col("dst").alias("node"), (F.col("intensity") * F.col(factor)).alias("intensity")).where(
-            F.col("intensity") >= floor)
-        known = known.unionByName(moved).groupBy("origin", "node").agg(F.max("intensity").alias("intensity"))
-        if i % 3 == 2:
-            known = cut_lineage(known)
-    return known
+    known = changed = cut_lineage(known)
+    while True:
+        moved = front = changed
+        for _ in range(HOPS):
+            front = front.join(step, front["node"] == step["src"]).select("origin", F.col("dst").alias("node"), combine(F.col(value), F.col("by")).alias(value)).where(keep)
+            front = front.groupBy("origin", "node").agg(best(value).alias(value))
+            moved = moved.unionByName(front)
+        moved = moved.groupBy("origin", "node").agg(best(value).alias(value))
+        old = known.select(F.col("origin").alias("o"), F.col("node").alias("n"), F.col(value).alias("old"))
+        moved = moved.join(old, (F.col("origin") == F.col("o")) & (F.col("node") == F.col("n")), "left")
+        changed = cut_lineage(moved.where(F.col("old").isNull() | better(F.col(value), F.col("old"))).select("origin", "node", value))
+        if changed.isEmpty():
+            return known
+        known = cut_lineage(known.unionByName(changed).groupBy("origin", "node").agg(best(value).alias(value)))
+
+
+def shortest_paths(edges: DataFrame, origins: DataFrame) -> DataFrame:
+    """(origin, node, cost): least cost from each origin over directed edges, however many hops away."""
+    step = edges.select("src", "dst", F.col("weight").alias("by"))
+    if not step.where("by < 0").isEmpty():
+        raise ValueError("edge weights must not be negative")
+    start = origins.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"))
+    return _spread(start, step, "cost", lambda a, b: a + b, F.min, lambda new, old: new < old, "true")
+
+
+def spread_intensity(edges: DataFrame, origins: DataFrame, factor: str = "factor", floor: float = 0.05) -> DataFrame:
+    """Best product of edge factors along any path, dropped below ``floor``; factors are at most 1."""
+    step = both_ways(edges.select("src", "dst", F.col(factor).cast("double").alias("by")))
+    if not step.where("by > 1").isEmpty():
+        raise ValueError("edge factors must not pass 1")
+    start = origins.select("origin", F.col("origin").alias("node"), F.lit(1.0).alias("intensity"))
+    return _spread(start, step, "intensity", lambda a, b: a * b, F.max, lambda new, old: new > old, f"intensity >= {floor!r}")
 
 
 def normalized_adjacency(edges: DataFrame) -> DataFrame:

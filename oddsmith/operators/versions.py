@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 
 
 def latest_version(df: DataFrame, key: Sequence[str], version: Sequence[str]) -> DataFrame:
@@ -31,9 +33,20 @@ def latest_snapshot(df: DataFrame, key: Sequence[str], at: str) -> DataFrame:
     return df.join(newest, list(key)).where(F.col(at) == F.col("_at")).drop("_at")
 
 
+def order_key(df: DataFrame, at: str, tie: str) -> Column:
+    """(time, id) as one number, so that ``max_by`` and ``min_by`` run as hash aggregates.
+
+    A struct as the order makes every task sort its input.  Ids that are not integers
+    keep the struct; integer ids must not be negative.
+    """
+    if not isinstance(df.schema[tie].dataType, (IntegerType, LongType)):
+        return F.struct(at, tie)
+    return F.unix_micros(at).cast("decimal(18,0)") * F.lit(Decimal(10**19)).cast("decimal(20,0)") + F.col(tie).cast("decimal(19,0)")
+
+
 def latest_price(prices: DataFrame, key: Sequence[str], at: str = "ts", tie: str = "trade_id") -> DataFrame:
     return prices.groupBy(*key).agg(
-        F.max_by("price", F.struct(at, tie)).alias("price"), F.max(at).alias("price_time")
+        F.max_by("price", order_key(prices, at, tie)).alias("price"), F.max(at).alias("price_time")
     )
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsmith.functions.scalars import clamp
-from oddsmith.operators.versions import limit_by
 
 HORIZONS = {"final": 0, "6h": 6, "24h": 24, "168h": 168}
 EPS = 1e-6
@@ -134,12 +133,12 @@ def longshot_bands(forecasts: DataFrame, key: str, bands: dict[str, tuple[float,
     return rows.groupBy("band", key).agg(*_bias()).where(F.col("n") >= min_count)
 
 
-def calibration_history(predictions: DataFrame, keep: int = 2000) -> DataFrame:
-    """Brier per source and against the market price over the newest rows, and the adjustment factor.
+def calibration_history(predictions: DataFrame, since: Column | None = None) -> DataFrame:
+    """Brier per source and against the market price, and the adjustment factor; ``since`` leaves out older rows.
 
     ``predictions``: source, predicted, market_price, outcome (null when open), ts, id.
     """
-    recent = limit_by(predictions, ["source"], [F.desc("ts"), F.desc("id")], keep)
+    recent = predictions if since is None else predictions.where(F.col("ts") >= since)
     done = F.col("outcome").isNotNull()
 
     def brier(c):

@@ -237,7 +237,7 @@ def sentiment_hourly(articles: DataFrame, key: str, at: str) -> DataFrame:
     weighted = F.sum(F.col("sentiment") * F.col("confidence")) / F.greatest(F.sum("confidence"), F.lit(1e-9))
     return articles.groupBy(key, F.date_trunc("hour", at).alias("hour")).agg(
         F.count("*").alias("article_count"), F.avg("sentiment").alias("avg_sentiment"), F.max("urgency").alias("max_urgency"),
-        F.least(F.count_distinct("source"), F.lit(255)).alias("source_diversity"), weighted.alias("weighted_sentiment"),
+        F.count_distinct("source").alias("source_diversity"), weighted.alias("weighted_sentiment"),
         F.count("*").cast("double").alias("news_velocity"))
 
 

@@ -244,24 +244,26 @@ def portfolio_snapshots(holdings: DataFrame, capital: float) -> DataFrame:
 
 
 def trade_candidates(
-    composites: DataFrame, markets: DataFrame, posteriors: DataFrame, models: DataFrame, as_of: Column, seconds: int = 600, top: int = 100,
+    composites: DataFrame, markets: DataFrame, posteriors: DataFrame, models: DataFrame, as_of: Column, seconds: int = 600, top: int | None = None,
 ) -> DataFrame:
     """Best markets to trade with the side, price and probability of the most trusted source.
 
     The newest composite of a market (confidence 0.3 or more) brings it in; a posterior
     (confidence > 0.1) decides before a model (> 0.3), and a strong composite alone
-    (|score| >= 15, confidence >= 0.5, price in [0.1, 0.9]) comes last.
+    (|score| >= 15, confidence >= 0.5, price in [0.1, 0.9]) comes last.  ``top`` cuts what is left.
     """
     recent = composites.where((F.col("computed_at") >= ago(as_of, seconds)) & (F.col("confidence") >= 0.3))
     newest = limit_by(recent, ["condition_id"], [F.desc("computed_at"), F.desc("score")])
     live = markets.where(is_open()).select("condition_id", "token_ids", F.get("outcome_prices", F.lit(0)).alias("market_price"), "liquidity")
-    rows = newest.join(live, "condition_id").orderBy(F.desc(F.abs("score")), "condition_id").limit(top)
+    rows = newest.join(live, "condition_id")
     for df, name in ((posteriors, "posterior"), (models, "model")):
         rows = rows.join(df.select("condition_id", F.col("probability").alias(f"{name}_p"), F.col("edge").alias(f"{name}_edge"), F.col("confidence").alias(f"{name}_conf")), "condition_id", "left")
     price = F.col("market_price")
     direct = (F.abs("score") >= 15) & (F.col("confidence") >= 0.5) & price.between(0.1, 0.9)
     source = F.when(F.col("posterior_conf") > 0.1, "posterior").when(F.col("model_conf") > 0.3, "model").when(direct, "composite_direct")
     rows = rows.withColumn("source", source).where("source is not null")
+    if top is not None:
+        rows = rows.orderBy(F.desc(F.abs("score")), "condition_id").limit(top)
     edge = F.when(F.col("source") == "posterior", F.col("posterior_edge")).when(F.col("source") == "model", F.col("model_edge")).otherwise(F.col("score") / 100)
     prob = F.when(F.col("source") == "posterior", F.col("posterior_p")).when(F.col("source") == "model", F.col("model_p")).otherwise(composite_probability(F.col("score"), price))
     yes = F.col("edge") > 0

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,8 +18,26 @@ SETTINGS = {
 }
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors once per application: their Python functions import it by name."""
+    sc = spark.sparkContext
+    if getattr(sc, "_oddsmith_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="oddsmith-package-"), "oddsmith.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(archive)
+    sc._oddsmith_shipped = True
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the operators rely on (all are session level)."""
+    """Apply the runtime settings the operators rely on (all are session level) and ship the package."""
+    ship_package(spark)
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)

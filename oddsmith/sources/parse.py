@@ -33,8 +33,8 @@ def _list(c: str) -> Column:
     return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
 
 
-def _byte(c: str) -> Column:
-    return F.least(F.lit(255), F.greatest(F.lit(0), F.coalesce(F.col(c), F.lit(0))))
+def _index(c: str) -> Column:
+    return F.greatest(F.lit(0), F.coalesce(F.col(c), F.lit(0)))
 
 
 def _record(raw: DataFrame, schema: str) -> DataFrame:
@@ -103,7 +103,7 @@ def parse_positions(raw: DataFrame) -> DataFrame:
     r = _record(raw, schemas.RAW_POSITION)
     return r.select(
         _text("proxyWallet").alias("proxy_wallet"), _text("conditionId").alias("condition_id"), _text("asset").alias("asset"),
-        _text("outcome").alias("outcome"), _byte("outcomeIndex").alias("outcome_index"), _num("size").alias("size"),
+        _text("outcome").alias("outcome"), _index("outcomeIndex").alias("outcome_index"), _num("size").alias("size"),
         _num("avgPrice").alias("avg_price"), _num("initialValue").alias("initial_value"), _num("currentValue").alias("current_value"),
         _num("curPrice").alias("cur_price"), _num("cashPnl").alias("cash_pnl"), _num("percentPnl").alias("percent_pnl"),
         _num("realizedPnl").alias("realized_pnl"), _text("title").alias("title"), _text("slug").alias("market_slug"),
@@ -115,7 +115,7 @@ def parse_activity(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     r = _record(raw, schemas.RAW_ACTIVITY).select(
         _text("proxyWallet").alias("proxy_wallet"), _text("conditionId").alias("condition_id"), _text("asset").alias("asset"),
         F.coalesce("type", F.lit("TRADE")).alias("activity_type"), F.upper(_text("side")).alias("side"), _text("outcome").alias("outcome"),
-        _byte("outcomeIndex").alias("outcome_index"), _num("size").alias("size"), _num("usdcSize").alias("usdc_size"),
+        _index("outcomeIndex").alias("outcome_index"), _num("size").alias("size"), _num("usdcSize").alias("usdc_size"),
         _num("price").alias("price"), _text("transactionHash").alias("transaction_hash"), _text("title").alias("title"),
         _text("slug").alias("market_slug"), _time("timestamp", None).alias("ts"),
     )
@@ -130,7 +130,7 @@ def parse_holders(raw: DataFrame) -> DataFrame:
         .select("condition_id", "token_id", "h.*")
         .select(
             "condition_id", "token_id", _text("proxyWallet").alias("proxy_wallet"), _text("pseudonym").alias("pseudonym"),
-            _byte("outcomeIndex").alias("outcome_index"), _num("amount").alias("amount"),
+            _index("outcomeIndex").alias("outcome_index"), _num("amount").alias("amount"),
         )
     )
 

@@ -42,18 +42,22 @@ def retain(df: DataFrame, at: str, days: int, as_of: Column) -> DataFrame:
 
 
 def write_report(df: DataFrame, folder: str, kind: str = "csv") -> None:
-    """Study output; reports are small, the number of files is left to Spark's own coalescing."""
+    """Study output as csv, json or markdown; the number of files is left to Spark's own coalescing."""
+    if kind == "markdown":
+        markdown_rows(df).write.mode("overwrite").text(folder)
+        return
     writer = df.write.mode("overwrite")
     writer.option("header", True).csv(folder) if kind == "csv" else writer.json(folder)
 
 
-def markdown_table(df: DataFrame, limit: int = 100) -> str:
-    """A report table as markdown text; refuses more rows than a report page holds."""
-    rows = df.take(limit + 1)
-    if len(rows) > limit:
-        raise ValueError(f"report table has more than {limit} rows")
-    head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
-    return "\n".join([head, *["| " + " | ".join(str(v) for v in r) + " |" for r in rows]])
+def markdown_head(df: DataFrame) -> str:
+    return "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
+
+
+def markdown_rows(df: DataFrame) -> DataFrame:
+    """The rows of a report table as markdown lines, whatever their number."""
+    cells = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])
+    return df.select(F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |")).alias("value"))
 
 
 def data_coverage(tables: Mapping[str, tuple[DataFrame, Sequence[str], str]]) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from oddsmith import schemas
-from oddsmith.operators.versions import latest_version
+from oddsmith.operators.versions import latest_version, order_key
 from oddsmith.session import ensure_checkpoint_dir
 from oddsmith.sources.parse import levels
 
@@ -34,6 +34,18 @@ def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
     return reader.load(folder)
 
 
+#: files of a table folder taken in one micro-batch, so a backlog does not become one batch
+FILES_PER_TRIGGER = 256
+
+
+def table_stream(spark: SparkSession, folder: str, name: str, schema, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    """Stream one table of a data folder, whether it is a Parquet file or a folder of part files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return file_stream(spark, f"{folder}/{name}.parquet", schema, files_per_trigger=files_per_trigger)
+    return file_stream(spark, folder, schema, f"{name}.parquet")
+
+
 def run_append(stream: DataFrame, name: str) -> DataFrame:
     """Run an append-mode query over what is available and return what it wrote."""
     spark = stream.sparkSession
@@ -108,24 +120,26 @@ def route_messages(raw: DataFrame, root: str | None = None) -> str:
 # ---- aggregates -------------------------------------------------------------
 
 
+def _side(name: str) -> Any:
+    return F.sum(F.when(F.col("side") == name, F.col("size")).otherwise(0.0))
+
+
 def streaming_bars(trades: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Bars of closed windows (append mode): emitted once the watermark passes their end."""
-    when = F.struct("ts", "trade_id")
+    """Bars of closed windows (append mode): emitted once the watermark passes their end; they merge in ``rollup_bars``."""
+    when = order_key(trades, "ts", "trade_id")
     return (
         trades.withWatermark("ts", delay).groupBy("condition_id", "outcome", F.window("ts", width).alias("w")).agg(
             F.min_by("price", when).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", when).alias("close"),
-            F.sum("size").alias("volume"), F.count("*").alias("trade_count"))
-        .select("condition_id", "outcome", F.col("w.start").alias("bar_time"), "open", "high", "low", "close", "volume", "trade_count"))
+            F.sum("size").alias("volume"), F.count("*").alias("trade_count"), _side("buy").alias("buy_volume"), _side("sell").alias("sell_volume"),
+            F.min("ts").alias("open_ts"), F.max("ts").alias("close_ts"))
+        .select("condition_id", "outcome", F.col("w.start").alias("bar_time"), "open", "high", "low", "close", "volume", "trade_count", "buy_volume", "sell_volume", "open_ts", "close_ts"))
 
 
 def rolling_flow(trades: DataFrame, width: str = "5 minutes", slide: str = "1 minute", delay: str = "1 minute") -> DataFrame:
     """Buy and sell volume over sliding windows."""
-    def side(name):
-        return F.sum(F.when(F.col("side") == name, F.col("size")).otherwise(0.0))
-
     return (
         trades.withWatermark("ts", delay).groupBy("condition_id", F.window("ts", width, slide).alias("w")).agg(
-            side("buy").alias("buy_volume"), side("sell").alias("sell_volume"), F.count("*").alias("trade_count"))
+            _side("buy").alias("buy_volume"), _side("sell").alias("sell_volume"), F.count("*").alias("trade_count"))
         .select("condition_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "buy_volume", "sell_volume", "trade_count"))
 
 

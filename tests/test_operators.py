@@ -208,3 +208,28 @@ def test_last_value_at_cutoffs(spark, events):
     got = {(r["k"], r["tag"]): r["last"] for r in asof.last_at_cutoffs(events, cuts, ["k"], "ts", "cut", "v", ["ts", "id"], "last").collect()}
     rows = [tuple(r) for r in events.collect()]
     assert got == {(k, tag): max((t, i, v) for kk, t, i, v in rows if kk == k and t <= c)[2] for k, tag, c in map(tuple, cuts.collect())}
+
+
+def test_paths_and_intensity_have_no_hop_limit(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HOPS", 3)
+    chain = spark.createDataFrame([(i, i + 1, 1.0, 0.9) for i in range(40)], "src long, dst long, weight double, factor double")
+    start = spark.createDataFrame([(0,)], "origin long")
+    got = {r["node"]: r["cost"] for r in graph.shortest_paths(chain, start).collect()}
+    assert got == {i: float(i) for i in range(41)}
+    # 0.9 ** 28 is the last power above 0.05
+    assert graph.spread_intensity(chain, start).count() == 29
+    with pytest.raises(ValueError):
+        graph.shortest_paths(chain.withColumn("weight", -F.col("weight")), start)
+
+
+def test_components_raise_when_rounds_end(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(30)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        graph.connected_components(chain, max_rounds=1)
+
+
+def test_newest_price_and_bars_are_hash_aggregates(spark, events):
+    trades = events.selectExpr("k AS condition_id", "'Yes' AS outcome", "timestamp_seconds(id) AS ts", "id AS trade_id", "CAST(id AS DOUBLE) AS price", "1.0D AS size", "'buy' AS side")
+    for df in (bars.ohlcv_bars(trades, 3600), versions.latest_price(trades, ["condition_id"])):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan

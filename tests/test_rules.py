@@ -224,9 +224,9 @@ def test_tables_round_trip(spark, tmp_path):
     assert "p_month" in read._jdf.queryExecution().executedPlan().toString()
     tables.write_report(df.groupBy("side").count(), str(tmp_path / "report"))
     assert spark.read.option("header", True).csv(str(tmp_path / "report")).first()["count"] == "6"
-    assert "| side | count |" in tables.markdown_table(df.groupBy("side").count())
-    with pytest.raises(ValueError):
-        tables.markdown_table(df, limit=3)
+    counts = df.groupBy("side").count()
+    tables.write_report(counts, str(tmp_path / "lines"), "markdown")
+    assert "| side | count |" in tables.markdown_head(counts) and spark.read.text(str(tmp_path / "lines")).first()["value"] == "| buy | 6 |"
 
 
 def test_plans_push_down_and_prune(spark):

@@ -131,3 +131,42 @@ def test_arbitrage_lifecycle(spark, tmp_path):
     numbered = spark.createDataFrame([(n, *r) for n, rows in enumerate(scans) for r in rows], "scan_no int, condition_id long, arb_type string")
     batch = sorted((r["scan_no"], r["condition_id"], r["status"]) for r in lifecycle.scan_transitions(numbered, ["condition_id", "arb_type"]).collect())
     assert batch == got
+
+
+def test_a_table_folder_streams_like_one_file(spark, tmp_path):
+    import os
+    import shutil
+
+    from oddsmith.catalog.all import load
+    from oddsmith.catalog.registry import run
+
+    load()
+
+    folder = "/root/testdata/sf0.001"
+    for name in os.listdir(folder):
+        if name != "events.parquet":
+            os.symlink(f"{folder}/{name}", tmp_path / name)
+    spark.read.parquet(f"{folder}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for query in ("stream_ohlcv", "stream_latest_price"):
+        want = sorted(map(tuple, run(query, spark, folder).collect()))
+        assert want and sorted(map(tuple, run(query, spark, str(tmp_path)).collect())) == want
+    shutil.rmtree(tmp_path / "events.parquet")
+
+
+def test_python_functions_run_from_another_folder(tmp_path):
+    """Executors get the package from the session, whatever the working folder and the path of the driver."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+print("ROWS", e.queries()["stream_high_water"](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS" in done.stdout, done.stderr[-1500:]
