@@ -189,10 +189,15 @@ JOIN (SELECT condition_id, question FROM markets) USING (condition_id) WHERE tot
     "total_amount top5_amount top_holder_amount top5_share")
 add("distinct_counts", lambda t: A.distinct_counts(t.trades), """
 SELECT condition_id, count(DISTINCT wallet) AS wallets, count(DISTINCT (outcome, side)) AS outcome_sides FROM trades GROUP BY 1""")
-add("approximate_distinct", lambda t: A.approximate_distinct(t.trades))
+# an estimate is compared by its bound: five standard errors of the sketch; ranks within 1 / 10,000
+add("approximate_distinct", lambda t: A.distinct_counts(t.trades).join(A.approximate_distinct(t.trades).withColumnRenamed("wallets", "estimate"), "condition_id").select(
+    "condition_id", "wallets", (F.abs(F.col("estimate") - F.col("wallets")) <= F.greatest(F.lit(1.0), 0.1 * F.col("wallets"))).alias("within")), """
+SELECT condition_id, count(DISTINCT wallet) AS wallets, true AS within FROM trades GROUP BY 1""")
 add("category_median", lambda t: A.category_median(t.markets),
     "SELECT category, quantile_cont(volume_total, 5e-1) AS median_volume FROM markets WHERE resolved = 1 GROUP BY 1", "median_volume")
-add("category_median_approx", lambda t: A.category_median(t.markets, approximate=True))
+add("category_median_approx", lambda t: t.markets.where("resolved = 1").join(A.category_median(t.markets, approximate=True), "category").groupBy("category").agg(
+    F.count("*").alias("markets"), (F.abs(F.avg(F.when(F.col("volume_total") <= F.col("median_volume"), 1.0).otherwise(0.0)) - 0.5) <= 1e-4 + 1 / F.count("*")).alias("within")), """
+SELECT category, count(*) AS markets, true AS within FROM markets WHERE resolved = 1 GROUP BY 1""")
 add("wallet_trade_profile", lambda t: A.wallet_trade_profile(t.activity, t.as_of), f"""
 SELECT wallet, count(*) AS trade_count, CAST(count_if(side = 'BUY') AS DOUBLE) / count(*) AS buy_ratio, avg(usdc_size) AS avg_size,
   stddev_pop(usdc_size) AS std_size, count(DISTINCT condition_id) AS unique_markets FROM activity WHERE ts >= {NOW} - INTERVAL 30 DAY

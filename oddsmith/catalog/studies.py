@@ -183,4 +183,9 @@ def spaced(t):
 
 
 add("label_separation", lambda t: t.spark.createDataFrame([(D.label_silhouette(spaced(t), "v", "label"),)], "silhouette double"))
-add("neighbour_label_accuracy", lambda t: D.neighbour_label_accuracy(spaced(t), "vec_id", "v", "label"))
+add("neighbour_label_accuracy", lambda t: D.neighbour_label_accuracy(t.embeddings, "vec_id", "embedding", "label"), """
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
+p AS (SELECT a.vec_id, a.label = b.label AS same, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.v, b.v), 12) DESC, b.vec_id) AS place FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+s AS (SELECT vec_id, avg(CASE WHEN same THEN 1e0 ELSE 0e0 END) AS same FROM p WHERE place <= 5 GROUP BY 1)
+SELECT count(*) AS n, avg(same) AS same_label, avg(CASE WHEN same > 5e-1 THEN 1e0 ELSE 0e0 END) AS accuracy FROM s""", "same_label accuracy")
