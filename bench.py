@@ -16,6 +16,7 @@ HEADLINES = [
     "composite_signals", "microstructure_snapshot", "kyle_lambda_ratio", "wash_trading", "wallet_trade_profile", "gini",
     "implied_probability_panel", "slice_metrics", "threshold_ladders", "bayesian_update", "transfer_entropy", "graph_metrics", "connected_groups",
     "article_analysis", "headline_sentiment", "lot_features", "equity_metrics",
+    "wallet_clusters", "jaccard_pairs", "granger_matrix", "stream_ohlcv", "stream_latest_price",
 ]
 
 

@@ -176,8 +176,8 @@ SELECT (SELECT count(DISTINCT condition_id) FROM books WHERE abs(list_sum(bid_si
   (SELECT count(*) FROM trades WHERE ts >= {NOW} - INTERVAL 1 DAY AND price * size >= 1000) AS large_trades_24h,
   (SELECT count_if({OPEN}) FROM markets) AS active_markets""")
 add("volume_anomalies", lambda t: V.volume_anomalies(t.trades, t.markets, t.as_of, 7 * DAY), f"""
-SELECT condition_id, sum(size) AS volume_4h, any_value(question) AS question, any_value(volume_1wk / 7 / 6) AS average_4h,
-  sum(size) / greatest(any_value(volume_1wk / 7 / 6), 1e-2) AS ratio FROM trades
+SELECT condition_id, sum(size) AS volume_4h, any_value(question) AS question, any_value(volume_1wk * 1e0) AS average_4h,
+  sum(size) / greatest(any_value(volume_1wk * 1e0), 1e-2) AS ratio FROM trades
 JOIN (SELECT condition_id, question, volume_1wk FROM markets WHERE {OPEN} AND volume_1wk > 0) USING (condition_id)
 WHERE ts >= {NOW} - INTERVAL 7 DAY GROUP BY 1 HAVING ratio > 2 AND volume_4h > 100""", "volume_4h average_4h ratio")
 TOP5_SQL = """SELECT condition_id, count(*) AS total_holders, sum(amount) AS total_amount, sum(CASE WHEN rn <= 5 THEN amount END) AS top5_amount,

@@ -246,7 +246,7 @@ c_conc AS (SELECT condition_id, least(100, greatest(-100, -(top5_amount / total_
 c_arb AS (SELECT DISTINCT condition_id, 1 AS arbitrage FROM ({OPPS_SQL})),
 c_ins AS (SELECT condition_id, avg(score) AS insider FROM activity JOIN ins USING (wallet) WHERE {WEEK} AND score > 20 GROUP BY 1),
 j AS (SELECT condition_id, least(100, greatest(-100, one_day_price_change * 200)) AS momentum,
-  CASE WHEN volume_1wk > 0 AND v4h IS NOT NULL THEN least(100, greatest(-100, (v4h / (volume_1wk / 42) - 1) * 50)) ELSE 0 END AS volume,
+  CASE WHEN volume_1wk > 0 AND v4h IS NOT NULL THEN least(100, greatest(-100, (v4h / (volume_1wk * (4e0 / 7)) - 1) * 50)) ELSE 0 END AS volume,
   {', '.join(f'coalesce({c}, 0) AS {c}' for c in ['obi', 'trade_bias', 'smart_money', 'concentration', 'insider', 'arbitrage'])}
   FROM (SELECT * FROM markets WHERE {OPEN}) LEFT JOIN c_obi USING (condition_id) LEFT JOIN c_vol USING (condition_id) LEFT JOIN c_bias USING (condition_id)
   LEFT JOIN c_smart USING (condition_id) LEFT JOIN c_conc USING (condition_id) LEFT JOIN c_arb USING (condition_id) LEFT JOIN c_ins USING (condition_id))

@@ -184,9 +184,9 @@ def signals_overview(books: DataFrame, trades: DataFrame, markets: DataFrame, as
 
 
 def volume_anomalies(trades: DataFrame, markets: DataFrame, as_of: Column, seconds: int = 4 * HOUR) -> DataFrame:
-    """Recent volume against the weekly average scaled to four hours."""
+    """Recent volume against the weekly average scaled to the same time."""
     recent = trades.where(F.col("ts") >= ago(as_of, seconds)).groupBy("condition_id").agg(F.sum("size").alias("volume_4h"))
-    live = markets.where(is_open() & (F.col("volume_1wk") > 0)).select("condition_id", "question", (F.col("volume_1wk") / 7 / 6).alias("average_4h"))
+    live = markets.where(is_open() & (F.col("volume_1wk") > 0)).select("condition_id", "question", (F.col("volume_1wk") * (seconds / (7 * DAY))).alias("average_4h"))
     joined = recent.join(live, "condition_id").withColumn("ratio", safe_ratio("volume_4h", "average_4h", 0.01))
     return joined.where("ratio > 2 AND volume_4h > 100")
 

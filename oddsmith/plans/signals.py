@@ -53,8 +53,9 @@ def composite_signals(
     rows = base
     for part in (obi, volume, bias, smart, conc, arb, insider):
         rows = rows.join(part, "condition_id", "left")
-    weekly = F.col("volume_1wk") / 42
-    anomaly = F.when((weekly > 0) & F.col("v4h").isNotNull(), clamp100((F.col("v4h") / F.nullif(weekly, F.lit(0.0)) - 1) * 50)).otherwise(0.0)
+    # the week's volume scaled to the window
+    usual = F.col("volume_1wk") * (volume_seconds / (7 * DAY))
+    anomaly = F.when((usual > 0) & F.col("v4h").isNotNull(), clamp100((F.col("v4h") / F.nullif(usual, F.lit(0.0)) - 1) * 50)).otherwise(0.0)
     rows = rows.select(
         "condition_id", "momentum", anomaly.alias("volume"),
         *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("obi", "trade_bias", "smart_money", "concentration", "insider")],

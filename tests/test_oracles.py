@@ -1,7 +1,5 @@
 """Every registered query against its SQL in DuckDB, on the smallest data folder."""
 
-import os
-
 import pytest
 from compare import check, connect
 
@@ -11,10 +9,6 @@ from oddsmith.catalog import registry
 FOLDER = "/root/testdata/sf0.001"
 catalog.load()
 
-# long chains whose parts are covered by other entries; run with ODDSMITH_ALL=1
-LONG = {"group_suspicion", "insider_overview", "flagged_trades", "suspect_list", "composite_json", "signal_list", "analytics_overview", "top_information_sources",
-        "leading_markets_granger", "decoupled_ladders", "ladder_categories", "cluster_list"}
-
 
 @pytest.fixture(scope="module")
 def duck():
@@ -23,8 +17,6 @@ def duck():
 
 @pytest.mark.parametrize("name", list(registry.ENTRIES))
 def test_query(name, spark, duck):
-    if name in LONG and not os.environ.get("ODDSMITH_ALL"):
-        pytest.skip("long chain")
     diff, rows, _ = check(name, spark, duck, FOLDER)
     assert diff is None, diff
 
