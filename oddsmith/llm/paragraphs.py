@@ -14,8 +14,11 @@ recovered digests of either side give the likeness: the Jaccard similarity of th
 Tables are sorted arrays of their cells that are not empty.  Joining two tables is a
 sort and one pass, so a document costs time in proportion to its paragraphs.
 
-The next document is found on ids alone: they are range-partitioned, the next id inside a
-partition is a window over it, and one row a partition links the partitions.
+The order of the ids is found on ids alone: they are range-partitioned, the next id inside
+a partition is a window over it, and one row a partition links the partitions.  Texts are
+then shuffled once, by slices of about a thousand ids; the first documents of a slice also
+go to the slice before, and the few documents whose next one is still elsewhere (a gap in
+the ids, the last of all) get it by a join.
 
 Defined cases: a null text is empty; an empty text has no cells and an empty fingerprint;
 two empty sets are alike (1.0); of rows that repeat an id, the smallest text serves as
@@ -143,29 +146,62 @@ def as_text(cells: Column) -> Column:
 
 
 def with_next(ids: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, next_id): the next larger id, after the last the first; rows of an id have one next."""
-    ordered = stored(ids.where("doc_id is not null").groupBy("doc_id").agg(F.max("n_chars").alias("n_chars")).repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id()), "fingerprint-ids")
+    """(doc_id, next_id): the next larger id, after the last the first; rows of an id have one next."""
+    ordered = stored(ids.where("doc_id is not null").distinct().repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id()), "fingerprint-ids")
     edges = ordered.groupBy("part").agg(F.min("doc_id").alias("first_id"))
     # one row a partition
     every = Window.partitionBy()
     edges = edges.select("part", F.coalesce(F.lead("first_id").over(Window.orderBy("part")), F.min("first_id").over(every)).alias("after"))
     near = ordered.withColumn("near", F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id")))
-    return near.join(edges, "part").select("doc_id", "n_chars", F.coalesce("near", "after").alias("next_id"))
+    return near.join(edges, "part").select("doc_id", F.coalesce("near", "after").alias("next_id"))
+
+
+SLICE = 1000
+
+
+def followed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, text, keys, next_text, next_keys) of documents with unique ids; ``pairs`` as from ``with_next``."""
+    gap = F.col("next_id") - F.col("doc_id")
+    small, large = pairs.where("next_id > doc_id").select(F.percentile_approx(gap, [0.01, 0.99], 10_000).alias("q")).first()["q"] or (1, 1)
+    width = SLICE * small
+
+    def slice_of(c: str) -> Column:
+        return F.col(c) - F.pmod(F.col(c), F.lit(width))
+
+    own = F.struct(slice_of("doc_id").alias("slice"), F.lit(False).alias("guest"))
+    before = F.struct((slice_of("doc_id") - width).alias("slice"), F.lit(True).alias("guest"))
+    early = F.pmod(F.col("doc_id"), F.lit(width)) < large
+    rows = docs.withColumn("at", F.explode(F.when(early, F.array(own, before)).otherwise(F.array(own)))).select("doc_id", "text", "keys", "at.slice", "at.guest", F.col("doc_id").alias("place"))
+    there = (slice_of("next_id") == slice_of("doc_id")) | ((slice_of("next_id") == slice_of("doc_id") + width) & (F.pmod(F.col("next_id"), F.lit(width)) < large))
+    elsewhere = pairs.where(~((F.col("next_id") > F.col("doc_id")) & there))
+    # after the last comes the first
+    place = F.when(F.col("next_id") > F.col("doc_id"), F.col("next_id")).otherwise(F.lit((1 << 63) - 1))
+    elsewhere = stored(elsewhere.select(F.col("next_id").alias("guest_id"), slice_of("doc_id").alias("slice"), F.lit(True).alias("guest"), place.alias("place")), "fingerprint-gaps")
+    guests = docs.join(elsewhere, docs["doc_id"] == elsewhere["guest_id"]).select("doc_id", "text", "keys", "slice", "guest", "place")
+    ahead = Window.partitionBy("slice").orderBy("guest", "place")
+    found = rows.unionByName(guests).withColumn("next_text", F.lead("text").over(ahead)).withColumn("next_keys", F.lead("keys").over(ahead))
+    return found.where("not guest").select("doc_id", "text", "keys", "next_text", "next_keys")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    pairs = stored(with_next(docs.select("doc_id", F.char_length("text").alias("n_chars"))), "fingerprint-next")
-    heads = docs if pairs.count() == docs.count() else docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-    # of the next document travel: the part an edit can take, and its digests
-    wanted = pairs.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), F.floor(F.col("n_chars") / 2).cast("int").alias("take"))
-    heads = heads.join(wanted, "doc_id").select("before", F.substring("text", F.lit(1), F.col("take")).alias("head"), digests(F.col("text")).alias("next_keys"))
-    both = docs.join(heads, docs["doc_id"] == heads["before"], "left").withColumn("n_chars", F.char_length("text").cast("long"))
+    pairs = stored(with_next(docs.select("doc_id")), "fingerprint-next")
+    nothing = F.array().cast("array<bigint>")
+    docs = docs.withColumn("keys", digests(F.col("text")))
+    named, unnamed = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    if pairs.count() == named.count():
+        both = followed(named, pairs)
+    else:
+        # repeated ids: each row meets the smallest text of the next id
+        heads = named.groupBy("doc_id").agg(F.min(F.struct("text", "keys")).alias("d")).join(pairs.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before")), "doc_id")
+        both = named.join(heads.select("before", "d"), named["doc_id"] == F.col("before")).select("doc_id", "text", "keys", F.col("d.text").alias("next_text"), F.col("d.keys").alias("next_keys"))
+    both = both.unionByName(unnamed.withColumn("next_text", F.lit("")).withColumn("next_keys", nothing))
+    both = both.withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.coalesce("head", F.lit("")), F.lit(1), half))
+    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half))
     base = F.lit(BASE_CELLS)
-    rows = both.select("doc_id", "n_chars", F.sha2(edited, 256).alias("edited_sha256"), digests(F.col("text")).alias("keys"), digests(edited).alias("edited_keys"), F.coalesce("next_keys", F.array().cast("array<bigint>")).alias("next_keys"))
+    rows = both.select("doc_id", "n_chars", F.sha2(edited, 256).alias("edited_sha256"), "keys", digests(edited).alias("edited_keys"), "next_keys")
     rows = rows.withColumns({f"{x}table": table(F.col(f"{x}keys"), base) for x in ("", "edited_", "next_")})
     near = {f"near_{x}": likeness(F.col("keys"), F.col("table"), F.col(f"{x}_keys"), F.col(f"{x}_table")) for x in ("edited", "next")}
     return rows.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("table")).alias("fingerprint"), as_text(F.col("edited_table")).alias("edited_fingerprint"), *(v.alias(k) for k, v in near.items()))

@@ -303,6 +303,22 @@ def test_fingerprints_brute_force(spark):
     assert got[1]["fingerprint"] == got[len(texts)]["fingerprint"] != got[2]["fingerprint"] and got[27]["fingerprint"] == ""
 
 
+@pytest.mark.parametrize("step", [1, 37, "gaps"])
+def test_next_documents_over_slices(spark, monkeypatch, step):
+    monkeypatch.setattr(paragraphs, "SLICE", 4)
+    rng = np.random.default_rng(21)
+    ids = sorted({int(i) for i in (rng.integers(-500, 10**6, 60) if step == "gaps" else np.arange(-30, 30) * step)})
+    if step == "gaps":
+        ids = sorted({*ids, *range(100, 130), 1 << 40})
+    texts = {i: f"head {i}\nshared\n{prose(rng, 5)}" for i in ids}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r for r in rows_of(paragraphs.fingerprints(frame))}
+    for i, after in zip(ids, [*ids[1:], ids[0]], strict=True):
+        half = len(texts[i]) // 2
+        assert got[i]["edited_sha256"] == hashlib.sha256((texts[i][: len(texts[i]) - half] + texts[after][:half]).encode()).hexdigest()
+        assert np.isclose(got[i]["near_next"], brute_near(texts[i], texts[after]))
+
+
 def test_fingerprints_edges(spark, edge, edge_rows, none):
     assert len(rows_of(paragraphs.fingerprints(edge))) == len(edge_rows)
     assert rows_of(paragraphs.fingerprints(none)) == []
