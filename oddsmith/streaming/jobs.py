@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from oddsmith import schemas
 from oddsmith.operators.versions import latest_version, order_key
+from oddsmith.plans.lifecycle import scan_transitions
 from oddsmith.session import ensure_checkpoint_dir
 from oddsmith.sources.parse import levels
 
@@ -289,3 +290,43 @@ def arbitrage_lifecycle(scans: DataFrame, key: list[str], root: str | None = Non
             now.unpersist()
 
     return run_batches(scans, "arbitrage", write, root=root)
+
+
+def arbitrage_scans(scans: DataFrame, key: list[str], root: str | None = None) -> DataFrame:
+    """Transitions of numbered scans(scan_no, key...) that arrive in order, in any split over micro-batches.
+
+    A scan is complete when a later one has begun.  A batch stores its rows by scan and
+    the number up to which scans are complete, and writes the transitions of the scans
+    that became complete; the scans still open at the end of the input follow at the end.
+    A repeated batch writes the same files again.
+    """
+    spark = scans.sparkSession
+    first = -(1 << 62)
+    schema = scans.select("scan_no", *key).schema
+
+    def seen(root: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{root}/seen/*")
+
+    def transitions(root: str, after: int, upto: int) -> DataFrame:
+        # the scan before the first new one is what its rows are compared with
+        rows = seen(root).where(F.col("scan_no").between(max(after, first), upto))
+        return scan_transitions(rows, key).where(F.col("scan_no") > after)
+
+    def done_before(root: str, i: int) -> int:
+        return int(spark.read.text(f"{root}/done/batch={i - 1}").first()[0]) if i > 0 else first
+
+    def write(batch: DataFrame, i: int, root: str) -> None:
+        batch.select("scan_no", *key).distinct().write.mode("overwrite").parquet(f"{root}/seen/batch={i}")
+        after, newest = done_before(root, i), seen(root).agg(F.max("scan_no")).first()[0]
+        upto = max(after, newest - 1) if newest is not None else after
+        transitions(root, after, upto).write.mode("overwrite").parquet(f"{root}/transitions/batch={i}")
+        spark.createDataFrame([(str(upto),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/done/batch={i}")
+        state["last"] = i
+
+    state = {"last": -1}
+    root = run_batches(scans, "arbitrage-scans", write, root=root)
+    if state["last"] < 0:
+        return scan_transitions(spark.createDataFrame([], schema), key)
+    after = done_before(root, state["last"] + 1)
+    written = spark.read.schema(transitions(root, after, after).schema).parquet(f"{root}/transitions/*")
+    return written.unionByName(transitions(root, after, (1 << 62)))

@@ -170,3 +170,16 @@ print("ROWS", e.queries()["stream_high_water"](spark, "/root/testdata/sf0.001").
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS" in done.stdout, done.stderr[-1500:]
+
+
+def test_arbitrage_scans_that_span_batches(spark, tmp_path):
+    from oddsmith.plans.lifecycle import scan_transitions
+
+    schema = "scan_no long, condition_id long, arb_type string"
+    rows = [(n, k, "x") for n in range(1, 7) for k in range(6) if (n * k) % 4 != 2]
+    for i in range(0, len(rows), 5):  # a scan starts in one file and ends in the next
+        spark.createDataFrame(rows[i : i + 5], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    frame = jobs.file_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, files_per_trigger=1)
+    got = sorted(map(tuple, jobs.arbitrage_scans(frame, ["condition_id", "arb_type"], str(tmp_path / "root")).select("scan_no", "condition_id", "status").collect()))
+    want = sorted(map(tuple, scan_transitions(spark.createDataFrame(rows, schema), ["condition_id", "arb_type"]).select("scan_no", "condition_id", "status").collect()))
+    assert got == want and len(want) > 10
