@@ -5,7 +5,8 @@
    samples are also folded into an odd sketch: a 512-bit parity bitmap in which sample i
    flips one bit.  The XOR of two sketches has as many bits as samples that differ flip,
    which gives the similarity: 1 + bits / (4 samples) * ln(1 - 2 z / bits).
-2. Documents with equal shingle sets are one class; the smallest id stands for it.
+2. Documents with equal shingle sets are one class; the smallest id stands for it.  A block
+   hands on the bands of one document of each class, a bucket keeps one of each.
 3. Buckets of a band with two or more representatives are brought together; buckets with the
    same members count once.  A bucket past ``BUCKET`` members is split into pairs of
    member blocks, so no pair is lost and no task gets more than two blocks.
@@ -97,7 +98,16 @@ def signatures(docs: DataFrame) -> DataFrame:
             if len(full):
                 digests[0, full] = np.add.reduceat(hashes, bounds[full])
                 digests[1, full] = np.bitwise_xor.reduceat(mixed(hashes + U(0x5851F42D4C957F2D)), bounds[full])
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(block.n + 1, dtype=np.int32) * BANDS), pa.array(band_keys(minima).ravel().view(np.int64)))
+            # bands of the smallest id of each class of the block; none without words or id
+            doc = block.column("doc_id").fill_null(0).to_numpy()
+            order = np.lexsort((doc, digests[1], digests[0]))
+            fresh = np.ones(block.n, bool)
+            fresh[1:] = (digests[:, order[1:]] != digests[:, order[:-1]]).any(axis=0) | ~np.asarray(block.column("doc_id").is_valid())[order[:-1]]
+            chosen = np.zeros(block.n, bool)
+            chosen[order] = fresh
+            chosen &= (n > 0) & np.asarray(block.column("doc_id").is_valid())
+            ends = np.concatenate([[0], np.cumsum(chosen * BANDS)]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(minima)[chosen].ravel().view(np.int64)))
             sketch = odd_sketches(minima)
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), keys, pa.array([s.tobytes() for s in sketch], pa.binary())], names=["doc_id", "n", "d1", "d2", "bands", "sketch"])
 
@@ -121,7 +131,7 @@ def by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def buckets(reps: DataFrame) -> DataFrame:
+def buckets(sigs: DataFrame) -> DataFrame:
     """(bucket, doc_id) of the buckets with several representatives, equal buckets once."""
 
     def emit(keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
@@ -131,9 +141,12 @@ def buckets(reps: DataFrame) -> DataFrame:
         keys, ids, held = [], [], 0
         rest_key, rest_ids = None, []
 
-        def close(members: np.ndarray) -> None:
+        def close(rows: np.ndarray) -> None:
             nonlocal held
-            members = np.unique(members)
+            # equal sets share all their buckets: the smallest id of each stays
+            order = np.lexsort(rows)
+            doc, digest = rows[:, order]
+            members = np.unique(doc[np.concatenate([[True], digest[1:] != digest[:-1]])])
             if len(members) < 2:
                 return
             size = len(members)
@@ -148,31 +161,31 @@ def buckets(reps: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k, d = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
+            k, d = batch.column("key").to_numpy(), np.stack([batch.column("doc_id").to_numpy(), batch.column("d1").to_numpy()])
             cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
             if rest_key is not None and k[0] != rest_key:
-                close(np.concatenate(rest_ids))
+                close(np.concatenate(rest_ids, axis=1))
                 rest_ids = []
             if not len(cuts):
                 rest_key = k[0]
                 rest_ids.append(d)
                 continue
-            close(np.concatenate([*rest_ids, d[: cuts[0]]]))
+            close(np.concatenate([*rest_ids, d[:, : cuts[0]]], axis=1))
             # most keys have one row: only runs of two or more are looked at
             lengths = np.diff(cuts)
             for i in np.flatnonzero(lengths > 1):
-                close(d[cuts[i] : cuts[i + 1]])
-            rest_key, rest_ids = k[-1], [d[cuts[-1] :]]
+                close(d[:, cuts[i] : cuts[i + 1]])
+            rest_key, rest_ids = k[-1], [d[:, cuts[-1] :]]
             if held > 100_000:
                 yield emit(keys, ids)
                 keys, ids, held = [], [], 0
         if rest_ids:
-            close(np.concatenate(rest_ids))
+            close(np.concatenate(rest_ids, axis=1))
         if held:
             yield emit(keys, ids)
 
-    rows = reps.select(F.explode("bands").alias("key"), "doc_id")
-    return rows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "bucket long, doc_id long").distinct()
+    rows = sigs.select(F.explode("bands").alias("key"), "doc_id", "d1")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "bucket long, doc_id long").distinct()
 
 
 def _near(z: np.ndarray, n: np.ndarray, i: int, j: int) -> np.ndarray:
@@ -200,20 +213,23 @@ def _unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def proposals(members: DataFrame) -> DataFrame:
-    """(b, a): for each document its nearest earlier one of all its buckets, by the sketches."""
+    """(b, a): for each document its nearest earlier one of all its buckets, by the sketches; a is null for one that is only near later ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, ...]] = []
         held = 0
         for group in by_group(batches, "bucket"):
             ids, n, sketch = _unpacked(group)
+            near_later = np.zeros(len(ids), bool)
             for i, z, near in _tiles(sketch, n):
+                near_later[: near.shape[1]] |= near.any(axis=0)
                 z = np.where(near, z, SKETCH_BITS + 1)
                 best = z.argmin(axis=1)
                 flips = z[np.arange(len(z)), best]
                 ok = flips <= MOST_FLIPS
                 out.append((ids[i : i + len(z)][ok], ids[best[ok]], flips[ok].astype(np.int32)))
-                held += int(ok.sum())
+            out.append((ids[near_later], ids[near_later], np.full(int(near_later.sum()), SKETCH_BITS, np.int32)))
+            held += len(ids)
             if held > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["b", "a", "flips"])
                 out, held = [], 0
@@ -221,7 +237,8 @@ def proposals(members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["b", "a", "flips"])
 
     found = members.repartition("bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(run, "b long, a long, flips int")
-    return found.groupBy("b").agg(F.min(F.struct("flips", "a"))["a"].alias("a"))
+    best = found.groupBy("b").agg(F.min(F.struct("flips", "a")).alias("best"))
+    return best.select("b", F.when(F.col("best.a") != F.col("b"), F.col("best.a")).alias("a"))
 
 
 def _set_of(text: str) -> np.ndarray:
@@ -323,13 +340,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sigs = stored(signatures(docs), "minhash-signatures")
     classes = sigs.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     classes = stored(classes, "minhash-classes")
-    reps = sigs.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").where("n > 0")
-    found = stored(buckets(reps), "minhash-buckets")
-    members = stored(found.join(reps.select("doc_id", "n", "sketch"), "doc_id"), "minhash-members")
-    pairs = stored(proposals(members), "minhash-proposals")
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    wanted = members.select("doc_id").distinct()
-    texts = stored(texts.join(wanted, "doc_id", "left_semi"), "minhash-texts")
+    found = buckets(sigs)
+    members = stored(found.join(sigs.select("doc_id", "n", "sketch").dropDuplicates(["doc_id"]), "doc_id"), "minhash-members")
+    near = stored(proposals(members), "minhash-proposals")
+    pairs = near.where("a is not null")
+    # the ids near another have no bound: never broadcast, the same join at every size
+    wanted = near.select(F.col("b").alias("doc_id"))
+    texts = stored(docs.select(F.col("doc_id").cast("long"), "text").join(wanted.hint("merge"), "doc_id", "left_semi"), "minhash-texts")
     first = stored(confirmed(pairs, texts).distinct(), "minhash-links")
     label = stored(connected_components(first), "minhash-labels")
     labelled = members.join(label, members["doc_id"] == label["node"], "left").select(members["bucket"], members["doc_id"], members["n"], members["sketch"], F.coalesce("component", "doc_id").alias("component"))
@@ -351,5 +368,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` of one document of each group, with all their columns; rows that repeat an id stay one row."""
     keep = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_near_keep")).distinct()
-    numbered = docs.join(keep, docs["doc_id"] == keep["_near_keep"], "left_semi").dropDuplicates(["doc_id"])
+    numbered = docs.join(keep.hint("merge"), docs["doc_id"] == keep["_near_keep"], "left_semi").dropDuplicates(["doc_id"])
     return numbered.unionByName(docs.where(F.col("doc_id").isNull()))
