@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from oddsmith.llm.store import stored
 from oddsmith.llm.suffixes import Sums, common_prefixes, suffix_array
-from oddsmith.llm.text import BYTE_CODES, Block, U, blocks, mixed, spans_hash
+from oddsmith.llm.text import BYTE_CODES, U, blocks, mixed, spans_hash
 
 LENGTH = 100
 GRAM = 24

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from oddsmith.session import ensure_checkpoint_dir
 
@@ -22,13 +23,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def documents_of(docs: DataFrame, *extra: str) -> DataFrame:
-    """doc_id and text of a documents frame (and ``extra``), whatever other columns it carries."""
-    return docs.select("doc_id", "text", *extra)
-
-
-def crc_fold(column: str = "doc_id"):
+def crc_fold(column: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 4: 2 marks the rows that are held out from learning."""
-    from pyspark.sql import functions as F
-
     return F.crc32(F.col(column).cast("string").cast("binary")) % 4
