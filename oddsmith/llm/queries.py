@@ -40,7 +40,8 @@ def op2_cross_entropy_difference(spark: SparkSession, folder: str) -> DataFrame:
     """Target: documents labelled good and not toxic; background: all documents."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     good = _table(spark, folder, "labels").where("quality = 1 and toxic = 0").select("doc_id")
-    target = stored(docs.join(good, "doc_id", "left_semi"), "lm-target")
+    # labels have no bound: never broadcast, the same join at every size
+    target = stored(docs.join(good.hint("merge"), "doc_id", "left_semi"), "lm-target")
     scored = lm.cross_entropy_difference(docs, target, docs)
     return scored.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "score")))
 
