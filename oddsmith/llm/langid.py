@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddsmith.llm.store import crc_fold, stored
+from oddsmith.llm.store import crc_fold
 from oddsmith.llm.text import Block, blocks
 
 BITS = 15
@@ -151,11 +151,19 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 11) -> Mod
 
 
 def sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """At most ``per_language`` learnable rows a language, those with the smallest hash of the id."""
-    known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & (crc_fold() != 2) & F.col("text").isNotNull()).withColumn("h", F.xxhash64("doc_id"))
-    # the rank limit is applied in each partition before the shuffle
+    """At most ``per_language`` learnable rows a language, those with the smallest hash of the id.
+
+    Rows whose hash is above twice the share that is needed are left out where they are
+    read, so about ``2 * per_language`` texts of a language are ranked, however large it is.
+    """
+    known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & (crc_fold() != 2) & F.col("text").isNotNull())
+    known = known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    # one number a language, which the model has to know anyway
+    rows = [(r["lang"], r["count"]) for r in known.groupBy("lang").count().collect()]
+    most = F.create_map(*[F.lit(x) for lang, n in rows for x in (lang, 2.0 * per_language * (1 << 40) / n)]) if rows else F.lit(None).cast("map<string,double>")
+    few = known.where(F.col("h") <= F.try_element_at(most, "lang"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
-    return known.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "rank", "text")
+    return few.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "rank", "text")
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
