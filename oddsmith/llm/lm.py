@@ -1,19 +1,23 @@
 """Cross-entropy difference: a target and a background bigram model over one vocabulary.
 
-Both models count whole corpora.  The vocabulary is every word that makes up at least
-``WORD_SHARE`` of either corpus (so at most 2 / WORD_SHARE words); all others are one
-unknown word.  Bigrams with at least ``PAIR_SHARE`` of either corpus are kept (at most
-2 / PAIR_SHARE); what a context loses by that goes to its unigram part:
+Both models count whole corpora and keep every word and every pair that was counted:
 
     p1(w)   = (c(w) + 1) / (N + V)
-    p(w|v)  = (c(v, w) + (MU + r(v)) * p1(w)) / (c(v) + MU)
+    p(w|v)  = (c(v, w) + MU * p1(w)) / (c(v) + MU)
 
-with r(v) the count of the context's pairs that were not kept.  Only the models, bounded
-by these shares, are sent to the tasks; counting is a map-side combined aggregate, and a
-task merges its own counts first.  A document's score is its loss per token under the
-target model minus that under the background model: low means like the target.
+with V one more than the words of both corpora: a word of neither counts as unknown.  The
+model is a stored table of pairs that grows with the corpora and is never sent to the
+tasks: counting is a map-side combined aggregate (a task merges its own counts first),
+counts of words and contexts are joined to the pairs, and the pairs of the documents,
+counted document by document, to those, by shuffles.  A document's score is its loss per
+token under the target model minus that under the background model: low means like the
+target.
+
+A caller may set ``WORD_SHARE`` and ``PAIR_SHARE`` to make words and pairs below these shares
+of both corpora one unknown word, or part of their context's unigram part; both are 0.
 
 Words are runs of non-space bytes, A-Z in lower case; the first word follows a border mark.
+A pair is known by a 64-bit hash from which the word gives back the word before.
 
 Defined cases: a null or empty text has no tokens and null losses and score; a document
 counts as often as its row occurs; without target documents both models still have the
@@ -27,19 +31,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsmith.llm.store import stored
-from oddsmith.llm.text import LOWER, Block, blocks, spans_hash, sums_by_document, word_spans
+from oddsmith.llm.text import LOWER, Block, U, blocks, spans_hash, word_spans
 
-WORD_SHARE = 1e-5
-PAIR_SHARE = 1e-6
+WORD_SHARE = 0.0
+PAIR_SHARE = 0.0
 MU = 100.0
-_CODE_BITS = 20
-_TOTAL = (1 << _CODE_BITS) - 1  # in place of the second word: the count of the context
+#: in place of a word's hash
 BORDER, UNKNOWN = 0, 1
 _MERGE = 2_000_000
+SIDES = ("target", "background")
 
 
 def words_of(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -48,128 +52,136 @@ def words_of(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return spans_hash(data, start, end).view(np.int64), first
 
 
-def _counted(batches: Iterator[pa.RecordBatch], keys_of, name: str, column: str) -> Iterator[pa.RecordBatch]:
-    """Counts of a task's keys, merged as they come."""
-    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+def pairs_of(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, word, first token of each document and one more)."""
+    words, first = words_of(block)
+    before = np.empty(len(words), np.int64)
+    before[1:] = words[:-1]
+    before[first[:-1][first[:-1] < len(words)]] = BORDER
+    turned = before.view(np.uint64)
+    return ((turned << U(1) | turned >> U(63)) ^ words.view(np.uint64)).view(np.int64), words, first
+
+
+def before_of(pair: Column, word: Column) -> Column:
+    turned = pair.bitwiseXOR(word)
+    return F.shiftrightunsigned(turned, 1).bitwiseOR(F.shiftleft(turned, 63))
+
+
+def _counted(batches: Iterator[pa.RecordBatch], column: str | None) -> Iterator[pa.RecordBatch]:
+    """Counts of a task's pairs, merged as they come; without a column the pairs count 0."""
+    pairs, words, counts = (np.empty(0, np.int64) for _ in range(3))
+    waiting: list[tuple[np.ndarray, ...]] = []
     held = 0
 
     def merge() -> None:
-        nonlocal keys, counts, waiting, held
-        k = np.concatenate([keys, *(x for x, _ in waiting)])
-        c = np.concatenate([counts, *(x for _, x in waiting)])
-        keys, inverse = np.unique(k, return_inverse=True)
-        counts = np.bincount(inverse, c, len(keys)).astype(np.int64)
+        nonlocal pairs, words, counts, waiting, held
+        k, w, c = (np.concatenate(x) for x in zip((pairs, words, counts), *waiting, strict=True))
+        pairs, at, inverse = np.unique(k, return_index=True, return_inverse=True)
+        words, counts = w[at], np.bincount(inverse, c, len(pairs)).astype(np.int64)
         waiting, held = [], 0
 
     def emit() -> pa.RecordBatch:
-        zero = pa.array(np.zeros(len(keys), np.int64))
-        both = {"target": zero, "background": zero} | {column: pa.array(counts)}
-        return pa.RecordBatch.from_arrays([pa.array(keys), both["target"], both["background"]], names=[name, "target", "background"])
+        zero = pa.array(np.zeros(len(pairs), np.int64))
+        sides = dict.fromkeys(SIDES, zero) | ({column: pa.array(counts)} if column else {})
+        return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(words), *sides.values()], names=["pair", "word", *SIDES])
 
     for block in blocks(batches):
-        found = np.unique(keys_of(block), return_counts=True)
-        waiting.append(found)
-        held += len(found[0])
+        pair, word, _ = pairs_of(block)
+        found, at, count = np.unique(pair, return_index=True, return_counts=True)
+        waiting.append((found, word[at], count))
+        held += len(found)
         if held > _MERGE:
             merge()
-            if len(keys) > 2 * _MERGE:
+            if len(pairs) > 2 * _MERGE:
                 yield emit()
-                keys, counts = keys[:0], counts[:0]
+                pairs, words, counts = pairs[:0], words[:0], counts[:0]
     merge()
-    if len(keys):
+    if len(pairs):
         yield emit()
 
 
-def counts(docs: DataFrame, column: str, name: str, keys_of) -> DataFrame:
+def counts(docs: DataFrame, column: str | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _counted(batches, keys_of, name, column)
-
-    return docs.select("text").mapInArrow(run, f"{name} long, target long, background long")
+        return _counted(batches, column)
 
+    return docs.select("text").mapInArrow(run, "pair long, word long, target long, background long")
 
-def total_counts(target: DataFrame, background: DataFrame, name: str, keys_of) -> DataFrame:
-    both = counts(target, "target", name, keys_of).unionByName(counts(background, "background", name, keys_of))
-    return both.groupBy(name).agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
+def _sums(*names: str) -> list[Column]:
+    return [F.sum(name).alias(name) for name in names]
 
-class Vocabulary:
-    """Codes of the shared words: 0 border, 1 unknown, then the words by hash."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = hashes
+def pair_counts(docs: DataFrame, target: DataFrame, background: DataFrame) -> DataFrame:
+    """(pair, word, before, target, background) of all pairs of both corpora and of ``docs``."""
+    both = counts(target, "target").unionByName(counts(background, "background"))
+    if docs is not target and docs is not background:
+        both = both.unionByName(counts(docs, None))
+    found = both.groupBy("pair").agg(F.min("word").alias("word"), *_sums(*SIDES))
+    return stored(found, "lm-pairs").withColumn("before", before_of(F.col("pair"), F.col("word")))
 
-    def codes(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(words), UNKNOWN, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, at + 2, UNKNOWN)
 
-    def pairs(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(code before, code, first token of each document and one more)."""
-        words, first = words_of(block)
-        code = self.codes(words)
-        before = np.empty(len(code), np.int64)
-        before[1:] = code[:-1]
-        before[first[:-1][first[:-1] < len(code)]] = BORDER
-        return before, code, first
+def _often(share: float, n: dict[str, int]) -> Column:
+    t, b = ((F.col(side) > 0) & (F.col(side) >= share * n[side]) for side in SIDES)
+    return t | b
 
 
-class Model:
-    """One corpus: log probabilities of the pairs of a block."""
+def losses(pairs: DataFrame) -> DataFrame:
+    """(pair, loss_target, loss_background) of each row of ``pair_counts``."""
+    words = stored(pairs.groupBy("word").agg(*_sums(*SIDES)), "lm-words")
+    total = words.agg(*_sums(*SIDES), F.count_if(_often(0, dict.fromkeys(SIDES, 0))).alias("words")).first()
+    n, size = {side: int(total[side] or 0) for side in SIDES}, total["words"] + 1
+    rows = merged = pairs
+    if WORD_SHARE > 0 or PAIR_SHARE > 0:
+        known = words.where(_often(WORD_SHARE, n)).select(F.col("word").alias("known")).hint("merge")
+        size = known.count() + 1
+        for c in ("word", "before"):
+            code = F.when(F.col("known").isNotNull() | (F.col(c) == BORDER), F.col(c)).otherwise(F.lit(UNKNOWN).cast("long"))
+            rows = rows.join(known, F.col(c) == F.col("known"), "left").withColumn(c, code).drop("known")
+        merged = rows.groupBy("before", "word").agg(*_sums(*SIDES))
+        words = merged.groupBy("word").agg(*_sums(*SIDES))
+    often = _often(PAIR_SHARE, n)
+    rest = [F.sum(F.when(often, 0).otherwise(F.col(side))).alias(f"rest_{side}") for side in SIDES]
+    contexts = merged.groupBy("before").agg(*(F.sum(side).alias(f"all_{side}") for side in SIDES), *rest)
+    words = words.select("word", *(F.col(side).alias(f"word_{side}") for side in SIDES))
+    if merged is not pairs:
+        kept = merged.select("before", "word", *(F.when(often, F.col(side)).otherwise(0).alias(side) for side in SIDES))
+        rows = rows.select("pair", "before", "word").join(kept.hint("merge"), ["before", "word"])
+    # words and contexts have no bound: never broadcast, the same joins at every size
+    rows = rows.join(words.hint("merge"), "word").join(contexts.hint("merge"), "before")
 
-    def __init__(self, unigram: np.ndarray, context: np.ndarray, pair_keys: np.ndarray, pair_counts: np.ndarray):
-        self.p1 = (unigram + 1) / (unigram.sum() + len(unigram) - 1)  # the border is never a word
-        kept = np.bincount(pair_keys >> _CODE_BITS, pair_counts, len(unigram)) if len(pair_keys) else np.zeros(len(unigram))
-        self.total, self.rest = context + MU, MU + context - kept
-        self.counts = np.append(pair_counts, 0.0)
+    def loss(side: str) -> Column:
+        p1 = (F.col(f"word_{side}") + 1) / F.lit(float(n[side] + size))
+        return -F.log((F.col(side) + (F.col(f"rest_{side}") + MU) * p1) / (F.col(f"all_{side}") + MU))
 
-    def loss(self, before: np.ndarray, code: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        return -np.log((self.counts[pair] + self.rest[before] * self.p1[code]) / self.total[before])
+    return rows.select("pair", *(loss(side).alias(f"loss_{side}") for side in SIDES))
 
 
-def fit(target: DataFrame, background: DataFrame) -> tuple[Vocabulary, np.ndarray, Model, Model]:
-    unigrams = stored(total_counts(target, background, "word", lambda block: words_of(block)[0]), "lm-words")
-    n_t, n_b = (int(x or 0) for x in unigrams.agg(F.sum("target"), F.sum("background")).first())
-    frequent = ((F.col("target") > 0) & (F.col("target") >= WORD_SHARE * n_t)) | ((F.col("background") > 0) & (F.col("background") >= WORD_SHARE * n_b))
-    rows = unigrams.where(frequent).toArrow().sort_by("word")
-    vocabulary = Vocabulary(rows.column("word").to_numpy())
-    size = len(vocabulary.hashes) + 2
+def document_pairs(docs: DataFrame) -> DataFrame:
+    """row, doc_id, n_tokens, pairs as array of struct(pair, times), of every row of ``docs``; stored, so that ``row`` is the same in all that reads it."""
 
-    def pair_keys(block: Block) -> np.ndarray:
-        before, code, _ = vocabulary.pairs(block)
-        return np.concatenate([before << _CODE_BITS | code, before << _CODE_BITS | _TOTAL])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            pair, _, first = pairs_of(block)
+            doc = np.repeat(np.arange(block.n), np.diff(first))
+            order = np.lexsort((pair, doc))
+            pair, doc = pair[order], doc[order]
+            fresh = np.ones(len(pair), bool)
+            fresh[1:] = (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])
+            at = np.flatnonzero(fresh)
+            each = pa.StructArray.from_arrays([pa.array(pair[at]), pa.array(np.diff(np.append(at, len(pair))), pa.int32())], ["pair", "times"])
+            bounds = np.searchsorted(doc[at], np.arange(block.n + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([block.column("row"), block.column("doc_id"), pa.array(np.diff(first), pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), each)], names=["row", "doc_id", "n_tokens", "pairs"])
 
-    pairs = total_counts(target, background, "pair", pair_keys)
-    often = (F.col("target") > 0) & (F.col("target") >= PAIR_SHARE * n_t) | (F.col("background") > 0) & (F.col("background") >= PAIR_SHARE * n_b)
-    kept = pairs.where(often | (F.col("pair").bitwiseAND(_TOTAL) == _TOTAL)).toArrow().sort_by("pair")
-    keys = kept.column("pair").to_numpy()
-    is_total = keys & _TOTAL == _TOTAL
-    models = []
-    for name, n in (("target", n_t), ("background", n_b)):
-        unigram, context = np.zeros(size), np.zeros(size)
-        unigram[2:] = rows.column(name).to_numpy()
-        unigram[UNKNOWN] = n - unigram.sum()
-        value = kept.column(name).to_numpy().astype(float)
-        context[keys[is_total] >> _CODE_BITS] = value[is_total]
-        models.append(Model(unigram, context, keys[~is_total], value[~is_total]))
-    return vocabulary, keys[~is_total], *models
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
+    return stored(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, pairs array<struct<pair:long,times:int>>"), "lm-documents")
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: DataFrame) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background, score of every row of ``docs``."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(target, background))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, keys, model_t, model_b = sent.value
-        for block in blocks(batches):
-            before, code, first = vocabulary.pairs(block)
-            key = before << _CODE_BITS | code
-            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-            pair = np.where(keys[at] == key, at, len(keys)) if len(keys) else np.zeros(len(key), np.int64)
-            n = np.diff(first)
-            lost = [sums_by_document(m.loss(before, code, pair), first) / np.maximum(n, 1) for m in (model_t, model_b)]
-            empty = n == 0
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x, mask=empty) for x in (*lost, lost[0] - lost[1]))], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    model = losses(pair_counts(docs, target, background))
+    rows = document_pairs(docs)
+    each = rows.select("row", F.inline("pairs")).join(model.hint("merge"), "pair")
+    lost = each.groupBy("row").agg(*(F.sum(F.col("times") * F.col(f"loss_{side}")).alias(f"loss_{side}") for side in SIDES))
+    out = rows.select("row", "doc_id", "n_tokens").join(lost.hint("merge"), "row", "left")
+    out = out.select("doc_id", "n_tokens", *((F.col(f"loss_{side}") / F.col("n_tokens")).alias(f"loss_{side}") for side in SIDES))
+    return out.withColumn("score", F.col("loss_target") - F.col("loss_background"))

@@ -173,6 +173,23 @@ def test_cross_entropy_brute_force(spark, monkeypatch):
             assert np.allclose([r["loss_target"], r["loss_background"], r["score"]], [*want, want[0] - want[1]])
 
 
+def test_cross_entropy_keeps_rare_words_and_pairs(spark):
+    """120,000 tokens: a word or a pair that occurs once lies below 1e-5 of them, and counts all the same; also for documents of neither corpus."""
+    texts = ["seldom met pair", *["a b c d e f g h i j k l " * 1000] * 10, "seldom met", "never seen pair"]
+    docs = docs_of(spark, texts)
+    known = docs.where("doc_id <= 12")
+    want = brute_lm(texts[:12], [0], 0, 0, lm.MU)
+    for frame in (known, docs):
+        got = {r["doc_id"]: r for r in rows_of(lm.cross_entropy_difference(frame, docs.where("doc_id = 1"), known))}
+        for i, w in enumerate(want):
+            assert np.allclose([got[i + 1]["loss_target"], got[i + 1]["loss_background"]], w)
+    n, v = 3, 15 + 1
+    first = -np.log((1 / (n + v)) * lm.MU / (1 + lm.MU))
+    second = -np.log(1 / (n + v))
+    third = -np.log(2 / (n + v))
+    assert np.isclose(got[13]["loss_target"], (first + second + third) / 3)
+
+
 def test_cross_entropy_edges(edge, edge_rows, none):
     assert len(rows_of(lm.cross_entropy_difference(edge, edge.where("lang = 'en'"), edge))) == len(edge_rows)
     assert all(r["score"] is None or np.isfinite(r["score"]) for r in rows_of(lm.cross_entropy_difference(edge, none, edge)))
