@@ -14,7 +14,9 @@ position of a file among all ids is a running sum over the manifest, one row a f
 Encoding: text cut at ASCII white space, and between a letter and plain punctuation, can be
 encoded piece by piece with the same ids, because no token of the vocabulary and no step
 of its normaliser crosses such a border.  A task so encodes each distinct piece once
-(with the tokenizers library) and expands the documents by array lookups.
+(with the tokenizers library) and expands the documents by array lookups.  Pieces of ASCII
+alone are taken in lower case; in others the normaliser composes marks with letters first,
+and some only with small ones, so their case is left alone.
 
 Defined cases: a null or empty text is the end id alone; rows that repeat an id follow
 each other, ordered by their text; null ids come first; an empty table gives no file
@@ -77,6 +79,18 @@ def piece_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return start, end, np.searchsorted(start, offsets)
 
 
+def lowered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Lower case in the pieces where that changes no id: ASCII alone (the normaliser composes before it lowers) and without ``<|`` (special tokens are told apart by case)."""
+    odd = data >= 128
+    odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+    before = np.concatenate([[0], np.cumsum(odd)])
+    same = before[end] == before[start]
+    step = np.zeros(len(data) + 1, np.int8)
+    step[start[same]] += 1
+    step[end[same]] -= 1
+    return np.where(np.cumsum(step[:-1], dtype=np.int8) > 0, LOWER[data], data)
+
+
 class Encoder:
     """Ids of whole texts; remembers the ids of pieces it has met (an array store, cleared when full)."""
 
@@ -105,10 +119,8 @@ class Encoder:
 
     def block(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents with their end ids, first id of each document and one more)."""
-        data = block.data
-        if b"<|" not in data.tobytes():  # special tokens are told apart by case
-            data = LOWER[data]
-        start, end, bounds = piece_spans(data, block.offsets)
+        start, end, bounds = piece_spans(block.data, block.offsets)
+        data = lowered(block.data, start, end)
         hashes, sample, inverse = np.unique(spans_hash(data, start, end), return_index=True, return_inverse=True)
         if len(self.known) + len(hashes) > CACHE_PIECES:
             self.forget()

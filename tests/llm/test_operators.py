@@ -473,6 +473,19 @@ def test_tokens_equal_the_library(spark):
         at += len(ids)
 
 
+def test_tokens_of_decomposed_capitals(spark):
+    """Only the small letters of these compose with their mark: lower case must not come before composition, whatever the neighbours hold."""
+    from tokenizers import Tokenizer
+
+    marked = ["H\u0331amas", "J\u030cx", "T\u0308", "W\u030aa", "THE H\u0331AMAS.T\u0308 AND (W\u030aA)"]
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    for texts in (marked, [*marked, "<|endoftext|> A<|ENDOFTEXT|>"]):
+        got = {r["doc_id"]: r for r in rows_of(tokens.tokenize(spark, docs_of(spark, texts), TOKENIZER))}
+        for i, t in enumerate(texts):
+            ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
+            assert (got[i + 1]["n_tokens"], got[i + 1]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
+
+
 def test_token_files_round_trip(spark, monkeypatch, edge, none):
     monkeypatch.setattr(tokens, "BLOCK_IDS", 64)
     folder = tokens.shared_folder(spark, "tokens-test")
