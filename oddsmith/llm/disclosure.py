@@ -4,23 +4,25 @@
    without overlap inside each kind.  Positions come from the text between matches
    (split) and the matches (regexp_extract_all), in code points.
 2. A protected entity is a kind and its value.  A term is a run of letters, in lower
-   case.  Terms within ``REACH`` code points of an entity in the same line co-occur with
-   it.  Over the lines of the whole corpus
+   case.  Terms co-occur with the entities of their line, and with those of their document;
+   each is scored over the whole corpus, with lines and with documents as units:
 
-       IC(c)    = -log2(lines(c) / lines)
-       PMI(t;c) = log2(lines * together(t, c) / (lines(t) * lines(c)))
+       IC(c)    = -log2(units(c) / units)
+       PMI(t;c) = log2(units * together(t, c) / (units(t) * units(c)))
 
    and PMI / IC is the share of what the entity's name would tell that the term tells: 1
    when the term occurs only with the entity.  A term with at least ``SUPPORT`` different
-   lines together is generalised to the shape of its letters from ``GENERALISE`` on, and
-   removed from ``REMOVE`` on, wherever it stands near the entity.
+   units together is generalised to the shape of its letters from ``GENERALISE`` on, and
+   removed from ``REMOVE`` on, by the higher share of lines and documents, wherever it
+   stands in a document that holds the entity.
 3. ``sanitised`` puts tags for base spans, shapes for generalised and nothing for removed terms.
 
-Counting terms is a map-side combined aggregate over all lines; entities and their
-neighbours are joined by value, and a value that many rows share is dealt anew (skewed join).
+Counting terms is a map-side combined aggregate over all units; only entities of several
+different units are paired with terms, terms and entities are joined by value, and a value
+that many rows share is dealt anew (skewed join).
 
-Defined cases: a null or empty text has no spans; an entity in every line has IC 0
-and discloses nothing; rows that repeat an id are judged each by its own text; an empty
+Defined cases: a null or empty text has no spans; an entity in every unit has IC 0
+and discloses nothing there; rows that repeat an id are judged each by its own text; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -31,7 +33,6 @@ from pyspark.sql import functions as F
 
 from oddsmith.llm.store import stored
 
-REACH = 100
 SUPPORT = 2
 GENERALISE, REMOVE = 0.8, 0.95
 #: fixed values: kinds in order, and their patterns with possessive repetition (the same matches without deep recursion;
@@ -110,42 +111,74 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], F.when(span["kind"] == "email", F.lower(span["value"])).when(span["kind"] == "ip", span["value"]).otherwise(digits_of(span["value"])))
 
 
-def entity_contexts(rows: DataFrame) -> DataFrame:
-    """(row, line, entity, terms): for each entity of a line the terms near it, ``terms`` as struct(start, end, term)."""
-    lines = rows.select("row", "spans", F.explode(located(F.col("text"), r"[^\n]+")).alias("line"))
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with a space for each span."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        gap = F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(" "))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.when(s["start"] >= state["at"], gap).otherwise("")).alias("out"))
+
+    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
+
+
+def terms_of(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda t: t != ""))
+
+
+def lines_of(rows: DataFrame) -> DataFrame:
+    """(text, spans) of each line with entities, positions within the line."""
+    lines = rows.select("spans", F.explode(located(F.col("text"), r"[^\n]+")).alias("line"))
     inside = F.filter("spans", lambda s: (s["start"] >= F.col("line")["start"]) & (s["start"] < F.col("line")["end"]))
-    lines = lines.withColumn("inside", inside).where(F.size("inside") > 0)
-    words = F.transform(located(F.col("line")["value"], LETTERS), lambda w: F.struct((w["start"] + F.col("line")["start"]).alias("start"), (w["end"] + F.col("line")["start"]).alias("end"), F.lower(w["value"]).alias("term")))
-    clear = F.filter("words", lambda w: ~F.exists("inside", lambda s: (w["start"] < s["end"]) & (w["end"] > s["start"])))
-    lines = lines.withColumn("words", words).withColumn("words", clear)
-    each = lines.select("row", F.xxhash64(F.col("line")["value"]).alias("line"), "words", F.explode("inside").alias("span"))
-    near = F.filter("words", lambda w: (w["start"] >= F.col("span")["start"] - REACH) & (w["end"] <= F.col("span")["end"] + REACH))
-    return each.select("row", "line", _entity(F.col("span")).alias("entity"), near.alias("terms"))
+    shifted = F.transform(inside, lambda s: s.withField("start", s["start"] - F.col("line")["start"]).withField("end", s["end"] - F.col("line")["start"]))
+    return lines.select(F.col("line")["value"].alias("text"), shifted.alias("spans")).where(F.size("spans") > 0)
 
 
-def line_counts(docs: DataFrame) -> DataFrame:
-    """(term, lines): in how many lines of the corpus a term occurs; the null term counts all lines."""
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
-    # a null marks the line itself
-    terms = F.concat(F.array(F.lit(None).cast("string")), F.array_distinct(F.filter(F.split(F.lower("line"), r"[^\p{L}]+"), lambda t: t != "")))
-    return lines.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("lines"))
+def entity_units(units: DataFrame) -> DataFrame:
+    """(unit, key, entities, terms) of each (text, spans): ``unit`` numbers the rows, ``key`` is the same where texts are; the terms outside the spans."""
+    entities = F.array_distinct(F.transform("spans", _entity))
+    return units.select(F.monotonically_increasing_id().alias("unit"), F.xxhash64("text").alias("key"), entities.alias("entities"), terms_of(blanked(F.col("text"), F.col("spans"))).alias("terms"))
 
 
-def disclosing(contexts: DataFrame, counts: DataFrame) -> DataFrame:
+def unit_counts(units: DataFrame) -> DataFrame:
+    """(term, units): in how many units (``text``) of the corpus a term occurs; the null term counts all units."""
+    # a null marks the unit itself
+    terms = F.concat(F.array(F.lit(None).cast("string")), terms_of(F.col("text")))
+    return units.where("text <> ''").select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("units"))
+
+
+def disclosing(units: DataFrame, counts: DataFrame) -> DataFrame:
     """(entity, term, action) of the pairs whose share of the entity's information reaches a threshold."""
-    pairs = contexts.select("entity", "row", "line", F.explode(F.array_distinct(F.transform("terms", lambda w: w["term"]))).alias("term"))
-    # lines of a document that are equal count once, here and below
-    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("together"), F.count_distinct("line").alias("different"))
+    each = units.select("unit", "key", F.explode("entities").alias("entity"))
+    entities = each.groupBy("entity").agg(F.count("*").alias("entity_units"), F.count_distinct("key").alias("keys")).where(F.col("keys") >= SUPPORT).drop("keys")
+    # an entity of fewer different units has no term with enough
+    pairs = each.join(entities.hint("merge"), "entity", "left_semi").join(units.select("unit", "terms").hint("merge"), "unit").select("entity", "key", F.explode("terms").alias("term"))
+    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("together"), F.count_distinct("key").alias("different"))
     together = together.where(F.col("different") >= SUPPORT)
-    entities = contexts.groupBy("entity").agg(F.count("*").alias("entity_lines"))
-    total = counts.where("term is null").select(F.col("lines").alias("all_lines"))
+    total = counts.where("term is null").select(F.col("units").alias("all_units"))
     scored = together.join(counts.where("term is not null"), "term").join(entities, "entity").crossJoin(F.broadcast(total))
-    information = F.log2(F.col("all_lines") / F.col("entity_lines"))
-    shared = F.log2(F.col("all_lines") * F.least("together", "lines", "entity_lines") / (F.col("lines") * F.col("entity_lines")))
+    information = F.log2(F.col("all_units") / F.col("entity_units"))
+    shared = F.log2(F.col("all_units") * F.least("together", "units", "entity_units") / (F.col("units") * F.col("entity_units")))
     scored = scored.withColumn("share", F.when(information > 0, shared / information))
     return scored.where(F.col("share") >= GENERALISE).select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("general").alias("action"))
 
 
+def term_spans(text: Column, base: Column, actions: Column) -> Column:
+    """Spans of the words of ``actions`` (term to action) outside the base spans; the scan holds only these words."""
+    pairs = F.arrays_zip(F.split(text, LETTERS, -1).alias("gap"), F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)).alias("value"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+
+    def step(state: Column, pair: Column) -> Column:
+        begin = state["at"] + F.char_length(pair["gap"])
+        end, term = begin + F.char_length(pair["value"]), F.lower(pair["value"])
+        span = F.struct(begin.alias("start"), F.lit(len(KINDS)).alias("rank"), end.alias("end"), F.try_element_at(actions, term).alias("kind"), term.alias("value"))
+        named = F.map_contains_key(actions, term)
+        return F.struct(end.alias("at"), F.when(named, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+
+    found = F.aggregate(F.filter(pairs, lambda p: p["value"].isNotNull()), start, step, lambda s: s["out"])
+    return F.filter(found, lambda w: ~F.exists(base, lambda s: (w["start"] < s["end"]) & (w["end"] > s["start"])))
+
+
 def found_spans(docs: DataFrame) -> DataFrame:
     """row, doc_id, text (of rows with spans), base, spans: base spans and all spans of every row.
 
@@ -154,16 +187,21 @@ def found_spans(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), base_spans(F.col("text")).alias("spans"))
     rows = stored(rows.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))), "disclosure-base")
-    hit = rows.where("text is not null").dropDuplicates(["row"])
-    contexts = stored(entity_contexts(hit), "disclosure-contexts")
-    counts = line_counts(docs)
-    named = stored(disclosing(contexts, counts), "disclosure-terms")
-    near = contexts.select("row", "entity", F.explode("terms").alias("w")).select("row", "entity", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.term").alias("term"))
-    more = near.join(named, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("action").alias("kind"), F.first("term").alias("value"))
-    span = F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.col("end"), F.col("kind"), F.col("value"))
-    more = more.groupBy("row").agg(F.collect_list(span).alias("more"))
-    joined = rows.withColumnRenamed("spans", "base").join(more, "row", "left")
-    return joined.select("row", "doc_id", "text", "base", F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(_SPAN)))).alias("spans"))
+    hit = rows.where("text is not null").select("row", "text", "spans")
+    named = None
+    for name, units, corpus in (
+        ("lines", lines_of(hit), docs.select(F.explode(F.split("text", "\n")).alias("text"))),
+        ("documents", hit, docs),
+    ):
+        found = disclosing(stored(entity_units(units), f"disclosure-{name}"), unit_counts(corpus))
+        named = found if named is None else named.unionByName(found)
+    named = stored(named.groupBy("entity", "term").agg(F.max("action").alias("action")), "disclosure-terms")
+    holds = hit.select("row", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).distinct()
+    more = holds.join(named.hint("merge"), "entity").groupBy("row", "term").agg(F.max("action").alias("action"))
+    more = more.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("actions"))
+    joined = rows.withColumnRenamed("spans", "base").join(more.hint("merge"), "row", "left")
+    terms = F.when(F.col("actions").isNotNull(), term_spans(F.col("text"), F.col("base"), F.col("actions"))).otherwise(F.array().cast(_SPAN))
+    return joined.select("row", "doc_id", "text", "base", F.sort_array(F.concat("base", terms)).alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:

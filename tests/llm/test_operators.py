@@ -242,6 +242,20 @@ def test_disclosing_terms(spark):
     assert "general:8:14" in {r["doc_id"]: r for r in rows_of(disclosure.personal_data(more))}[1]["spans"]
 
 
+def test_disclosing_terms_of_lines_and_documents(spark):
+    far = "with many other words " * 10
+    plain = ["some with many other words for the kind"] * 30
+    # farther than a hundred characters away in one line; in the line above; and in a third document of the entity, apart from it
+    for texts in ([f"Zorbax {far}ann@x.org", f"by Zorbax {far}to ann@x.org"], ["Zorbax\nann@x.org", "by Zorbax\nto ann@x.org for"], ["Zorbax ann@x.org", "by Zorbax or ann@x.org", f"to ann@x.org\n{far}\nZorbax"]):
+        clean = {r["doc_id"]: r["text"] for r in disclosure.sanitised(docs_of(spark, texts + plain)).collect()}
+        for i, t in enumerate(texts):
+            assert clean[i + 1] == t.replace("Zorbax", "").replace("ann@x.org", "[EMAIL]")
+        assert [clean[len(texts) + 1 + i] for i in range(len(plain))] == plain
+    # two lines of one document are enough, as are two documents
+    one = {r["doc_id"]: r["text"] for r in disclosure.sanitised(docs_of(spark, ["Zorbax ann@x.org\nby Zorbax ann@x.org", *plain])).collect()}
+    assert one[1] == " [EMAIL]\nby  [EMAIL]"
+
+
 def test_personal_data_edges(edge, edge_rows, none):
     assert len(rows_of(disclosure.personal_data(edge))) == len(edge_rows)
     assert rows_of(disclosure.personal_data(none)) == []
