@@ -5,7 +5,8 @@
    samples are also folded into an odd sketch: a 512-bit parity bitmap in which sample i
    flips one bit.  The XOR of two sketches has as many bits as samples that differ flip,
    which gives the similarity: 1 + bits / (4 samples) * ln(1 - 2 z / bits).
-2. Documents with equal shingle sets are one class; the smallest id stands for it.  A block
+2. Documents with equal shingle sets are one class, known by a hash of the set's digests (the
+   smallest id names it at the end).  A block
    hands on the bands of one document of each class, a bucket keeps one of each.
 3. Buckets of a band with two or more representatives are brought together; buckets with the
    same members count once.  A bucket past ``BUCKET`` members is split into pairs of
@@ -87,7 +88,7 @@ def odd_sketches(minima: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, two digests of the set, band keys and odd sketch of every row."""
+    """doc_id, hash of the text, n, two digests of the set, band keys and odd sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -109,9 +110,9 @@ def signatures(docs: DataFrame) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(chosen * BANDS)]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(minima)[chosen].ravel().view(np.int64)))
             sketch = odd_sketches(minima)
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), keys, pa.array([s.tobytes() for s in sketch], pa.binary())], names=["doc_id", "n", "d1", "d2", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("text_key"), pa.array(n, pa.int64()), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), keys, pa.array([s.tobytes() for s in sketch], pa.binary())], names=["doc_id", "text_key", "n", "d1", "d2", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n long, d1 long, d2 long, bands array<long>, sketch binary")
 
 
 def by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -332,17 +333,22 @@ def links_across(members: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    sigs = stored(signatures(docs), "minhash-signatures")
-    classes = sigs.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    classes = stored(classes, "minhash-classes")
-    found = buckets(sigs)
-    members = stored(found.join(sigs.select("doc_id", "n", "sketch").dropDuplicates(["doc_id"]), "doc_id"), "minhash-members")
+    # a class is known by a hash of its set's size and digests, so that texts of one id are told apart
+    sigs = stored(signatures(docs).withColumn("node", F.xxhash64("n", "d1", "d2")), "minhash-signatures")
+    classes = sigs.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("least"))
+    classes = stored(classes.select("node", F.col("least.doc_id").alias("rep"), F.col("least.text_key").alias("text_key")), "minhash-classes")
+    found = buckets(sigs.select(F.col("node").alias("doc_id"), "d1", "bands"))
+    members = stored(found.join(sigs.select(F.col("node").alias("doc_id"), "n", "sketch").dropDuplicates(["doc_id"]), "doc_id"), "minhash-members")
     near = stored(proposals(members), "minhash-proposals")
     pairs = near.where("a is not null")
     # the ids near another have no bound: never broadcast, the same join at every size
-    wanted = near.select(F.col("b").alias("doc_id"))
-    texts = stored(docs.select(F.col("doc_id").cast("long"), "text").join(wanted.hint("merge"), "doc_id", "left_semi"), "minhash-texts")
-    first = stored(confirmed(pairs, texts).distinct(), "minhash-links")
+    wanted = classes.join(near.select(F.col("b").alias("node")).hint("merge"), "node", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").withColumn("text_key", F.xxhash64("text"))
+    texts = stored(texts.join(wanted.hint("merge"), ["rep", "text_key"]).select(F.col("node").alias("doc_id"), "text"), "minhash-texts")
+    # classes with one smallest id share its component
+    several = classes.groupBy("rep").agg(F.min("node").alias("src"), F.count("*").alias("texts")).where("texts > 1")
+    same = classes.join(several.hint("merge"), "rep").where("node <> src").select("src", F.col("node").alias("dst"))
+    first = stored(confirmed(pairs, texts).unionByName(same).distinct(), "minhash-links")
     label = stored(connected_components(first), "minhash-labels")
     labelled = members.join(label, members["doc_id"] == label["node"], "left").select(members["bucket"], members["doc_id"], members["n"], members["sketch"], F.coalesce("component", "doc_id").alias("component"))
     waiting = stored(open_members(labelled), "minhash-open")
@@ -353,15 +359,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     final = final.select("node", F.coalesce("new", "component").alias("component"))
     alone = merged.join(label, "node", "left_anti")
     final = final.unionByName(alone.select("node", "component"))
-    labels = classes.join(final, classes["rep"] == final["node"], "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
+    labels = classes.join(final, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("group"))
+    # the component's name is its smallest id
+    labels = labels.join(labels.groupBy("group").agg(F.min("rep").alias("component")), "group").select("node", "component")
     # copies by the thousand share a class: that join is dealt anew where it is skewed
-    out = sigs.select("doc_id", "n", "d1", "d2").join(labels, ["n", "d1", "d2"], "left")
+    out = sigs.select("doc_id", "n", "node").join(labels, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` of one document of each group, with all their columns; rows that repeat an id stay one row."""
+    """The rows of ``docs`` of one document of each group, with all their columns; of rows that repeat an id the first by text, then by the other columns, stays."""
     keep = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_near_keep")).distinct()
-    numbered = docs.join(keep.hint("merge"), docs["doc_id"] == keep["_near_keep"], "left_semi").dropDuplicates(["doc_id"])
+    numbered = docs.join(keep.hint("merge"), docs["doc_id"] == keep["_near_keep"], "left_semi")
+    least = F.min(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))).alias("least")
+    numbered = numbered.groupBy("doc_id").agg(least).select(*(c if c == "doc_id" else F.col("least")[c].alias(c) for c in docs.columns))
     return numbered.unionByName(docs.where(F.col("doc_id").isNull()))

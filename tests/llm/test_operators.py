@@ -116,6 +116,18 @@ def test_near_duplicates_edges(edge, edge_rows, none):
     assert kept.columns == edge.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 9, 10, 11, 12, 13]
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Each text of an id has its own sketch: a near copy of either is found, whichever row comes first."""
+    rng = np.random.default_rng(21)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(5, a), (5, b), (8, a + " end"), (9, b + " end"), (7, c), (5, a)]
+    for some in (rows, rows[::-1]):
+        docs = spark.createDataFrame(some, "doc_id long, text string")
+        got = {(r["doc_id"], r["component_id"], r["kept"]) for r in rows_of(minhash.near_duplicates(docs))}
+        assert got == {(5, 5, True), (8, 5, False), (9, 5, False), (7, 7, True)}
+        assert {(r["doc_id"], r["text"]) for r in rows_of(minhash.kept_documents(docs))} == {(5, min(a, b)), (7, c)}
+
+
 def test_odd_sketch_estimate():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64))
