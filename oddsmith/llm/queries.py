@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmith.llm import decontaminate, disclosure, langid, lm, minhash, mixing, paragraphs, quality, repeats, tokens
+from oddsmith.llm import audit, decontaminate, disclosure, infill, langid, lm, minhash, mixing, paragraphs, quality, repeats, tokens
 from oddsmith.llm.store import stored
 from oddsmith.session import prepare
 
@@ -158,6 +158,71 @@ FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source
 """
 
 
+def op11_capture_infill(spark: SparkSession, folder: str) -> DataFrame:
+    found = infill.with_restored(infill.fill_in_middle(_table(spark, folder, "documents")))
+    digests = (F.sha2(c, 256).alias(f"{name}_sha256") for c, name in (("output", "output"), ("restored", "restored")))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+OP11_SQL = r"""
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+h AS (
+  SELECT *, len(units) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM u),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h),
+p AS (
+  SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:n], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op12_diagram_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.filter_audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT t.part, coalesce(g.good, false) AS good, coalesce(g.toxic, false) AS toxic,
+         [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+          regexp_matches(text, '[#$%&*|]'), coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false)] AS fails
+  FROM t LEFT JOIN g USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, fails),
+f AS (SELECT unnest(range(1, 6)) AS v),
+o AS (
+  SELECT [a.v, b.v, c.v, d.v, e.v] AS vs FROM f a, f b, f c, f d, f e
+  WHERE a.v NOT IN (b.v, c.v, d.v, e.v) AND b.v NOT IN (c.v, d.v, e.v) AND c.v NOT IN (d.v, e.v) AND d.v <> e.v),
+s AS (SELECT vs, unnest(range(1, 6)) AS step FROM o),
+e AS (SELECT c.*, s.*, fails[vs[step]] AND NOT ((step > 1 AND fails[vs[1]]) OR (step > 2 AND fails[vs[2]]) OR (step > 3 AND fails[vs[3]]) OR (step > 4 AND fails[vs[4]])) AS gone FROM c, s),
+r AS (
+  SELECT part, vs, step, vs[step] AS v,
+         coalesce(sum(n) FILTER (NOT (fails[vs[1]] OR (step > 1 AND fails[vs[2]]) OR (step > 2 AND fails[vs[3]]) OR (step > 3 AND fails[vs[4]]) OR (step > 4 AND fails[vs[5]]))), 0) AS kept,
+         coalesce(sum(n) FILTER (gone), 0) AS removed, coalesce(sum(good) FILTER (gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (gone), 0) AS toxic_lost,
+         coalesce(sum(n) FILTER (fails[vs[step]] AND NOT gone), 0) AS redundant,
+         coalesce(sum(n) FILTER (fails[vs[step]] AND list_sum([CAST(x AS INTEGER) for x in fails]) = 1), 0) AS unique_fails
+  FROM e GROUP BY part, vs, step)
+SELECT part, array_to_string([substr('ABCDE', CAST(x AS INTEGER), 1) for x in vs], '') AS filter_order, CAST(step AS INTEGER) AS step,
+       CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, v) AS BIGINT) AS shapley
+FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_odd_sketch_dedup": op1_odd_sketch_dedup,
@@ -170,6 +235,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bit_plane_tokens": op8_bit_plane_tokens,
         "op9_source_mix": op9_source_mix,
         "op10_language": op10_language,
+        "op11_capture_infill": op11_capture_infill,
+        "op12_diagram_audit": op12_diagram_audit,
     }
 
 
@@ -179,4 +246,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_cross_entropy_difference": OP2_SQL,
         "op7_induced_suffix_dedup": OP7_SQL,
         "op9_source_mix": OP9_SQL,
+        "op11_capture_infill": OP11_SQL,
+        "op12_diagram_audit": OP12_SQL,
     }
