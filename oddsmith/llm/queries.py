@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmith.llm import audit, decontaminate, disclosure, infill, langid, lm, minhash, mixing, paragraphs, quality, repeats, tokens
+from oddsmith.llm import audit, decontaminate, disclosure, extract, infill, langid, lm, minhash, mixing, paragraphs, quality, repeats, tokens
 from oddsmith.llm.store import stored
 from oddsmith.session import prepare
 
@@ -223,6 +223,10 @@ FROM r
 """
 
 
+def op13_boosted_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.extract(_table(spark, folder, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_odd_sketch_dedup": op1_odd_sketch_dedup,
@@ -237,6 +241,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_language": op10_language,
         "op11_capture_infill": op11_capture_infill,
         "op12_diagram_audit": op12_diagram_audit,
+        "op13_boosted_extraction": op13_boosted_extraction,
     }
 
 
