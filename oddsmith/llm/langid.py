@@ -4,8 +4,8 @@ A document is the mean of the embeddings of its byte n-grams (3 and 4 bytes of t
 in lower case, everything but letters as one kind of blank), hashed into a fixed table.
 Embeddings and the softmax are trained together by stochastic gradient descent in numpy
 on at most ``per_language`` documents of each language (the bound of the sample, chosen
-by a hash of the id); every document is predicted.  A fifth of the sample is kept from
-training and sets the temperature of the softmax and the score below which a
+by a hash of the id); every document is predicted.  A fifth of each language's sample is kept
+from training and sets the temperature of the softmax and the score below which a
 prediction should be rejected (``accepted``).
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0 and not
@@ -17,6 +17,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -111,7 +112,11 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 11) -> Mod
     embed = rng.normal(0, 0.1, (1 << BITS, DIM))
     weights, bias = np.zeros((DIM, len(languages))), np.zeros(len(languages))
     weights += rng.normal(0, 0.1, weights.shape)
-    held = np.arange(len(rows)) % 5 == 4
+    # every fifth document of each language, whatever the order of the languages
+    seen, held = Counter(), np.zeros(len(rows), bool)
+    for i, (language, *_) in enumerate(rows):
+        held[i] = seen[language] % 5 == 4
+        seen[language] += 1
     inner = np.flatnonzero(~held)
     share = [r[2] / max(r[2].sum(), 1) for r in rows]
 

@@ -6,10 +6,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from oddsmith.llm import decontaminate, disclosure, langid, lm, minhash, mixing, paragraphs, quality, repeats, suffixes, tokens
 from oddsmith.llm.store import stored
+from oddsmith.llm.text import blocks
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -600,6 +602,42 @@ def test_language_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+@pytest.mark.parametrize("n", [2, 5, 10, 11])
+def test_every_language_is_learnt(spark, n):
+    """Equal and unequal counts, as many languages as the held-back share divides, and one language of a single row."""
+    rng = np.random.default_rng(n)
+    letters = [chr(c) for c in (*range(97, 123), *range(0x430, 0x450), *range(0x3B1, 0x3CA))]
+    rng.shuffle(letters)
+    alphabets = [letters[4 * k : 4 * k + 4] for k in range(n)]
+    word = lambda k: "".join(rng.choice(alphabets[k], 5))
+    rows = [(i, " ".join(word(i % n) for _ in range(12)), f"l{i % n:02}") for i in range(60 * n)]
+    rows += [(10_000 + i, " ".join(word(0) for _ in range(12)), "l00") for i in range(100)]
+    single = next(i for i in range(20_000, 20_100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows.append((single, "ßßß äää ööö", "lone"))
+    got = {r["doc_id"]: r for r in rows_of(langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")))}
+    for k in range(n):
+        held = [r for r in got.values() if r["held_out"] and r["doc_id"] < 10_000 and r["doc_id"] % n == k]
+        assert held and np.mean([r["lang_pred"] == f"l{k:02}" for r in held]) > 0.98
+
+
+def test_language_forward_pass():
+    """The vectorised prediction against one document at a time, n-gram by n-gram."""
+    rng = np.random.default_rng(4)
+    texts = ["Ab cd éf", "xyz", "", "a", "hello world hello", "123 abc"]
+    model = langid.Model(["p", "q", "r"], rng.normal(size=(1 << langid.BITS, 3)).astype(np.float32), np.array([0.1, 0.2, -0.1]), 0.7, 0.0)
+    block = next(blocks(iter([pa.RecordBatch.from_pydict({"text": texts})])))
+    best, score = model.predict(block)
+    for i, text in enumerate(texts):
+        one = next(blocks(iter([pa.RecordBatch.from_pydict({"text": [text]})])))
+        found, _ = langid.buckets(one)
+        data = bytes(langid._FOLD[list(text.encode())]) if text else b""
+        grams = [data[k : k + size] for size in (3, 4) for k in range(len(data) - size + 1) if data[k : k + 2] != b"  "]
+        assert len(grams) == len(found)
+        logits = np.array([sum(float(model.table[b, c]) for b in found) / max(len(found), 1) + model.bias[c] for c in range(3)]) / model.temperature
+        p = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+        assert best[i] == p.argmax() and np.isclose(score[i], p.max())
+
+
 def test_language_edges(edge, edge_rows, none):
     got = rows_of(langid.identify(edge))
     assert len(got) == len(edge_rows)
