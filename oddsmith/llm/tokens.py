@@ -26,6 +26,7 @@ and an empty result; other columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import uuid
 import zlib
@@ -95,6 +96,8 @@ class Encoder:
     """Ids of whole texts; remembers the ids of pieces it has met (an array store, cleared when full)."""
 
     def __init__(self, path: str, end_id: int = END_ID):
+        # a task is one core's work: threads of the library's own would cost more than they bring
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -113,9 +116,8 @@ class Encoder:
         ids = np.fromiter((i for x in found for i in x), np.uint32, int(count.sum()))
         first = len(self.ids) + np.cumsum(count) - count
         self.ids = np.concatenate([self.ids, ids])
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known, kind="stable")
-        self.known, self.first, self.count = known[order], np.concatenate([self.first, first])[order], np.concatenate([self.count, count])[order]
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.first, self.count = np.insert(self.known, at, hashes), np.insert(self.first, at, first), np.insert(self.count, at, count)
 
     def block(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents with their end ids, first id of each document and one more)."""
@@ -261,6 +263,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
     return stored(manifest.withColumn("start", F.coalesce(before, F.lit(0)).cast("long")), "token-index")
 
 
+def dealt(files: DataFrame) -> DataFrame:
+    """The rows of a manifest spread over as many tasks as there are files (or shuffle partitions, if those are fewer), in the order of the ids.
+
+    A row is tiny, its file is a task's work: with a number of partitions given, adaptive execution leaves them apart.
+    """
+    most = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartitionByRange(max(1, min(files.count(), most)), "start")
+
+
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files the manifest names."""
 
@@ -282,8 +293,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                         at = base + len(ids)
                     yield pa.RecordBatch.from_arrays([pa.array(footer["doc_ids"], pa.int64()), pa.array(start + ends - counts, pa.int64()), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # a file is a task's work: deal the names out
-    return manifest.select("file", "start").repartition(F.col("file")).mapInArrow(read, DOCUMENT_ROWS)
+    return dealt(manifest.select("file", "start")).mapInArrow(read, DOCUMENT_ROWS)
 
 
 def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
@@ -305,7 +315,7 @@ def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
                         if rows:
                             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].astype(np.int64) for r in rows], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    return manifest.select("file").repartition(F.col("file")).mapInArrow(read, "doc_id long, ids array<long>")
+    return dealt(manifest.select("file", "start")).select("file").mapInArrow(read, "doc_id long, ids array<long>")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
