@@ -8,8 +8,8 @@ ends; only that bucket is split by the next bits, until it holds one hash.  What
 leaves a level is one row for each source.
 
 Defined cases: a null or empty text has size 0 and takes 0; a null source is a source
-of its own, the last in order; a null id hashes like an empty one; rows that repeat an
-id have one hash and stand or fall together; a source without words has target 0; an
+of its own, the last in order; a row without an id is hashed by its text; rows that
+repeat an id have one hash and stand or fall together; a source without words has target 0; an
 empty table gives an empty result.  Other columns, whatever their names, are left alone.
 """
 
@@ -31,10 +31,10 @@ def word_count(text: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def id_hash(doc_id: str | Column = "doc_id") -> Column:
-    """The first 60 bits of the md5 of the id as text."""
-    text = F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")
-    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+def row_hash() -> Column:
+    """The first 60 bits of the md5 of the id as text; of the document's text where the id is null."""
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("text", F.lit(""))))
+    digest = F.md5(named.cast("binary"))
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
@@ -86,7 +86,7 @@ def thresholds(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: floa
 
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST) -> tuple[DataFrame, DataFrame]:
     """The stored sizes (doc_id, source, size, h) of all documents, and the plan of each source."""
-    sizes = stored(docs.select("doc_id", "source", word_count().alias("size"), id_hash().alias("h")), "mix-sizes")
+    sizes = stored(docs.select("doc_id", "source", word_count().alias("size"), row_hash().alias("h")), "mix-sizes")
     return sizes, thresholds(sizes, weights, total, most)
 
 
@@ -103,5 +103,5 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total:
     _, plan = plan_mix(docs, weights, total, most)
     chosen = plan.select(F.col("source").alias("_mix_source"), F.col("whole").alias("_mix_whole"), F.col("threshold").alias("_mix_threshold"))
     joined = docs.join(chosen, docs["source"].eqNullSafe(F.col("_mix_source")))
-    repeats = (F.col("_mix_whole") + F.when(id_hash() <= F.col("_mix_threshold"), 1).otherwise(0)).cast("int")
+    repeats = (F.col("_mix_whole") + F.when(row_hash() <= F.col("_mix_threshold"), 1).otherwise(0)).cast("int")
     return joined.withColumn("_mix_copy", F.explode(F.when(repeats > 0, F.sequence(F.lit(1), repeats)))).select(*docs.columns)
