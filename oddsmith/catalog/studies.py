@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from oddsmith.catalog.registry import add
 from oddsmith.catalog.serving import TOP5_SQL
 from oddsmith.catalog.signals import INSIDER_SQL, insiders
-from oddsmith.catalog.tables import lot_texts
+from oddsmith.catalog.tables import with_lot_texts
 from oddsmith.catalog.windows import HISTORY_SQL, LIFE_SQL
 from oddsmith.functions import scalars as S
 from oddsmith.plans import features as X
@@ -42,7 +42,7 @@ LIFECYCLE_SQL = f"""WITH m AS (SELECT condition_id, category, start_date, end_da
 sn AS (SELECT t.*, start_date, cut FROM trades t JOIN m USING (condition_id) WHERE ts <= cut),
 pc AS (SELECT condition_id, arg_min(price, ROW(ts, trade_id)) AS start_price, arg_max(price, ROW(ts, trade_id)) AS cutoff_price, min(price) AS min_price, max(price) AS max_price, stddev_pop(price) AS price_std, count(*) AS trades FROM sn GROUP BY 1),
 dy AS (SELECT condition_id, date_diff('day', start_date, ts) AS d, sum(price * size) AS v FROM sn GROUP BY ALL),
-vo AS (SELECT condition_id, sum(v) AS total_volume, avg(v) AS avg_daily_volume, max(v) AS max_daily_volume, count(*) AS active_days, coalesce(regr_slope(v, d), 0) AS volume_slope, arg_max(d, ROW(v, -d)) AS peak_day FROM dy GROUP BY 1),
+vo AS (SELECT condition_id, sum(v) AS total_volume, avg(v) AS avg_daily_volume, max(v) AS max_daily_volume, count(*) AS active_days, coalesce((count(*) * sum(d * round(v * 1e4)) - sum(d) * sum(round(v * 1e4))) / nullif(count(*) * sum(CAST(d AS DOUBLE) * d) - sum(CAST(d AS DOUBLE)) * sum(CAST(d AS DOUBLE)), 0) / 1e4, 0) AS volume_slope, arg_max(d, ROW(v, -d)) AS peak_day FROM dy GROUP BY 1),
 bk AS (SELECT condition_id, avg(ask_prices[1] - bid_prices[1]) AS avg_spread, stddev_pop(ask_prices[1] - bid_prices[1]) AS spread_std, avg((list_sum(bid_sizes) - list_sum(ask_sizes)) / (list_sum(bid_sizes) + list_sum(ask_sizes))) AS avg_obi,
   avg(list_sum(bid_sizes) + list_sum(ask_sizes)) AS avg_depth FROM books JOIN m USING (condition_id) WHERE snapshot_time <= cut GROUP BY 1),
 hd AS (SELECT condition_id, total_holders, CASE WHEN total_holders >= 5 THEN top5_amount / total_amount ELSE 1 END AS top5_share, top_holder_amount / total_amount AS max_holder_share FROM ({TOP5_SQL})),
@@ -64,11 +64,11 @@ CREATORS = ["artist", "maker", "unknown"]
 def lots_with_history(t):
     """Lots with artist history; the catalogue fields that the tables lack are derived from their keys."""
     k, q = F.col("l_partkey"), F.col("l_quantity")
-    rows = W.artist_history(t.lots)
-    texts = lot_texts(t).select(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("lot_id"), S.parse_dimensions("dims").alias("s"), S.parse_creation_year("made").alias("y"))
+    # the parsed texts travel with the lots: no join brings them back
+    rows = W.artist_history(with_lot_texts(t.lots).withColumns({"s": S.parse_dimensions("dims"), "y": S.parse_creation_year("made")}))
     pick = lambda values, c: F.element_at(F.array(*[F.lit(v) for v in values]), (c % len(values) + 1).cast("int"))
     words = F.split("p_name", " ")
-    return rows.join(texts, "lot_id").withColumns({
+    return rows.withColumns({
         "vital_status": pick(["alive", "dead", "unknown"], k), "birth_year": F.when(k % 4 != 0, 1850 + k % 80), "death_year": F.when(k % 3 == 1, 1930 + k % 60), "nationality": F.when(k % 2 == 0, F.col("artist")),
         "height_cm": F.col("s.h"), "width_cm": F.col("s.w"), "depth_cm": F.col("s.d"), "creation_year": F.col("y.year"), "creation_approx": F.col("y.approx"), "category": pick(CATEGORIES, k),
         "estimate_low": F.when(k % 7 != 0, F.col("p_retailprice") * 10), "estimate_high": F.col("p_retailprice") * 20 + q / 7.3, "estimate_low_usd": F.col("p_retailprice") * 8, "estimate_high_usd": F.col("p_retailprice") * 15 + q,
@@ -85,7 +85,7 @@ LOT_EXPR = {
     "is_rare_artist": "is_rare_artist", "artist_market_depth": "coalesce(ln(1 + prior_lots), 0)", "nationality_known": "(k % 2 = 0)::INT", "height_cm": "hc", "width_cm": "wc", "log_surface_area": "ln(hc * wc)", "aspect_ratio": "wc / hc",
     "has_depth": "(p_size % 4 = 1)::INT", "creation_year": "made", "creation_is_approximate": "(p_size % 5 IN (0, 1, 2))::INT", "is_painting": "(k % 9 = 0)::INT", "is_sculpture": "(k % 9 = 1)::INT", "is_work_on_paper": "(k % 9 = 2)::INT",
     "is_decorative": "(k % 9 = 3)::INT", "medium_known": "(k % 9 <> 8)::INT", "log_estimate_low": "ln(1 + el)", "log_estimate_high": "ln(1 + eh)", "log_estimate_mid": "ln(1 + (el + eh) / 2)", "estimate_spread": "(eh - el) / el",
-    "sale_month": "month(sale_date)", "sale_year_numeric": "year(sale_date)", "sale_day_of_week": "isodow(sale_date) - 1", "sale_size": "7 + k % 5", "lot_position_pct": "l_linenumber::DOUBLE / (7 + k % 5)", "artist_avg_log_price": "avg_log_price",
+    "sale_month": "month(sale_date)", "sale_year_numeric": "year(sale_date)", "sale_day_of_week": "isodow(sale_date) - 1", "sale_size": "7 + k % 5", "lot_position_pct": "l_linenumber::DOUBLE / (7 + k % 5)", "artist_avg_log_price": "avg_log_price", "artist_median_log_price": "median_log_price",
     "artist_price_std": "price_std", "artist_prior_lots": "prior_lots", "artist_price_trend": "price_trend", "log_depth_cm": "CASE WHEN p_size % 4 = 1 THEN ln(8e0) ELSE 0 END", "age_at_creation": "CASE WHEN made - born >= 0 THEN made - born END",
     "years_since_creation": "2025 - made", "artist_name_confidence": "l_discount", "dimensions_confidence": "l_tax", "medium_confidence": "CASE WHEN k % 3 = 0 THEN 5e-1 ELSE 0 END", "creation_confidence": "0",
     "num_bids": "nullif(k % 9, 0)", "log_starting_bid": "ln(1 + sb)", "is_online_sale": "(k % 2 = 0)::INT", "reserve_met": "CASE WHEN k % 5 <> 0 THEN (k % 5 > 2)::INT END", "hammer_start_ratio": "l_extendedprice / sb",

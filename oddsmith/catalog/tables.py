@@ -272,15 +272,18 @@ add("threshold_parse", lambda t: t.markets.select(
 SELECT condition_id, strike AS threshold, lower(category) || ' o/u {threshold}' AS template, CAST(NULL AS DOUBLE) AS none FROM markets""", "threshold none")
 
 
-def lot_texts(t):
+def with_lot_texts(lots):
     q, d = F.col("l_quantity").cast("int"), F.col("p_size")
-    return t.lots.select(
-        F.col("lot_id.*"),
-        F.when(d % 4 == 0, F.concat(q, F.lit(" x "), d, F.lit(" cm")))
+    return lots.withColumns({
+        "dims": F.when(d % 4 == 0, F.concat(q, F.lit(" x "), d, F.lit(" cm")))
         .when(d % 4 == 1, F.concat(q, F.lit(" w x "), d, F.lit(" h x 7 d cm")))
-        .when(d % 4 == 2, F.concat(q, F.lit(",5 x "), d, F.lit(" in"))).otherwise("n/a").alias("dims"),
-        F.when(d % 5 == 0, F.concat(F.lit("circa "), 1900 + q)).when(d % 5 == 1, F.lit("19TH CENTURY"))
-        .when(d % 5 == 2, F.concat(1900 + q, F.lit("-"), 1910 + d)).when(d % 5 == 3, (1900 + q).cast("string")).otherwise("undated").alias("made"))
+        .when(d % 4 == 2, F.concat(q, F.lit(",5 x "), d, F.lit(" in"))).otherwise("n/a"),
+        "made": F.when(d % 5 == 0, F.concat(F.lit("circa "), 1900 + q)).when(d % 5 == 1, F.lit("19TH CENTURY"))
+        .when(d % 5 == 2, F.concat(1900 + q, F.lit("-"), 1910 + d)).when(d % 5 == 3, (1900 + q).cast("string")).otherwise("undated")})
+
+
+def lot_texts(t):
+    return with_lot_texts(t.lots).select(F.col("lot_id.*"), "dims", "made")
 
 
 add("dimension_year_parse", lambda t: lot_texts(t).select(

@@ -21,14 +21,14 @@ add("peak_volume_day", lambda t: W.peak_volume_day(t.trades), """
 SELECT condition_id, day AS peak_day, volume AS peak_volume FROM (SELECT condition_id, CAST(ts AS DATE) AS day, sum(size) AS volume FROM trades GROUP BY ALL)
 QUALIFY row_number() OVER (PARTITION BY condition_id ORDER BY volume DESC, day) = 1""", "peak_volume")
 HISTORY_SQL = """WITH l AS (SELECT *, CAST(sale_date AS DATE) - DATE '1970-01-01' AS d, ln(price) AS p FROM lots),
-s AS (SELECT *, count(*) OVER h AS k, avg(p) OVER h AS m, stddev_pop(p) OVER h AS sd, covar_pop(p, d) OVER h AS cv, stddev_pop(d) OVER h AS st,
+s AS (SELECT *, count(*) OVER h AS k, avg(p) OVER h AS m, stddev_pop(p) OVER h AS sd, covar_pop(p, d) OVER h AS cv, stddev_pop(d) OVER h AS st, median(p) OVER h AS md,
   count(*) OVER (PARTITION BY artist) AS total FROM l WINDOW h AS (PARTITION BY artist ORDER BY d RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT auction AS l_orderkey, lot_number AS l_linenumber, l_partkey, l_suppkey, price AS l_extendedprice, total AS artist_lot_count,
-  CASE WHEN total < 5 THEN 1 ELSE 0 END AS is_rare_artist, CASE WHEN k >= 5 THEN m END AS avg_log_price, CASE WHEN k >= 5 THEN sd END AS price_std,
+  CASE WHEN total < 5 THEN 1 ELSE 0 END AS is_rare_artist, CASE WHEN k >= 5 THEN m END AS avg_log_price, CASE WHEN k >= 5 THEN md END AS median_log_price, CASE WHEN k >= 5 THEN sd END AS price_std,
   CASE WHEN k > 0 THEN ln(1 + k) END AS prior_lots, CASE WHEN k >= 5 AND st > 1e-4 THEN cv / st END AS price_trend FROM s"""
 add("artist_history", lambda t: W.artist_history(t.lots).select(
-    "lot_id.*", "artist_lot_count", "is_rare_artist", "avg_log_price", "price_std", "prior_lots", "price_trend"), HISTORY_SQL,
-    "l_extendedprice avg_log_price price_std prior_lots price_trend")
+    "lot_id.*", "artist_lot_count", "is_rare_artist", "avg_log_price", "median_log_price", "price_std", "prior_lots", "price_trend"), HISTORY_SQL,
+    "l_extendedprice avg_log_price median_log_price price_std prior_lots price_trend")
 
 
 def positions(t):

@@ -57,9 +57,12 @@ def lifecycle_features(markets: DataFrame, trades: DataFrame, books: DataFrame,
         F.stddev_pop("price").alias("price_std"), F.count("*").alias("trades"))
     day = F.datediff("ts", "start_date")
     daily = seen.groupBy("condition_id", day.alias("d")).agg(F.sum(F.col("price") * F.col("size")).alias("v"))
+    # volumes in whole units of 1e-4: sums of whole numbers don't depend on the order of the rows
+    n, d, v = F.count("*"), F.col("d").cast("double"), F.round(F.col("v") * 1e4)
+    slope = (n * F.sum(d * v) - F.sum(d) * F.sum(v)) / F.nullif(n * F.sum(d * d) - F.sum(d) * F.sum(d), F.lit(0.0)) / 1e4
     volume = daily.groupBy("condition_id").agg(
         F.sum("v").alias("total_volume"), F.avg("v").alias("avg_daily_volume"), F.max("v").alias("max_daily_volume"), F.count("*").alias("active_days"),
-        F.coalesce(F.regr_slope("v", "d"), F.lit(0.0)).alias("volume_slope"), F.max_by("d", F.struct("v", -F.col("d"))).alias("peak_day"))
+        F.coalesce(slope, F.lit(0.0)).alias("volume_slope"), F.max_by("d", F.struct("v", -F.col("d"))).alias("peak_day"))
     bid, ask, tot = array_sum("bid_sizes"), array_sum("ask_sizes"), array_sum("bid_sizes") + array_sum("ask_sizes")
     gap = first_or("ask_prices", 0.0) - first_or("bid_prices", 0.0)
     depth = books.join(meta.select("condition_id", "cut"), "condition_id").where(F.col("snapshot_time") <= F.col("cut")).groupBy("condition_id").agg(
@@ -120,7 +123,7 @@ def lot_features(lots: DataFrame, as_of_year: int = 2025) -> DataFrame:
         "log_estimate_low": F.log1p(low), "log_estimate_high": F.log1p(high), "log_estimate_mid": F.log1p(mid), "estimate_spread": (high - low) / low,
         "sale_month": F.month("sale_date").cast("double"), "sale_year_numeric": F.year("sale_date").cast("double"), "sale_day_of_week": F.weekday("sale_date").cast("double"),
         "sale_size": F.coalesce(F.col("sale_size").cast("double"), nothing), "lot_position_pct": F.col("lot_position") / _positive("sale_size"),
-        "artist_avg_log_price": F.col("avg_log_price"), "artist_price_std": F.col("price_std"), "artist_prior_lots": F.col("prior_lots"), "artist_price_trend": F.col("price_trend"),
+        "artist_avg_log_price": F.col("avg_log_price"), "artist_median_log_price": F.col("median_log_price"), "artist_price_std": F.col("price_std"), "artist_prior_lots": F.col("prior_lots"), "artist_price_trend": F.col("price_trend"),
         "log_depth_cm": F.coalesce(F.log1p(d), nothing), "age_at_creation": F.when(age >= 0, age), "years_since_creation": as_of_year - made,
         **{c: F.coalesce(F.col(c).cast("double"), nothing) for c in ("artist_name_confidence", "dimensions_confidence", "medium_confidence", "creation_confidence")},
         "num_bids": _positive("num_bids"), "log_starting_bid": F.log1p(start), "is_online_sale": F.when(F.lower(F.trim(F.col("bidding_method"))) == "online", 1.0).otherwise(0.0),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from oddsmith.functions.scalars import array_sum, seconds_between
 from oddsmith.operators.asof import asof_join
 from oddsmith.operators.bars import bucket
+from oddsmith.operators.order_statistics import earlier_medians
 from oddsmith.operators.ordered import DAY, time_chunk, with_row_number, with_running
 from oddsmith.operators.quantiles import exact_quantiles
 
@@ -56,7 +57,8 @@ def artist_history(lots: DataFrame, min_lots: int = 5) -> DataFrame:
     """Per lot, statistics of the artist's lots sold strictly earlier (same-day lots do not count).
 
     All lots of an (artist, day) share their history, so daily sums are accumulated: the
-    running window has one row per artist and day.  The trend is the regression slope on
+    running window has one row per artist and day.  The median of the earlier logarithms comes
+    from counts by value slice and day (``earlier_medians``).  The trend is the regression slope on
     standardised time, cov(t, p) / std(t).
     """
     t = F.col("day")
@@ -82,6 +84,8 @@ def artist_history(lots: DataFrame, min_lots: int = 5) -> DataFrame:
     )
     totals = lots.groupBy("artist").agg(F.count("*").alias("artist_lot_count"))
     day = F.unix_date(F.to_date("sale_date"))
+    medians = earlier_medians(lots.select("artist", day.alias("day"), F.ln("price").alias("p")), ["artist"], "day", "p", min_lots)
+    stats = stats.join(medians.select("artist", "day", F.col("median").alias("median_log_price")), ["artist", "day"], "left")
     return (
         lots.withColumn("day", day).join(stats, ["artist", "day"], "left").join(totals, "artist")
         .withColumn("is_rare_artist", F.when(F.col("artist_lot_count") < min_lots, 1).otherwise(0)).drop("day")

@@ -1,5 +1,6 @@
 """Core operators against brute force: chunk borders, ties, shuffled input, hot keys."""
 
+import statistics
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta
@@ -233,3 +234,21 @@ def test_newest_price_and_bars_are_hash_aggregates(spark, events):
     for df in (bars.ohlcv_bars(trades, 3600), versions.latest_price(trades, ["condition_id"])):
         plan = df._jdf.queryExecution().sparkPlan().toString()
         assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_earlier_medians_of_a_hot_key(spark):
+    """Two thirds of the rows in one key, repeated and negative values, several rows a day, a day without history, nulls left out."""
+    from oddsmith.operators.order_statistics import earlier_medians
+
+    rng = random.Random(5)
+    rows = [(0 if i % 3 else 1 + i % 4, rng.randrange(-400, 900), rng.choice([rng.gauss(0, 50), float(rng.randrange(-5, 5))])) for i in range(1500)]
+    rows += [(9, 1, 2.0), (9, 1, 4.0), (9, 2, 8.0), (9, 3, -1.0)]
+    frame = spark.createDataFrame([*rows, (None, 1, 1.0), (1, None, 1.0), (1, 1, None)], "k long, d int, v double")
+    got = {(r["k"], r["d"]): (r["earlier"], r["median"]) for r in earlier_medians(frame, ["k"], "d", "v", 2).collect()}
+    assert got[9, 1] == (0, None) and got[9, 2] == (2, 3.0) and got[9, 3] == (3, 4.0)
+    assert set(got) == {(k, d) for k, d, _ in rows}
+    for k, d in got:
+        past = [v for j, e, v in rows if j == k and e < d]
+        assert got[k, d][0] == len(past) and got[k, d][1] == (pytest.approx(statistics.median(past)) if len(past) >= 2 else None)
+    none = earlier_medians(frame.where("k > 100"), ["k"], "d", "v").collect()
+    assert none == []

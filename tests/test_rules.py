@@ -211,7 +211,7 @@ def test_history_has_no_leak(spark):
     got = {r["lot_id"]: r for r in W.artist_history(spark.createDataFrame(rows, "artist string, sale_date timestamp, price double, lot_id int")).collect()}
     want = np.log([10, 20, 30, 40, 50])
     for i in (5, 6):  # lots of one day do not see each other
-        assert got[i]["avg_log_price"] == pytest.approx(want.mean()) and got[i]["price_std"] == pytest.approx(want.std())
+        assert got[i]["avg_log_price"] == pytest.approx(want.mean()) and got[i]["price_std"] == pytest.approx(want.std()) and got[i]["median_log_price"] == pytest.approx(np.median(want))
     assert got[0]["prior_lots"] is None and got[1]["prior_lots"] == pytest.approx(math.log1p(1)) and got[4]["avg_log_price"] is None
 
 
