@@ -1,8 +1,8 @@
 """Time-series causality on aligned series (token, bucket, value).
 
 Pairs to test are given by the caller (markets of one event, edges of the similarity
-graph), so nothing here pairs all tokens.  A series has one value per time bucket; the
-numpy fits see arrays whose length is the number of buckets.
+graph), so nothing here pairs all tokens.  A series has one value per time bucket, so its
+length is bounded by the calendar; the number of series of an event is not.
 """
 
 from __future__ import annotations
@@ -14,42 +14,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from oddsmith.functions.scalars import clamp, correlation
+from oddsmith.operators.factors import factors, series_arrays
+from oddsmith.operators.gram import product_sums, square, triangle, unexplained
+from oddsmith.operators.versions import limit_by
 from oddsmith.session import cut_lineage
 
 SERIES_KEY = ["token_id"]
 
 
-def series_arrays(series: DataFrame, value: str = "price") -> DataFrame:
-    """Each token's values in bucket order; the array is as long as the time axis."""
-    points = F.array_sort(F.collect_list(F.struct("bucket", F.col(value).alias("v"))))
-    return series.groupBy("token_id").agg(F.transform(points, lambda p: p["v"]).alias("values"))
-
-
 # ---- Granger ----------------------------------------------------------------
 
 
-def _ssr(design, y):
-    beta, *_ = np.linalg.lstsq(design, y, rcond=None)
-    gap = y - design @ beta
-    return float(gap @ gap)
+def granger_best(grams: list[np.ndarray], n: int, max_lag: int) -> tuple[int, float, float]:
+    """Lag, F and p of the lag with the smallest p for "x helps to predict y".
 
-
-def granger_best(x: np.ndarray, y: np.ndarray, max_lag: int) -> tuple[int, float, float]:
-    """Lag, F and p of the lag with the smallest p for "x helps to predict y"."""
+    ``grams[p - 1]``: sums of products of (1, y, y one to p earlier, x one to p earlier) over the
+    steps that have p earlier ones, as a stored triangle.
+    """
     from oddsmith.functions.tails import f_tail
 
-    n = min(len(x), len(y))
     best = (1, 0.0, 1.0)
     if n < max_lag + 3:
         return (0, 0.0, 1.0)
     for p in range(1, max(min(max_lag, n // 3), 1) + 1):
-        rows, free = n - p, n - 3 * p - 1
+        free = n - 3 * p - 1
         if free < 1:
             break
-        own = [y[p - k : n - k] for k in range(1, p + 1)]
-        other = [x[p - k : n - k] for k in range(1, p + 1)]
-        target, ones = y[p:n], np.ones(rows)
-        restricted, full = _ssr(np.column_stack([ones, *own]), target), _ssr(np.column_stack([ones, *own, *other]), target)
+        gram = square(grams[p - 1])
+        own, both = range(2, 2 + p), range(2, 2 + 2 * p)
+        restricted, full = unexplained(gram, 1, own), unexplained(gram, 1, both)
         if full <= 1e-15:
             continue
         f = ((restricted - full) / p) / (full / free)
@@ -59,19 +52,45 @@ def granger_best(x: np.ndarray, y: np.ndarray, max_lag: int) -> tuple[int, float
     return best
 
 
+def lagged(series: DataFrame, lags: int, value: str = "price") -> DataFrame:
+    """token_id, step from 0, l0 ... of each value less the token's mean; the window is as long as the time axis."""
+    w = Window.partitionBy("token_id").orderBy("bucket")
+    centred = F.col(value) - F.avg(value).over(Window.partitionBy("token_id"))
+    rows = series.select("token_id", (F.row_number().over(w) - 1).alias("step"), "bucket", centred.alias("l0"))
+    return rows.select("token_id", "step", "l0", *[F.lag("l0", k).over(w).alias(f"l{k}") for k in range(1, lags + 1)])
+
+
 def granger_matrix(series: DataFrame, pairs: DataFrame, max_lag: int = 10, value: str = "price") -> DataFrame:
-    """(src, dst, lag, f_stat, p_value) for every given pair: "src leads dst"."""
+    """(src, dst, lag, f_stat, p_value) for every given pair: "src leads dst".
+
+    The rows of a pair are summed where they are: products of the values of both tokens and their
+    lags, one combined row for each of the first ``max_lag`` steps and one for all others, so that each
+    lag's sums over the steps it can use are sums of those.  The solver sees these numbers only.
+    """
     fields = StructType([StructField("lag", IntegerType()), StructField("f_stat", DoubleType()), StructField("p_value", DoubleType())])
+    steps = lagged(series, max_lag, value)
+    names = [f"l{k}" for k in range(max_lag + 1)]
+    target = steps.select(F.col("token_id").alias("dst"), "step", *[F.col(c).alias(f"y{c[1:]}") for c in names])
+    source = steps.select(F.col("token_id").alias("src"), "step", *[F.col(c).alias(f"x{c[1:]}") for c in names[1:]])
+    rows = pairs.join(target, "dst").join(source, ["src", "step"]).withColumn("head", F.least("step", F.lit(max_lag)))
+    columns = ["y0", *[f"y{k}" for k in range(1, max_lag + 1)], *[f"x{k}" for k in range(1, max_lag + 1)]]
+    cells = triangle(len(columns) + 1)
+    place = {c: i + 1 for i, c in enumerate(columns)}
+    sums = rows.groupBy("src", "dst", "head").agg(*[c.alias(f"g{i}_{j}") for (i, j), c in zip(cells, product_sums([F.col(c) for c in columns]), strict=True)])
+
+    def of_lag(p: int) -> Column:
+        used = [0, 1, *[place[f"y{k}"] for k in range(1, p + 1)], *[place[f"x{k}"] for k in range(1, p + 1)]]
+        return F.array(*[F.coalesce(F.sum(F.when(F.col("head") >= p, F.col(f"g{used[i]}_{used[j]}"))), F.lit(0.0)) for i, j in triangle(len(used))]).alias(f"p{p}")
+
+    grams = sums.groupBy("src", "dst").agg(F.sum("g0_0").cast("int").alias("n"), *[of_lag(p) for p in range(1, max_lag + 1)])
 
     @F.pandas_udf(fields)
-    def test(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
-        found = [granger_best(np.asarray(x, float), np.asarray(y, float), max_lag) for x, y in zip(xs, ys)]
+    def test(n: pd.Series, of: pd.DataFrame) -> pd.DataFrame:
+        found = [granger_best([np.asarray(g, float) for g in gs], int(k), max_lag) for k, gs in zip(n, of.itertuples(index=False))]
         return pd.DataFrame(found, columns=["lag", "f_stat", "p_value"])
 
-    values = series_arrays(series, value)
-    rows = pairs.join(values.select(F.col("token_id").alias("src"), F.col("values").alias("x")), "src").join(
-        values.select(F.col("token_id").alias("dst"), F.col("values").alias("y")), "dst")
-    return rows.withColumn("g", test("x", "y")).select("src", "dst", "g.*").withColumn("significant", F.when(F.col("p_value") < 0.05, 1).otherwise(0))
+    found = grams.withColumn("g", test("n", F.struct(*[f"p{p}" for p in range(1, max_lag + 1)])))
+    return found.select("src", "dst", "g.*").withColumn("significant", F.when(F.col("p_value") < 0.05, 1).otherwise(0))
 
 
 def leading_markets(edges: DataFrame, threshold: float = 0.05) -> DataFrame:
@@ -222,50 +241,61 @@ def top_sources(flows: DataFrame, n: int = 10) -> DataFrame:
 # ---- events -----------------------------------------------------------------
 
 
-def _wide(pdf: pd.DataFrame):
-    """Treated series and control matrix in bucket order (complete columns only)."""
-    table = pdf.pivot_table(index="bucket", columns="token_id", values="price").sort_index().dropna(axis=1)
-    treated = pdf.loc[pdf["treated"] == 1, "token_id"]
-    if treated.empty or treated.iloc[0] not in table.columns:
-        return None
-    y = table[treated.iloc[0]].to_numpy()
-    return table.index, y, table.drop(columns=treated.iloc[0])
+def _events(panel: DataFrame, key: str, *others: str) -> tuple[DataFrame, DataFrame]:
+    """The treated series of each event as an array ``y`` with its number of controls, and the arrays of the controls.
+
+    Only series with a value at every step of their event count.
+    """
+    arrays = cut_lineage(series_arrays(panel, [key, *others, "treated"], "token_id", "bucket", "price").join(
+        panel.groupBy(key).agg(F.count_distinct("bucket").alias("_steps")), key).where(F.size("x") == F.col("_steps")).drop("_steps"))
+    controls = arrays.where("treated = 0").select(key, "token_id", "x")
+    counts = controls.groupBy(key).agg(F.count("*").alias("controls"))
+    return arrays.where("treated = 1").select(key, *others, F.col("x").alias("y")).join(counts, key), controls
+
+
+def _fit_on_factors(treated: DataFrame, controls: DataFrame, key: str, fit, schema: str) -> DataFrame:
+    """``fit`` of each treated series on the factors of its controls; a group is one block of factors."""
+    few = factors(controls, [key]).groupBy(key).agg(F.collect_list("x").alias("xs"))
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(frames):
+        for pdf in frames:
+            rows = [row for r in pdf.to_dict("records") for row in fit(r, np.asarray(r["y"], float), np.vstack(r["xs"]).T)]
+            yield pd.DataFrame(rows, columns=names)
+
+    return treated.join(few, key).mapInPandas(run, schema)
 
 
 def event_impact(panel: DataFrame, min_pre: int = 10) -> DataFrame:
-    """Effect of an event on a treated series against a counterfactual from its controls.
+    """Effect of an event on a treated series against a counterfactual from all its controls.
 
-    ``panel``: event_id, event_time, token_id, treated, bucket, price.  A group holds
-    the series of one event: (1 + controls) x buckets rows.  The split is at the event
-    time, not at a number of steps.
+    ``panel``: event_id, event_time, token_id, treated, bucket, price.  The split is at the event
+    time, not at a number of steps.  The controls, however many, come as factors with the same
+    fitted values; with more controls than steps the fit is the one of smallest norm.
     """
-    names = ["point_effect", "cumulative_effect", "relative_effect", "ci_low", "ci_high", "p_value", "r2"]
+    treated, controls = _events(panel, "event_id")
+    before = panel.select("event_id", "event_time", "bucket").distinct().groupBy("event_id").agg(F.count_if(F.col("bucket") < F.col("event_time")).alias("pre"))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(row, y, xs):
         from oddsmith.functions.tails import t_quantile, t_tail
 
-        wide = _wide(pdf)
-        empty = pd.DataFrame({"event_id": pd.Series(dtype="int64"), **{n: pd.Series(dtype=float) for n in names}})
-        if wide is None or wide[2].shape[1] == 0:
-            return empty
-        index, y, controls = wide
-        pre = np.asarray(index < pdf["event_time"].iloc[0])
+        pre = np.arange(len(y)) < row["pre"]
         if pre.sum() < min_pre or (~pre).sum() < 1:
-            return empty
-        design = np.column_stack([np.ones(len(y)), controls.to_numpy()])
+            return
+        design = np.column_stack([np.ones(len(y)), xs])
         beta, *_ = np.linalg.lstsq(design[pre], y[pre], rcond=None)
         gap = y - design @ beta
         ss_res, ss_tot = float(gap[pre] @ gap[pre]), float(((y[pre] - y[pre].mean()) ** 2).sum())
-        dof = max(int(pre.sum()) - design.shape[1], 1)
+        dof = max(int(pre.sum()) - int(row["controls"]) - 1, 1)
         se = np.sqrt(ss_res / dof) / np.sqrt((~pre).sum())
         point = float(gap[~pre].mean())
         margin = float(t_quantile(0.05, dof)) * se
         p = float(t_tail(point / se if se > 0 else 0.0, dof))
         base = float(y[pre].mean())
-        values = [point, float(gap[~pre].sum()), point / base if base else 0.0, point - margin, point + margin, p, 1 - ss_res / ss_tot if ss_tot > 0 else 0.0]
-        return pd.DataFrame([[pdf["event_id"].iloc[0], *values]], columns=["event_id", *names])
+        yield [row["event_id"], point, float(gap[~pre].sum()), point / base if base else 0.0, point - margin, point + margin, p, 1 - ss_res / ss_tot if ss_tot > 0 else 0.0]
 
-    return panel.groupBy("event_id").applyInPandas(fit, "event_id long, " + ", ".join(f"{n} double" for n in names))
+    names = ["point_effect", "cumulative_effect", "relative_effect", "ci_low", "ci_high", "p_value", "r2"]
+    return _fit_on_factors(treated.join(before, "event_id"), controls, "event_id", fit, "event_id long, " + ", ".join(f"{n} double" for n in names))
 
 
 def simplex_weights(x: np.ndarray, y: np.ndarray, steps: int = 4000) -> np.ndarray:
@@ -292,26 +322,58 @@ def simplex_weights(x: np.ndarray, y: np.ndarray, steps: int = 4000) -> np.ndarr
     return w
 
 
+#: donors of an event that a solution starts from, and those added in a round
+START, ADDED = 64, 16
+#: share of the gradient by which a donor must be better than those in use
+BETTER = 1e-6
+
+
 def synthetic_control(panel: DataFrame, min_pre: int = 5) -> DataFrame:
-    """Donor weights and mean and total effect; one row per event and donor of weight > 0.001."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = ["event_id", "donor", "weight", "pre_rmse", "average_effect", "cumulative_effect"]
-        wide = _wide(pdf)
-        if wide is None or wide[2].shape[1] == 0:
-            return pd.DataFrame(columns=cols)
-        index, y, donors = wide
-        pre = np.asarray(index < pdf["event_time"].iloc[0])
-        if pre.sum() < min_pre or (~pre).sum() < 1:
-            return pd.DataFrame(columns=cols)
-        x = donors.to_numpy()
-        w = simplex_weights(x[pre], y[pre])
-        gap = y - x @ w
-        rmse, post = float(np.sqrt(np.mean(gap[pre] ** 2))), gap[~pre]
-        rows = [[pdf["event_id"].iloc[0], d, float(v), rmse, float(post.mean()), float(post.sum())] for d, v in zip(donors.columns, w) if v > 0.001]
-        return pd.DataFrame(rows, columns=cols)
+    """Donor weights and mean and total effect; one row per event and donor of weight > 0.001.
+
+    The weights are convex and minimise the squared gap before the event over all donors, however
+    many: an event's active set holds the donors in use, its weights are solved exactly, donors
+    left without weight go, and those whose gradient is steepest among all others (one combined
+    top-k an event and round) come in, until no donor would lower the gap.  An active set is never larger
+    than the steps, ``START`` and ``ADDED`` together.
+    """
+    treated, donors = _events(panel, "event_id")
+    before = panel.select("event_id", "event_time", "bucket").distinct().groupBy("event_id").agg(F.count_if(F.col("bucket") < F.col("event_time")).alias("pre"))
+    treated = cut_lineage(treated.join(before, "event_id").where((F.col("pre") >= min_pre) & (F.size("y") > F.col("pre"))))
+    donors = donors.join(treated.select("event_id", "pre"), "event_id")
 
-    return panel.groupBy("event_id").applyInPandas(fit, "event_id long, donor long, weight double, pre_rmse double, average_effect double, cumulative_effect double")
+    def dot(a, b):
+        return F.aggregate(F.zip_with(F.slice(a, 1, F.col("pre")), F.slice(b, 1, F.col("pre")), lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, k = np.vstack(pdf["x"].to_numpy()).T, np.asarray(pdf["y"].iloc[0], float), int(pdf["pre"].iloc[0])
+        w = simplex_weights(x[:k], y[:k])
+        gap = y - x @ w
+        slope = -(x[:k].T @ gap[:k])
+        return pd.DataFrame({"event_id": [pdf["event_id"].iloc[0]], "active": [pdf["token_id"].tolist()], "weights": [w.tolist()], "gap": [gap.tolist()], "level": [float(w @ slope)], "size": [float(np.abs(slope).max())]})
+
+    closeness = F.aggregate(F.zip_with(F.slice("x", 1, F.col("pre")), F.slice("y", 1, F.col("pre")), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    near = donors.join(treated.select("event_id", "y"), "event_id").withColumn("near", closeness)
+    active = cut_lineage(limit_by(near, ["event_id"], [F.asc("near"), F.asc("token_id")], START).select("event_id", "token_id"))
+    while True:
+        rows = active.join(donors, ["event_id", "token_id"]).join(treated.select("event_id", "y"), "event_id")
+        solved = cut_lineage(rows.groupBy("event_id").applyInPandas(solve, "event_id long, active array<long>, weights array<double>, gap array<double>, level double, size double"))
+        # donors in use have the same slope, the level; a donor further down would lower the gap
+        others = donors.join(solved, "event_id").where(~F.array_contains("active", F.col("token_id"))).withColumn("slope", -dot("x", "gap"))
+        better = others.where(F.col("slope") < F.col("level") - BETTER * F.col("size")).select("event_id", "token_id", "slope")
+        better = cut_lineage(limit_by(better, ["event_id"], [F.asc("slope"), F.asc("token_id")], ADDED).select("event_id", "token_id"))
+        if better.isEmpty():
+            break
+        used = solved.select("event_id", F.explode(F.arrays_zip("active", "weights")).alias("u")).where("u.weights > 0").select("event_id", F.col("u.active").alias("token_id"))
+        # events without a better donor keep their set
+        active = cut_lineage(used.unionByName(better))
+    each = solved.join(treated.select("event_id", "pre"), "event_id")
+    gaps = lambda c, f: F.aggregate(c, F.lit(0.0), lambda s, v: s + f(v))
+    after = F.slice("gap", F.col("pre") + 1, F.size("gap") - F.col("pre"))
+    each = each.select(
+        "event_id", F.explode(F.arrays_zip("active", "weights")).alias("u"), F.sqrt(gaps(F.slice("gap", F.lit(1), F.col("pre")), lambda v: v * v) / F.col("pre")).alias("pre_rmse"),
+        (gaps(after, lambda v: v) / F.size(after)).alias("average_effect"), gaps(after, lambda v: v).alias("cumulative_effect"))
+    return each.where("u.weights > 0.001").select("event_id", F.col("u.active").alias("donor"), F.col("u.weights").alias("weight"), "pre_rmse", "average_effect", "cumulative_effect")
 
 
 def what_if(breaks: DataFrame, related: DataFrame, prices: DataFrame) -> DataFrame:
@@ -329,29 +391,29 @@ def what_if(breaks: DataFrame, related: DataFrame, prices: DataFrame) -> DataFra
 
 
 def causal_anomalies(panel: DataFrame, sigma: float = 3.0) -> DataFrame:
-    """Changes of a target that its parents do not explain.
+    """Changes of a target that its parents, however many, do not explain.
 
-    ``panel``: target, token_id, treated (1 for the target itself), bucket, price.
+    ``panel``: target, token_id, treated (1 for the target itself), bucket, price.  Changes of
+    factors have the inner products of the changes of all parents.
     """
+    treated, parents = _events(panel, "target")
+    steps = panel.select("target", "bucket").distinct().groupBy("target").agg(F.array_sort(F.collect_list("bucket")).alias("buckets"))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = ["target", "bucket", "residual", "sigma_score"]
-        wide = _wide(pdf)
-        if wide is None or wide[2].shape[1] == 0 or len(wide[1]) < 10:
-            return pd.DataFrame(columns=cols)
-        index, y, parents = wide
-        dy, dx = np.diff(y), np.diff(parents.to_numpy(), axis=0)
+    def fit(row, y, xs):
+        if len(y) < 10:
+            return
+        dy, dx = np.diff(y), np.diff(xs, axis=0)
         design = np.column_stack([np.ones(len(dy)), dx])
         beta, *_ = np.linalg.lstsq(design, dy, rcond=None)
         gap = dy - design @ beta
         std = float(gap.std())
         if std <= 1e-10:
-            return pd.DataFrame(columns=cols)
-        score = np.abs(gap) / std
-        keep = score >= sigma
-        return pd.DataFrame({"target": pdf["target"].iloc[0], "bucket": index[1:][keep], "residual": gap[keep], "sigma_score": score[keep]})[cols]
+            return
+        for i in np.flatnonzero(np.abs(gap) / std >= sigma):
+            yield [row["target"], int(i) + 1, float(gap[i]), float(abs(gap[i]) / std)]
 
-    return panel.groupBy("target").applyInPandas(fit, "target long, bucket timestamp, residual double, sigma_score double")
+    found = _fit_on_factors(treated, parents, "target", fit, "target long, step int, residual double, sigma_score double")
+    return found.join(steps, "target").select("target", F.get("buckets", F.col("step")).alias("bucket"), "residual", "sigma_score")
 
 
 # ---- signal ensemble --------------------------------------------------------

@@ -138,7 +138,41 @@ def test_granger_finds_the_leader(spark):
     t = np.arange(1, 200)
     small, full = np.column_stack([np.ones(199), y[t - 1]]), np.column_stack([np.ones(199), y[t - 1], x[t - 1]])
     ssr = [((y[t] - m @ np.linalg.lstsq(m, y[t], rcond=None)[0]) ** 2).sum() for m in (small, full)]
-    assert K.granger_best(x, y, 1)[1] == pytest.approx((ssr[0] - ssr[1]) / (ssr[1] / 196), rel=1e-6)
+    one = K.granger_matrix(series(spark, {1: x, 2: y}), spark.createDataFrame([(1, 2)], "src long, dst long"), 1).first()
+    assert one["f_stat"] == pytest.approx((ssr[0] - ssr[1]) / (ssr[1] / 196), rel=1e-6)
+
+
+@pytest.mark.parametrize("n", [4, 9, 60])
+def test_granger_against_least_squares(spark, n):
+    """All lags by least squares on whole series: short ones, a constant one, a copy, and one that is shorter."""
+    from oddsmith.functions.tails import f_tail
+
+    rng = np.random.default_rng(n)
+    cols = {1: rng.normal(size=n), 2: 0.4 + 0.01 * np.cumsum(rng.normal(size=n)), 3: np.full(n, 0.3), 5: rng.normal(size=n)[: n - 1]}
+    cols[4] = cols[1] * 2 + 1
+    pairs = [(a, b) for a in cols for b in cols if a != b]
+    got = {(r["src"], r["dst"]): r for r in K.granger_matrix(series(spark, cols), spark.createDataFrame(pairs, "src long, dst long"), 3).collect()}
+    for a, b in pairs:
+        x, y = cols[a], cols[b]
+        m = min(len(x), len(y))
+        want = (1, 0.0, 1.0)
+        for p in range(1, max(min(3, m // 3), 1) + 1):
+            free = m - 3 * p - 1
+            if m < 6 or free < 1:
+                break
+            own, other = ([v[p - k : m - k] for k in range(1, p + 1)] for v in (y, x))
+            ssr = []
+            for extra in ([], other):
+                design = np.column_stack([np.ones(m - p), *own, *extra])
+                ssr.append(float(((y[p:m] - design @ np.linalg.lstsq(design, y[p:m], rcond=1e-9)[0]) ** 2).sum()))
+            f = (ssr[0] - ssr[1]) / p / (ssr[1] / free) if ssr[1] > 1e-15 else 0.0
+            prob = float(f_tail(f, p, free))
+            want = (p, f, prob) if prob < want[2] - 1e-9 else want
+        r = got[a, b]
+        if m < 6:
+            assert (r["lag"], r["p_value"]) == (0, 1.0)
+        else:
+            assert r["p_value"] == pytest.approx(want[2], abs=1e-6)
 
 
 def test_pc_finds_a_collider_and_cuts_a_chain(spark):
@@ -178,6 +212,53 @@ def test_event_impact_synthetic_control_and_anomalies(spark):
     assert K.event_impact(df.where("bucket > event_time")).count() == 0
 
 
+def wide_panel(spark, controls=150, steps=30, event_at=20):
+    rng = np.random.default_rng(9)
+    c = {k: 0.5 + 0.05 * np.cumsum(rng.normal(size=steps)) for k in range(2, 2 + controls)}
+    c[40] = c[41] = c[42].copy()
+    y = 0.5 * c[5] + 0.3 * c[80] + 0.2 * c[140] + 0.01 * rng.normal(size=steps)
+    y[event_at:] += 0.3
+    return panel(spark, y, c, event_at), y, np.column_stack([*c.values()]), list(c)
+
+
+@pytest.mark.parametrize("controls", [12, 150])
+def test_event_fits_take_every_control(spark, monkeypatch, controls):
+    """Many controls as factors, in several rounds, against the fit on all of them; a series with a hole is left out."""
+    from oddsmith.operators import factors
+
+    monkeypatch.setattr(factors, "WIDTH", 8)
+    df, y, x, _ = wide_panel(spark, controls) if controls > 100 else (*(lambda a: (panel(spark, a[1], dict(zip(range(2, 14), a[2].T[:12])), 20), a[1], a[2][:, :12]))(wide_panel(spark)), None)
+    holed = panel(spark, y, {900: y}, 20).where("token_id = 900").limit(29)
+    design = np.column_stack([np.ones(30), x])
+    beta = np.linalg.lstsq(design[:20], y[:20], rcond=None)[0]
+    gap = y - design @ beta
+    row = K.event_impact(df.unionByName(holed)).first()
+    assert row["point_effect"] == pytest.approx(gap[20:].mean(), abs=1e-8) and row["cumulative_effect"] == pytest.approx(gap[20:].sum(), abs=1e-7)
+    dy, dx = np.diff(y), np.column_stack([np.ones(29), np.diff(x, axis=0)])
+    rest = dy - dx @ np.linalg.lstsq(dx, dy, rcond=None)[0]
+    odd = K.causal_anomalies(df.withColumnRenamed("event_id", "target").drop("event_time"), 1.5).collect()
+    if np.std(rest) > 1e-10:
+        want = {T0 + timedelta(hours=int(i) + 1) for i in np.flatnonzero(np.abs(rest) / rest.std() >= 1.5)}
+        assert {r["bucket"] for r in odd} == want
+    else:
+        assert odd == []
+
+
+def test_synthetic_control_over_many_donors(spark, monkeypatch):
+    """Rounds of a small active set find the weights of the solver that sees all donors at once."""
+    df, y, x, ids = wide_panel(spark)
+    monkeypatch.setattr(K, "START", 4)
+    monkeypatch.setattr(K, "ADDED", 3)
+    got = K.synthetic_control(df).collect()
+    w = K.simplex_weights(x[:20], y[:20], 200_000)
+    best = float(((y[:20] - x[:20] @ w) ** 2).sum())
+    assert got and sum(r["weight"] for r in got) == pytest.approx(1, abs=0.02)
+    assert 20 * got[0]["pre_rmse"] ** 2 == pytest.approx(best, rel=1e-3, abs=1e-9)
+    assert got[0]["average_effect"] == pytest.approx(float((y - x @ w)[20:].mean()), abs=2e-3)
+    all_at_once = {r["donor"]: r["weight"] for r in (monkeypatch.setattr(K, "START", 1000), K.synthetic_control(df).collect())[1]}
+    assert {k for k, v in all_at_once.items() if v > 0.05 and k not in (40, 41, 42)} == {r["donor"] for r in got if r["weight"] > 0.05 and r["donor"] not in (40, 41, 42)}
+
+
 def test_logistic_wald_matches_newton(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 2))
