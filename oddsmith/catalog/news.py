@@ -77,14 +77,14 @@ QUALIFY row_number() OVER (PARTITION BY sha256(body) ORDER BY published_at, arti
 
 def entity_markets(t):
     names = sorted(set(CONFIG["aliases"].values()))
-    return t.markets.where(F.col("condition_id") < 50).select(
+    return t.markets.select(
         F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("condition_id") % len(names) + 1).cast("int")).alias("entity"), "condition_id")
 
 
 NAMES_SQL = "[" + ", ".join(map(q, sorted(set(CONFIG["aliases"].values())))) + "]"
 add("article_market_links", lambda t: N.link_markets(analyzed(t), entity_markets(t)), f"""
 WITH {BASE_SQL}, mm AS (SELECT DISTINCT article_id, unnest(entities) AS entity FROM xe) SELECT DISTINCT article_id, condition_id FROM mm
-JOIN (SELECT condition_id, ({NAMES_SQL})[condition_id % {len(set(CONFIG['aliases'].values()))} + 1] AS entity FROM markets WHERE condition_id < 50) USING (entity)""")
+JOIN (SELECT condition_id, ({NAMES_SQL})[condition_id % {len(set(CONFIG['aliases'].values()))} + 1] AS entity FROM markets) USING (entity)""")
 SIGNALS = {"these": ("RU", 0.0, 0.0, 0.7), "was": ("CONTESTED", 0.5, 0.0, 0.6), "une": ("UA", 0.0, 50.0, 0.9)}
 UPDATES_SQL = f"""{BASE_SQL}, up AS (SELECT article_id, unnest(entities) AS place, source, published_at, keyword, control, intensity, distance_km, confidence FROM
   (SELECT article_id, entities, source, published_at, x FROM xe), (VALUES {', '.join(f"('{k}', '{c}', {i}::DOUBLE, {d}::DOUBLE, {f}::DOUBLE)" for k, (c, i, d, f) in SIGNALS.items())}) v(keyword, control, intensity, distance_km, confidence)

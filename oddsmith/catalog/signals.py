@@ -287,17 +287,17 @@ def orders(t):
 
 
 def held(t):
-    return t.positions.where("condition_id % 6 = 1").groupBy("condition_id").agg(F.sum("initial_value").alias("exposure"))
+    return t.positions.groupBy("condition_id").agg(F.sum("initial_value").alias("exposure"))
 
 
 def portfolio(t):
-    return t.positions.agg((F.sum("initial_value") * 0.1).alias("total_value"), F.lit(50000.0).alias("capital"), F.lit(100000.0).alias("initial_capital"),
+    return t.positions.agg((F.sum("initial_value") * 1.8).alias("total_value"), F.lit(50000.0).alias("capital"), F.lit(100000.0).alias("initial_capital"),
                            F.lit(0.05).alias("drawdown"), F.lit(-1000.0).alias("daily_pnl"))
 
 
-add("risk_limits", lambda t: G.risk_limits(orders(t), held(t).where("condition_id < 90"), portfolio(t)), """
-WITH h AS (SELECT condition_id, sum(initial_value) AS exposure FROM positions WHERE condition_id % 6 = 1 AND condition_id < 90 GROUP BY 1),
-b AS (SELECT count(*) AS n, sum(exposure) AS total FROM h), p AS (SELECT sum(initial_value) * 1e-1 AS total_value FROM positions),
+add("risk_limits", lambda t: G.risk_limits(orders(t), held(t), portfolio(t)), """
+WITH h AS (SELECT condition_id, sum(initial_value) AS exposure FROM positions GROUP BY 1),
+b AS (SELECT count(*) AS n, sum(exposure) AS total FROM h), p AS (SELECT sum(initial_value) * 18e-1 AS total_value FROM positions),
 o AS (SELECT condition_id AS order_id, condition_id, outcome_prices[1] AS price, volume_24h * 10 AS size, one_day_price_change / 2 AS edge, liquidity * 3 AS liquidity FROM markets WHERE active = 1),
 r AS (SELECT o.*, exposure, n, 1e-1 * total_value - coalesce(exposure, 0) AS rm, 6e-1 * total_value - total AS ra FROM o LEFT JOIN h USING (condition_id), b, p),
 v AS (SELECT *, CASE WHEN exposure IS NULL AND n >= 20 THEN 'max_positions' WHEN rm <= 0 THEN 'position_limit' WHEN ra <= 0 THEN 'portfolio_limit' WHEN abs(edge) < 3e-2 THEN 'min_edge'

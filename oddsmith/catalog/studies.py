@@ -104,13 +104,18 @@ SELECT {BASE_COLS}, {', '.join(f'{e} AS {n}' for n, e in LOT_EXPR.items())} FROM
 add("lot_features", lambda t: X.lot_features(lots_with_history(t)).select("lot_id.*", "*").drop("lot_id"), LOT_SQL, "l_extendedprice " + " ".join(LOT_EXPR))
 
 
-def vectors(t, d=6):
-    cols = [F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(d)]
+#: coordinates of an embedding
+DIMENSIONS = 64
+
+
+def vectors(t):
+    cols = [F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(DIMENSIONS)]
     return t.embeddings.select("vec_id", (F.col("label") % 2).cast("double").alias("y"), "label", *cols)
 
 
-COLS = [f"x{i}" for i in range(6)]
-VEC_SQL = f"""SELECT vec_id, CAST(label % 2 AS DOUBLE) AS y, label, {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}' for i in range(6))} FROM embeddings"""
+COLS = [f"x{i}" for i in range(DIMENSIONS)]
+VEC_SQL = f"""SELECT vec_id, CAST(label % 2 AS DOUBLE) AS y, label, {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}' for i in range(DIMENSIONS))} FROM embeddings"""
+CELL_SQL = f"SELECT vec_id, CAST(label % 2 AS DOUBLE) AS y, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, range({DIMENSIONS}) r(i)"
 
 
 def holed(t):
@@ -118,19 +123,24 @@ def holed(t):
     return rows.withColumn("split", F.when(F.col("vec_id") % 10 < 7, "train").otherwise("test")).drop("label", "y")
 
 
-def z_sql(c, src="f"):
-    return f"({c} - (SELECT avg({c}) FROM {src} WHERE split = 'train')) / (SELECT stddev_pop({c}) FROM {src} WHERE split = 'train') AS {c}"
+def z_sql(c):
+    return f"({c} - avg({c}) FILTER (split = 'train') OVER ()) / stddev_pop({c}) FILTER (split = 'train') OVER () AS {c}"
+
+
+SCALED = [c for c in COLS if c != "x5"]
 
 
 add("impute_scale", lambda t: X.impute_scale(holed(t), COLS), f"""
 WITH v AS ({VEC_SQL}), s AS (SELECT * REPLACE (CASE WHEN vec_id % 9 <> 0 THEN x0 END AS x0), CASE WHEN vec_id % 10 < 7 THEN 'train' ELSE 'test' END AS split FROM v),
-f AS (SELECT * REPLACE (coalesce(x0, (SELECT median(x0) FROM s WHERE split = 'train')) AS x0) FROM s) SELECT vec_id, split, {', '.join(z_sql(c) for c in COLS[:5])} FROM f""", " ".join(COLS[:5]))
-add("correlation_matrix", lambda t: D.correlation_matrix(vectors(t), COLS), f"WITH v AS ({VEC_SQL}) " + " UNION ALL ".join(
-    f"SELECT 'x{i}' AS a, 'x{j}' AS b, corr(x{i}, x{j}) AS r FROM v" for i in range(6) for j in range(i + 1, 6)), "r")
+f AS (SELECT * REPLACE (coalesce(x0, (SELECT median(x0) FROM s WHERE split = 'train')) AS x0) FROM s) SELECT vec_id, split, {', '.join(z_sql(c) for c in SCALED)} FROM f""", " ".join(SCALED))
+add("correlation_matrix", lambda t: D.correlation_matrix(vectors(t), COLS), f"""
+WITH v AS ({CELL_SQL}) SELECT 'x' || a.i AS a, 'x' || b.i AS b, corr(a.x, b.x) AS r FROM v a JOIN v b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i""", "r")
 add("feature_diagnostics", lambda t: D.feature_diagnostics(vectors(t), COLS))
-MI_SQL = """SELECT '{c}' AS feature, sum(c::DOUBLE / n * log2(c::DOUBLE * n / (cb::DOUBLE * cy))) AS bits FROM (SELECT c, sum(c) OVER ()::DOUBLE AS n, sum(c) OVER (PARTITION BY b)::DOUBLE AS cb, sum(c) OVER (PARTITION BY y)::DOUBLE AS cy FROM
-  (SELECT y, least(floor(({c} - lo) / (hi - lo) * 20), 19) AS b, count(*) AS c FROM v, (SELECT min({c}) AS lo, max({c}) AS hi FROM v) GROUP BY ALL))"""
-add("mutual_information", lambda t: D.mutual_information(vectors(t), COLS, "y"), f"WITH v AS ({VEC_SQL}) " + " UNION ALL ".join(MI_SQL.format(c=c) for c in COLS), "bits")
+add("mutual_information", lambda t: D.mutual_information(vectors(t), COLS, "y"), f"""
+WITH v AS ({CELL_SQL}), l AS (SELECT i, min(x) AS lo, max(x) AS hi FROM v GROUP BY i),
+c AS (SELECT i, y, least(floor((x - lo) / (hi - lo) * 20), 19) AS b, count(*) AS c FROM v JOIN l USING (i) GROUP BY ALL),
+p AS (SELECT i, c::DOUBLE AS c, sum(c) OVER (PARTITION BY i)::DOUBLE AS n, sum(c) OVER (PARTITION BY i, b)::DOUBLE AS cb, sum(c) OVER (PARTITION BY i, y)::DOUBLE AS cy FROM c)
+SELECT 'x' || i AS feature, sum(c / n * log2(c * n / (cb * cy))) AS bits FROM p GROUP BY i""", "bits")
 add("logistic_wald", lambda t: D.logistic_wald(vectors(t), COLS, "y"))
 add("walk_forward_pca", lambda t: D.walk_forward(vectors(t), COLS, "y", ["vec_id"], F.floor(F.col("vec_id") / 10000), components=3))
 add("temporal_stability", lambda t: D.temporal_stability(vectors(t), COLS, "y", "vec_id"))

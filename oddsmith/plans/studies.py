@@ -1,4 +1,4 @@
-"""Model checks and trading metrics: Spark ML where a model is fitted, aggregates elsewhere."""
+"""Model checks and trading metrics: fits from sums of products, one combined aggregate a step, and plain aggregates."""
 
 from __future__ import annotations
 
@@ -8,29 +8,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.stat import Correlation
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oddsmith.operators.gram import correlation, covariance, logistic_fits, logistic_hits, moments
 from oddsmith.operators.ordered import DAY, time_chunk, with_row_number, with_running
 from oddsmith.operators.versions import limit_by
+from oddsmith.session import cut_lineage
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol=out).transform(df)
 
 
+def _vectors(df: DataFrame, cols: Sequence[str], *others: Column | str) -> DataFrame:
+    return df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("x"), *others)
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pairs (a, b, r) of the features, from one pass; the matrix is features x features."""
-    m = Correlation.corr(assemble(df, cols), "features").first()[0].toArray()
+    """Pairs (a, b, r) of the features, from one pass of summed products; the matrix is features x features."""
+    m = correlation(moments(_vectors(df, cols), len(cols))[0])
     rows = [(a, b, float(m[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
     return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def feature_diagnostics(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """VIF per feature, condition number and mean and largest |cosine| of the centred features."""
-    m = Correlation.corr(assemble(df, cols), "features").first()[0].toArray()
+    m = correlation(moments(_vectors(df, cols), len(cols))[0])
     inverse, values = np.linalg.pinv(m), np.linalg.eigvalsh(m)
     condition = float(np.sqrt(values[-1] / max(values[0], 1e-300)))
     off = np.abs(m[np.triu_indices(len(cols), 1)])
@@ -54,46 +59,42 @@ def mutual_information(df: DataFrame, cols: Sequence[str], label: str, bins: int
 
 
 def logistic_wald(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
-    """Logistic coefficients with Wald z and p; the Fisher matrix is a Spark sum over the rows."""
+    """Logistic coefficients with Wald z and p; each step of the fit, and the information matrix, is one combined aggregate."""
     from oddsmith.functions.tails import normal_tail
 
-    rows = assemble(df, cols)
-    model = LogisticRegression(featuresCol="features", labelCol=label, standardization=False, maxIter=200, tol=1e-10).fit(rows)
-    beta = np.concatenate([[model.intercept], model.coefficients.toArray()])
-    names = ["intercept", *cols]
-    z = sum((F.lit(float(b)) * (F.col(c) if c != "intercept" else F.lit(1.0)) for c, b in zip(names, beta)), F.lit(0.0))
-    weight = 1 / (1 + F.exp(-z)) * (1 - 1 / (1 + F.exp(-z)))
-    x = [F.lit(1.0), *[F.col(c) for c in cols]]
-    d = len(names)
-    cells = [(i, j) for i in range(d) for j in range(i, d)]
-    sums = df.select(weight.alias("_w"), *cols).agg(*[F.sum(F.col("_w") * x[i] * x[j]).alias(f"f{i}_{j}") for i, j in cells]).first()
-    fisher = np.zeros((d, d))
-    for i, j in cells:
-        fisher[i, j] = fisher[j, i] = sums[f"f{i}_{j}"]
+    rows = cut_lineage(_vectors(df, cols, F.col(label).alias("y"), F.lit(0).alias("block")))
+    (beta,), (fisher,) = logistic_fits(rows, [[0]], [np.eye(len(cols))])
     se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(fisher)), 1e-300))
     p = normal_tail(beta / se)
-    out = [(n, float(b), float(s), float(b / s), float(q)) for n, b, s, q in zip(names, beta, se, p)]
+    out = [(n, float(b), float(s), float(b / s), float(q)) for n, b, s, q in zip(["intercept", *cols], beta, se, p)]
     return df.sparkSession.createDataFrame(out, "term string, coefficient double, std_error double, z double, p_value double")
 
 
+def principal_axes(gram: np.ndarray, components: int) -> np.ndarray:
+    """The first principal axes (d x components) of the rows behind a matrix of ``moments``."""
+    _, vectors = np.linalg.eigh(covariance(gram))
+    return vectors[:, ::-1][:, :components]
+
+
 def walk_forward(df: DataFrame, cols: Sequence[str], label: str, order: Sequence[str], chunk: Column, windows: int = 4, components: int | None = None) -> DataFrame:
-    """Accuracy of (PCA +) logistic on the next block, trained on all blocks before it."""
+    """Accuracy of (PCA +) logistic on the next block, trained on all blocks before it.
+
+    One pass sums the products of every block; the axes of a window come from the sum over its blocks.
+    The fits of all windows share their passes.
+    """
     n = df.agg(F.count("*").alias("_n"))
     ranked = with_row_number(df, [], order, chunk, "_rn").crossJoin(F.broadcast(n))
-    blocks = assemble(ranked.withColumn("_block", F.least(F.floor((F.col("_rn") - 1) * (windows + 1) / F.col("_n")), F.lit(windows))), cols).persist()
-    rows = []
-    try:
-        for w in range(1, windows + 1):
-            train, test, name = blocks.where(F.col("_block") < w), blocks.where(F.col("_block") == w), "features"
-            if components:
-                pca = PCA(k=components, inputCol="features", outputCol="pcs").fit(train)
-                train, test, name = pca.transform(train), pca.transform(test), "pcs"
-            model = LogisticRegression(featuresCol=name, labelCol=label, maxIter=50).fit(train)
-            score = model.transform(test).agg(F.count("*").alias("n"), F.avg(F.when(F.col("prediction") == F.col(label), 1.0).otherwise(0.0)).alias("a")).first()
-            rows.append((w, score["n"], score["a"]))
-    finally:
-        blocks.unpersist()
-    return df.sparkSession.createDataFrame(rows, "window int, n long, accuracy double")
+    block = F.least(F.floor((F.col("_rn") - 1) * (windows + 1) / F.col("_n")), F.lit(windows))
+    rows = cut_lineage(_vectors(ranked, cols, F.col(label).alias("y"), block.cast("int").alias("block")))
+    d = len(cols)
+    upto, bases = np.zeros((d + 1, d + 1)), []
+    sums = moments(rows, d, block="block")
+    for w in range(windows):
+        upto = upto + sums.get(w, 0)
+        bases.append(principal_axes(upto, components) if components else np.eye(d))
+    beta, _ = logistic_fits(rows, [list(range(w + 1)) for w in range(windows)], bases)
+    hits = logistic_hits(rows, {w: w + 1 for w in range(windows)}, beta, bases)
+    return df.sparkSession.createDataFrame([(w + 1, *hits.get(w, (0, None))) for w in range(windows)], "window int, n long, accuracy double")
 
 
 def temporal_stability(df: DataFrame, cols: Sequence[str], label: str, order: str) -> DataFrame:
@@ -101,16 +102,13 @@ def temporal_stability(df: DataFrame, cols: Sequence[str], label: str, order: st
     from oddsmith.operators.quantiles import exact_quantiles
 
     half = exact_quantiles(df.withColumn("_o", F.col(order).cast("double")), [], "_o", {"_mid": 0.5})
-    rows = assemble(df.crossJoin(F.broadcast(half)).withColumn("_late", F.when(F.col(order) > F.col("_mid"), 1).otherwise(0)), cols).persist()
-    out = []
-    try:
-        for late, name in ((0, "early_to_late"), (1, "late_to_early")):
-            model = LogisticRegression(featuresCol="features", labelCol=label, maxIter=50).fit(rows.where(F.col("_late") == late))
-            acc = model.transform(rows.where(F.col("_late") == 1 - late)).agg(F.avg(F.when(F.col("prediction") == F.col(label), 1.0).otherwise(0.0))).first()[0]
-            out.append((name, acc))
-    finally:
-        rows.unpersist()
-    return df.sparkSession.createDataFrame(out, "direction string, accuracy double")
+    late = F.when(F.col(order) > F.col("_mid"), 1).otherwise(0)
+    rows = cut_lineage(_vectors(df.crossJoin(F.broadcast(half)), cols, F.col(label).alias("y"), late.alias("block")))  # one row
+    bases = [np.eye(len(cols))] * 2
+    beta, _ = logistic_fits(rows, [[0], [1]], bases)
+    hits = logistic_hits(rows, {0: 1, 1: 0}, beta, bases)
+    names = ("early_to_late", "late_to_early")
+    return df.sparkSession.createDataFrame([(names[w], hits[w][1] if w in hits else None) for w in (0, 1)], "direction string, accuracy double")
 
 
 def auc(df: DataFrame, score: str = "p", label: str = "y") -> DataFrame:

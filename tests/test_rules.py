@@ -259,6 +259,47 @@ def test_synthetic_control_over_many_donors(spark, monkeypatch):
     assert {k for k, v in all_at_once.items() if v > 0.05 and k not in (40, 41, 42)} == {r["donor"] for r in got if r["weight"] > 0.05 and r["donor"] not in (40, 41, 42)}
 
 
+def newton(z, y):
+    z = np.column_stack([np.ones(len(z)), z])
+    b = np.zeros(z.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ b))
+        b = b + np.linalg.pinv((z * (p * (1 - p))[:, None]).T @ z) @ z.T @ (y - p)
+    return b
+
+
+def test_walk_forward_windows_share_their_passes(spark):
+    """Axes, fits and hits of each window against numpy on the rows of its blocks."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(500, 6)) @ rng.normal(size=(6, 6))
+    y = (x @ np.array([1, -0.5, 0.2, 0, 0, 0.3]) + rng.normal(size=500) > 0).astype(float)
+    cols = [f"c{i}" for i in range(6)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=cols).assign(y=y, k=np.arange(500))).repartition(4)
+    for components in (2, None):
+        got = [tuple(r) for r in D.walk_forward(df, cols, "y", ["k"], F.floor(F.col("k") / 50), 4, components).orderBy("window").collect()]
+        for w in range(4):
+            train, test = slice(0, 100 * (w + 1)), slice(100 * (w + 1), 100 * (w + 2))
+            axes = np.linalg.eigh(np.cov(x[train].T, bias=True))[1][:, ::-1][:, :components] if components else np.eye(6)
+            b = newton(x[train] @ axes, y[train])
+            hit = ((b[0] + x[test] @ axes @ b[1:] > 0) == (y[test] == 1)).mean()
+            assert got[w][:2] == (w + 1, 100) and got[w][2] == pytest.approx(hit)
+    both = {r["direction"]: r["accuracy"] for r in D.temporal_stability(df, cols, "y", "k").collect()}
+    b = newton(x[:250], y[:250])
+    assert both["early_to_late"] == pytest.approx(((b[0] + x[250:] @ b[1:] > 0) == (y[250:] == 1)).mean(), abs=0.005)
+
+
+def test_diagnostics_match_numpy(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 5)) @ rng.normal(size=(5, 5)) + 3
+    cols = list("abcde")
+    got = {r["feature"]: r for r in D.feature_diagnostics(spark.createDataFrame(pd.DataFrame(x, columns=cols)).repartition(3), cols).collect()}
+    for i, c in enumerate(cols):
+        others = np.column_stack([np.ones(300), np.delete(x, i, axis=1)])
+        gap = x[:, i] - others @ np.linalg.lstsq(others, x[:, i], rcond=None)[0]
+        assert got[c]["vif"] == pytest.approx(x[:, i].var() / gap.var(), rel=1e-6)
+    assert got["a"]["condition_number"] == pytest.approx(np.sqrt(np.linalg.cond(np.corrcoef(x.T))), rel=1e-6)
+
+
 def test_logistic_wald_matches_newton(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 2))
