@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddsmith.llm import audit, decontaminate, disclosure, extract, infill, langid, lm, minhash, mixing, paragraphs, quality, repeats, tokens
-from oddsmith.llm.store import stored
 from oddsmith.session import prepare
 
 
@@ -40,9 +39,7 @@ def op2_cross_entropy_difference(spark: SparkSession, folder: str) -> DataFrame:
     """Target: documents labelled good and not toxic; background: all documents."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     good = _table(spark, folder, "labels").where("quality = 1 and toxic = 0").select("doc_id")
-    # labels have no bound: never broadcast, the same join at every size
-    target = stored(docs.join(good.hint("merge"), "doc_id", "left_semi"), "lm-target")
-    scored = lm.cross_entropy_difference(docs, target, docs)
+    scored = lm.cross_entropy_difference(docs, good, docs)
     return scored.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "score")))
 
 
@@ -53,21 +50,16 @@ WITH d AS (
   FROM documents),
 t AS (SELECT doc_id, good, unnest(words) AS word, unnest(range(len(words))) AS pos FROM d),
 n AS (SELECT CAST(count(*) FILTER (good) AS DOUBLE) AS nt, CAST(count(*) AS DOUBLE) AS nb FROM t),
-v AS (SELECT word, count(*) FILTER (good) AS ct, count(*) AS cb FROM t GROUP BY word
-      HAVING (ct > 0 AND ct >= 1e-5 * (SELECT nt FROM n)) OR (cb > 0 AND cb >= 1e-5 * (SELECT nb FROM n))),
-k AS (SELECT t.doc_id, t.pos, t.good, coalesce(v.word, ' unknown') AS w FROM t LEFT JOIN v ON t.word = v.word),
-g AS (SELECT doc_id, pos, good, w, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY pos), ' border') AS b FROM k),
+g AS (SELECT doc_id, pos, good, word AS w, coalesce(lag(word) OVER (PARTITION BY doc_id ORDER BY pos), ' border') AS b FROM t),
 u AS (SELECT w, count(*) FILTER (good) AS ct, count(*) AS cb FROM g GROUP BY w),
-size AS (SELECT (SELECT count(*) FROM v) + 1 AS words),
+size AS (SELECT (SELECT count(*) FROM u) + 1 AS words),
 c AS (SELECT b, count(*) FILTER (good) AS ct, count(*) AS cb FROM g GROUP BY b),
-p AS (SELECT b, w, count(*) FILTER (good) AS ct, count(*) AS cb FROM g GROUP BY b, w
-      HAVING (ct > 0 AND ct >= 1e-6 * (SELECT nt FROM n)) OR (cb > 0 AND cb >= 1e-6 * (SELECT nb FROM n))),
-r AS (SELECT b, sum(ct) AS ct, sum(cb) AS cb FROM p GROUP BY b),
+p AS (SELECT b, w, count(*) FILTER (good) AS ct, count(*) AS cb FROM g GROUP BY b, w),
 l AS (
   SELECT g.doc_id, g.pos,
-    -ln((coalesce(p.ct, 0) + (100 + c.ct - coalesce(r.ct, 0)) * ((u.ct + 1) / (n.nt + size.words))) / (c.ct + 100)) AS lt,
-    -ln((coalesce(p.cb, 0) + (100 + c.cb - coalesce(r.cb, 0)) * ((u.cb + 1) / (n.nb + size.words))) / (c.cb + 100)) AS lb
-  FROM g JOIN u ON g.w = u.w JOIN c ON g.b = c.b LEFT JOIN r ON g.b = r.b LEFT JOIN p ON p.b = g.b AND p.w = g.w, n, size),
+    -ln((p.ct + 100 * ((u.ct + 1) / (n.nt + size.words))) / (c.ct + 100)) AS lt,
+    -ln((p.cb + 100 * ((u.cb + 1) / (n.nb + size.words))) / (c.cb + 100)) AS lb
+  FROM g JOIN u ON g.w = u.w JOIN c ON g.b = c.b JOIN p ON p.b = g.b AND p.w = g.w, n, size),
 s AS (SELECT doc_id, count(*) AS n_tokens, sum(lt) / count(*) AS loss_target, sum(lb) / count(*) AS loss_background FROM l GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(s.n_tokens, 0) AS BIGINT) AS n_tokens, round(loss_target, 6) AS loss_target, round(loss_background, 6) AS loss_background,
        round(loss_target - loss_background, 6) AS score

@@ -3,11 +3,13 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyarrow import fs
 
 from oddsmith.llm import decontaminate, disclosure, langid, lm, minhash, mixing, paragraphs, quality, repeats, suffixes, tokens
 from oddsmith.llm.store import stored
@@ -146,40 +148,47 @@ def test_odd_sketch_estimate():
 # 2 language model
 
 
-def brute_lm(texts, target, word_share, pair_share, mu):
+def brute_lm(texts, target, mu):
     tok = [[w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").lower()) if w] for t in texts]
-    from collections import Counter
-
     corpora = {"t": [tok[i] for i in target], "b": tok}
     c = {k: Counter(w for d in v for w in d) for k, v in corpora.items()}
     n = {k: sum(v.values()) for k, v in c.items()}
-    vocab = {w for k in c for w, x in c[k].items() if x >= word_share * n[k]}
-    code = lambda w: w if w in vocab else None
-    pairs = {k: Counter((b, code(w)) for d in v if d for b, w in zip(["<", *map(code, d[:-1])], d, strict=True)) for k, v in corpora.items()}
-    kept = {p for k in pairs for p, x in pairs[k].items() if x >= pair_share * n[k]}
+    size = len(set().union(*c.values())) + 1
+    pairs = {k: Counter((b, w) for d in v for b, w in zip(["<", *d[:-1]], d, strict=bool(d))) for k, v in corpora.items()}
+    contexts = {k: Counter() for k in corpora}
+    for k, found in pairs.items():
+        for (b, _), x in found.items():
+            contexts[k][b] += x
     out = []
     for d in tok:
-        loss = {"t": 0.0, "b": 0.0}
-        for b, w in zip(["<", *map(code, d[:-1])], d, strict=True) if d else []:
-            for k in loss:
-                uni = sum(x for v, x in c[k].items() if code(v) == code(w))
-                p1 = (uni + 1) / (n[k] + len(vocab) + 1)
-                ctx = sum(x for (y, _), x in pairs[k].items() if y == b)
-                rest = ctx - sum(x for p, x in pairs[k].items() if p[0] == b and p in kept)
-                hit = pairs[k][b, code(w)] if (b, code(w)) in kept else 0
-                loss[k] -= np.log((hit + (mu + rest) * p1) / (ctx + mu))
+        loss = {k: sum(-np.log((pairs[k][b, w] + mu * (c[k][w] + 1) / (n[k] + size)) / (contexts[k][b] + mu)) for b, w in zip(["<", *d[:-1]], d, strict=bool(d))) for k in corpora}
         out.append(None if not d else (loss["t"] / len(d), loss["b"] / len(d)))
     return out
 
 
-def test_cross_entropy_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(lm, "WORD_SHARE", 0.02)
-    monkeypatch.setattr(lm, "PAIR_SHARE", 0.005)
+def test_chunk_round_trip(tmp_path):
+    """A chunk read back from its file has the same arrays, without documents, words or ids as well."""
+    for words, tokens, ids in (([5, 9, 5, 7, 2**63 + 1], [2, 0, 3], [4, None, -1]), ([], [0], [1]), ([], [], [])):
+        chunk = lm.Chunk.of(np.array(words, np.uint64), np.array(tokens, np.int64), ids)
+        chunk.write(fs.LocalFileSystem(), str(tmp_path / "c"))
+        back = lm.Chunk.read(fs.LocalFileSystem(), str(tmp_path / "c"))
+        assert all(np.array_equal(getattr(chunk, n), getattr(back, n)) for n, _ in lm.Chunk.PARTS)
+    # documents 5 9 and 5 7 5: pairs (border 5), (5 7), (5 9), (7 5) in this order
+    chunk = lm.Chunk.of(np.array([5, 9, 5, 7, 5], np.uint64), np.array([2, 3]), [1, 2])
+    assert chunk.counts(None).tolist() == [2, 1, 1, 1] and chunk.counts(np.array([False, True])).tolist() == [1, 1, 0, 1]
+
+
+@pytest.mark.parametrize("by_id", [False, True])
+def test_cross_entropy_brute_force(spark, monkeypatch, by_id):
+    """Many small chunks and ranges; the target as texts or as ids of the background."""
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(lm, "RANGE_KEYS", 20)
     rng = np.random.default_rng(2)
     texts = [prose(rng, int(rng.integers(1, 60))) + " rare" + str(i) for i in range(20)] + [None, ""]
     docs = docs_of(spark, texts)
-    got = {r["doc_id"]: r for r in rows_of(lm.cross_entropy_difference(docs, docs.where("doc_id <= 7"), docs))}
-    for i, want in enumerate(brute_lm(texts, range(7), 0.02, 0.005, lm.MU)):
+    target = docs.where("doc_id <= 7")
+    got = {r["doc_id"]: r for r in rows_of(lm.cross_entropy_difference(docs, target.select("doc_id") if by_id else target, docs))}
+    for i, want in enumerate(brute_lm(texts, range(7), lm.MU)):
         r = got[i + 1]
         if want is None:
             assert r["n_tokens"] == 0 and r["score"] is None
@@ -192,7 +201,7 @@ def test_cross_entropy_keeps_rare_words_and_pairs(spark):
     texts = ["seldom met pair", *["a b c d e f g h i j k l " * 1000] * 10, "seldom met", "never seen pair"]
     docs = docs_of(spark, texts)
     known = docs.where("doc_id <= 12")
-    want = brute_lm(texts[:12], [0], 0, 0, lm.MU)
+    want = brute_lm(texts[:12], [0], lm.MU)
     for frame in (known, docs):
         got = {r["doc_id"]: r for r in rows_of(lm.cross_entropy_difference(frame, docs.where("doc_id = 1"), known))}
         for i, w in enumerate(want):
