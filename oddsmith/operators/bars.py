@@ -38,6 +38,32 @@ def ohlcv_bars(trades: DataFrame, seconds: int, key: Sequence[str] = ("condition
     )
 
 
+def partial_bars(trades: DataFrame, seconds: int, key: Sequence[str] = ("condition_id", "outcome"), tie: str = "trade_id") -> DataFrame:
+    """Bars of some of the trades, with the tie-break of open and close, so that any split of the trades merges to the same bars."""
+    when = order_key(trades, "ts", tie)
+    ids = trades.groupBy(*key, bucket("ts", seconds).alias("bar_time")).agg(F.min_by(tie, when).alias("open_id"), F.max_by(tie, when).alias("close_id"))
+    return ohlcv_bars(trades, seconds, key, tie).join(ids, [*key, "bar_time"])
+
+
+def merge_bars(bars: DataFrame, key: Sequence[str] = ("condition_id", "outcome")) -> DataFrame:
+    """One bar a key and time from partial ones."""
+    first, last = F.struct("open_ts", "open_id"), F.struct("close_ts", "close_id")
+    return bars.groupBy(*key, "bar_time").agg(
+        F.min_by("open", first).alias("open"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max_by("close", last).alias("close"),
+        F.sum("volume").alias("volume"),
+        F.sum("trade_count").alias("trade_count"),
+        F.sum("buy_volume").alias("buy_volume"),
+        F.sum("sell_volume").alias("sell_volume"),
+        F.min("open_ts").alias("open_ts"),
+        F.max("close_ts").alias("close_ts"),
+        F.min_by("open_id", first).alias("open_id"),
+        F.max_by("close_id", last).alias("close_id"),
+    )
+
+
 def rollup_bars(bars: DataFrame, seconds: int, key: Sequence[str] = ("condition_id", "outcome")) -> DataFrame:
     """Merge stored bars into longer ones without going back to the trades."""
     return bars.groupBy(*key, bucket("bar_time", seconds).alias("bar_time")).agg(

@@ -13,13 +13,15 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from oddsmith import schemas
+from oddsmith.operators.bars import merge_bars, partial_bars
+from oddsmith.operators.ordered import time_chunk, with_neighbor
 from oddsmith.operators.versions import latest_version, order_key
-from oddsmith.plans.lifecycle import scan_transitions
-from oddsmith.session import ensure_checkpoint_dir
+from oddsmith.plans.lifecycle import scan_transitions, status_kinds
+from oddsmith.session import cut_lineage, ensure_checkpoint_dir
 from oddsmith.sources.parse import levels
+from oddsmith.streaming.runs import Runs
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -164,94 +166,149 @@ def dedup_trades(trades: DataFrame, delay: str = "1 hour") -> DataFrame:
 # ---- keyed state ------------------------------------------------------------
 
 
-def _all(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(batches), ignore_index=True)
+def run_keyed(stream: DataFrame, name: str, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], out: str, state: str, merge: Callable[[DataFrame], DataFrame], root: str | None = None) -> DataFrame:
+    """Run ``step(batch, state before it) -> (rows out, state rows changed)`` for every batch and return all rows out.
 
+    A batch is an ordinary frame: its work is joins and combined aggregates over many tasks, also
+    for one key.  State is kept in ``Runs``; rows and state are named by the batch, so a repeated batch
+    replaces its own, and a later run with the same root goes on where the last one ended.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, i: int, root: str) -> None:
+        runs = Runs(batch.sparkSession, f"{root}/state", state, merge)
+        batch = batch.persist()
+        try:
+            rows, changed = step(batch, runs.before(i))
+            rows.write.mode("overwrite").parquet(f"{root}/out/batch={i}")
+            runs.add(i, changed)
+        finally:
+            batch.unpersist()
+
+    root = run_batches(stream, name, write, root=root)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/out")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], out)
+    return spark.read.schema(out).parquet(f"{root}/out/batch=*")
 
-def high_water_trades(trades: DataFrame) -> DataFrame:
-    """The strict variant: a trade not newer than the newest one seen of its market is dropped.
 
-    Late rows and fills of the same time are lost, as in the source; the first row of a
-    tie (by trade_id) stays.
+def high_water_trades(trades: DataFrame, root: str | None = None) -> DataFrame:
+    """The strict variant: a trade not newer than the newest one of its market before this batch is dropped.
+
+    Late rows and fills of the same time are lost, as in the source; the first row of a tie (by trade_id)
+    stays.  Ties are settled by (market, time), so a market with most of a batch runs over many tasks;
+    only its newest time meets in one row.
     """
+    first = F.struct("trade_id", "price", "size")
 
-    def step(key, batches, state: GroupState):
-        rows = _all(batches).sort_values(["ts", "trade_id"])
-        seen = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        keep = ~rows["ts"].duplicated()
-        if seen is not None:
-            keep &= rows["ts"] > seen
-        newest = rows["ts"].max()
-        newest = newest if seen is None else max(newest, seen)
-        state.update((int(newest.value // 1000),))
-        yield rows[keep]
+    def step(batch: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+        kept = batch.groupBy("condition_id", "ts").agg(F.min(first).alias("f"))
+        newest = batch.groupBy("condition_id").agg(F.max("ts").alias("seen"))
+        fresh = kept.join(seen, "condition_id", "left").where(F.col("seen").isNull() | (F.col("ts") > F.col("seen")))
+        return fresh.select("condition_id", "f.trade_id", "ts", "f.price", "f.size"), newest
 
     cols = trades.select("condition_id", "trade_id", "ts", "price", "size")
-    return cols.groupBy("condition_id").applyInPandasWithState(step, cols.schema, "seen long", "append", GroupStateTimeout.NoTimeout)
-
-
-def status_changes(snapshots: DataFrame) -> DataFrame:
-    """created, resolved and closed events from snapshots(market, ts, snapshot_id, closed, resolved)."""
-
-    def step(key, batches, state: GroupState):
-        rows = _all(batches).sort_values(["ts", "snapshot_id"])
-        last = state.get if state.exists else None
-        out = []
-        for r in rows.itertuples(index=False):
-            kind = None
-            if last is None:
-                kind = "created"
-            elif not last[1] and r.resolved:
-                kind = "resolved"
-            elif not last[0] and r.closed and not r.resolved:
-                kind = "closed"
-            last = (int(r.closed), int(r.resolved))
-            if kind:
-                out.append((key[0], r.ts, r.snapshot_id, kind))
-        state.update(last)
-        yield pd.DataFrame(out, columns=["market", "ts", "snapshot_id", "event_type"])
-
-    return snapshots.groupBy("market").applyInPandasWithState(
-        step, "market long, ts timestamp, snapshot_id long, event_type string", "closed int, resolved int", "append", GroupStateTimeout.NoTimeout)
-
-
-def posterior_state(evidence: DataFrame, prior: float = 20.0, half_life: float = 4.0, max_ratio: float = 5.0, ttl_seconds: int = 7 * 86400) -> DataFrame:
+    return run_keyed(cols, "high-water", step, "condition_id long, trade_id long, ts timestamp, price double, size double", "condition_id long, seen timestamp", lambda df: df.groupBy("condition_id").agg(F.max("seen").alias("seen")), root)
+
+
+def status_changes(snapshots: DataFrame, root: str | None = None) -> DataFrame:
+    """created, resolved and closed events from snapshots(market, ts, snapshot_id, closed, resolved).
+
+    The newest snapshot of each market is kept; it stands before the batch's rows, which are compared
+    with their neighbours in time slices.  Snapshots come in order over batches, in any order within.
+    """
+    cols = ["market", "ts", "snapshot_id", "closed", "resolved"]
+
+    def newest(df: DataFrame) -> DataFrame:
+        return df.groupBy("market").agg(F.max(F.struct(*cols[1:])).alias("l")).select("market", "l.*")
+
+    def step(batch: DataFrame, last: DataFrame) -> tuple[DataFrame, DataFrame]:
+        batch = batch.select(*cols)
+        known = last.join(batch.select("market").distinct(), "market", "left_semi")
+        both = batch.withColumn("is_new", F.lit(1)).unionByName(known.withColumn("is_new", F.lit(0)))
+        # what was stored comes first even if a late row is older
+        rows = with_neighbor(both, ["market"], ["is_new", "ts", "snapshot_id"], {"was_closed": "closed", "was_resolved": "resolved"}, F.when(F.col("is_new") == 0, F.lit(-(1 << 40))).otherwise(time_chunk("ts")).cast("long"))
+        events = status_kinds(rows).where("is_new = 1").select("market", "ts", "snapshot_id", "event_type")
+        return events, newest(batch)
+
+    return run_keyed(snapshots, "status", step, "market long, ts timestamp, snapshot_id long, event_type string", "market long, ts timestamp, snapshot_id long, closed int, resolved int", newest, root)
+
+
+POSTERIOR = "condition_id long, alpha double, beta double, at double, updates long"
+
+
+def posterior_state(evidence: DataFrame, prior: float = 20.0, half_life: float = 4.0, max_ratio: float = 5.0, ttl_seconds: int = 7 * 86400, root: str | None = None) -> DataFrame:
     """Beta posterior per market over a stream of evidence(condition_id, ts, seq, price, ratio, weight).
 
     Between updates the state relaxes to the market price; a market without news for
-    ``ttl_seconds`` is forgotten.
+    ``ttl_seconds`` starts anew.  Each update follows from the one before, so a market is a sequence: its
+    rows are sorted with the market's state in front and pass through the task as they come, a few
+    thousand at a time; nothing holds a market's rows.
     """
 
-    def step(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = _all(batches).sort_values(["ts", "seq"])
-        a, b, at, n = state.get if state.exists else (None, None, None, 0)
-        out = []
-        for r in rows.itertuples(index=False):
-            p = min(0.99, max(0.01, r.price))
-            now = r.ts.value / 1e9
-            if a is None:
-                a, b = p * prior, (1 - p) * prior
-            else:
-                hours = (now - at) / 3600
-                if hours > 0:
-                    keep = 0.5 ** (hours / half_life)
-                    conc = max(2.0, prior + (a + b - prior) * keep)
-                    mean = min(0.99, max(0.01, p + (a / (a + b) - p) * keep))
-                    a, b = mean * conc, (1 - mean) * conc
-            k = min(max(r.ratio, 1 / max_ratio), max_ratio) ** r.weight
-            a, b = (a * k, b) if k >= 1 else (a, b / k)
-            scale = min(1.0, prior * 5 / (a + b))
-            a, b, at, n = a * scale, b * scale, now, n + 1
-            out.append((key[0], r.ts, r.seq, a, b, n))
-        state.update((float(a), float(b), float(at), int(n)))
-        state.setTimeoutTimestamp(int(max(at * 1000, state.getCurrentWatermarkMs())) + ttl_seconds * 1000)
-        yield pd.DataFrame(out, columns=["condition_id", "ts", "seq", "alpha", "beta", "updates"])
-
-    return evidence.withWatermark("ts", "1 day").groupBy("condition_id").applyInPandasWithState(
-        step, "condition_id long, ts timestamp, seq long, alpha double, beta double, updates long", "alpha double, beta double, at double, updates long", "append", GroupStateTimeout.EventTimeTimeout)
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        market, a, b, at, n = None, None, None, None, 0
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.condition_id != market:
+                    market, a, b, at, n = r.condition_id, None, None, None, 0
+                if r.is_new == 0:
+                    a, b, at, n = r.alpha, r.beta, r.at, int(r.updates)
+                    continue
+                p, now = min(0.99, max(0.01, r.price)), r.ts.value / 1e9
+                if a is not None and now - at > ttl_seconds:
+                    a, n = None, 0
+                if a is None:
+                    a, b = p * prior, (1 - p) * prior
+                else:
+                    hours = (now - at) / 3600
+                    if hours > 0:
+                        keep = 0.5 ** (hours / half_life)
+                        conc = max(2.0, prior + (a + b - prior) * keep)
+                        mean = min(0.99, max(0.01, p + (a / (a + b) - p) * keep))
+                        a, b = mean * conc, (1 - mean) * conc
+                k = min(max(r.ratio, 1 / max_ratio), max_ratio) ** r.weight
+                a, b = (a * k, b) if k >= 1 else (a, b / k)
+                scale = min(1.0, prior * 5 / (a + b))
+                # a late row counts, and takes no time back
+                a, b, at, n = a * scale, b * scale, now if at is None else max(at, now), n + 1
+                out.append((market, r.ts, r.seq, a, b, at, n))
+            yield pd.DataFrame(out, columns=["condition_id", "ts", "seq", "alpha", "beta", "at", "updates"])
+
+    def newest(df: DataFrame) -> DataFrame:
+        return df.groupBy("condition_id").agg(F.max(F.struct("at", "updates", "alpha", "beta")).alias("l")).select("condition_id", "l.alpha", "l.beta", "l.at", "l.updates")
+
+    def step(batch: DataFrame, last: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows = batch.select("condition_id", "ts", "seq", "price", "ratio", "weight", F.lit(1).alias("is_new"))
+        known = last.join(batch.select("condition_id").distinct(), "condition_id", "left_semi").withColumn("is_new", F.lit(0))
+        both = rows.unionByName(known, allowMissingColumns=True).repartition("condition_id").sortWithinPartitions("condition_id", "is_new", "ts", "seq")
+        out = cut_lineage(both.mapInPandas(walk, "condition_id long, ts timestamp, seq long, alpha double, beta double, at double, updates long"))
+        changed = out.groupBy("condition_id").agg(F.max(F.struct("at", "updates", "alpha", "beta")).alias("l"))
+        return out.drop("at"), changed.select("condition_id", "l.alpha", "l.beta", "l.at", "l.updates")
+
+    return run_keyed(evidence, "posterior", step, "condition_id long, ts timestamp, seq long, alpha double, beta double, updates long", POSTERIOR, newest, root)
+
+
+def stored_bars(trades: DataFrame, seconds: int = 3600, root: str | None = None) -> DataFrame:
+    """Bars of all trades so far, kept up by what is new: a batch adds its own partial bars, which merge with those of the same bar.
+
+    The counterpart of a view that fires on insert: nothing is computed again from the trades, late
+    rows count, and a repeated batch replaces its own run.
+    """
+    spark = trades.sparkSession
+    bars = partial_bars(spark.createDataFrame([], trades.schema), seconds)
+
+    def write(batch: DataFrame, i: int, root: str) -> None:
+        Runs(batch.sparkSession, f"{root}/bars", bars.schema, merge_bars).add(i, partial_bars(batch, seconds))
+        batch.sparkSession.createDataFrame([(str(i + 1),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/known/batch={i}")
+
+    root = run_batches(trades, "bars", write, root=root)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/known")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return bars.drop("open_id", "close_id")
+    batches = spark.read.text(f"{root}/known/batch=*").agg(F.max(F.col("value").cast("int"))).first()[0]
+    return Runs(spark, f"{root}/bars", bars.schema, merge_bars).before(batches).drop("open_id", "close_id")
 
 
 # ---- joins ------------------------------------------------------------------
@@ -295,38 +352,42 @@ def arbitrage_lifecycle(scans: DataFrame, key: list[str], root: str | None = Non
 def arbitrage_scans(scans: DataFrame, key: list[str], root: str | None = None) -> DataFrame:
     """Transitions of numbered scans(scan_no, key...) that arrive in order, in any split over micro-batches.
 
-    A scan is complete when a later one has begun.  A batch stores its rows by scan and
-    the number up to which scans are complete, and writes the transitions of the scans
-    that became complete; the scans still open at the end of the input follow at the end.
-    A repeated batch writes the same files again.
+    A scan is complete when a later one has begun.  A batch carries on the rows of the last complete
+    scan (the open set) and of the one still coming in, and nothing older: its work is that of its
+    own rows and the open set.  The scans still open at the end of the input follow at the end.  A
+    repeated batch reads the state before it and writes the same files again.
     """
     spark = scans.sparkSession
     first = -(1 << 62)
     schema = scans.select("scan_no", *key).schema
 
-    def seen(root: str) -> DataFrame:
-        return spark.read.schema(schema).parquet(f"{root}/seen/*")
+    def carried(root: str, i: int) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{root}/carried/batch={i}") if i >= 0 else spark.createDataFrame([], schema)
 
-    def transitions(root: str, after: int, upto: int) -> DataFrame:
-        # the scan before the first new one is what its rows are compared with
-        rows = seen(root).where(F.col("scan_no").between(max(after, first), upto))
-        return scan_transitions(rows, key).where(F.col("scan_no") > after)
+    def done(root: str, i: int) -> int:
+        return int(spark.read.text(f"{root}/done/batch={i}").first()[0]) if i >= 0 else first
 
-    def done_before(root: str, i: int) -> int:
-        return int(spark.read.text(f"{root}/done/batch={i - 1}").first()[0]) if i > 0 else first
+    def transitions(rows: DataFrame, after: int, upto: int) -> DataFrame:
+        # the scan before the first new one is what its rows are compared with
+        return scan_transitions(rows.where(F.col("scan_no").between(after, upto)), key).where(F.col("scan_no") > after)
 
     def write(batch: DataFrame, i: int, root: str) -> None:
-        batch.select("scan_no", *key).distinct().write.mode("overwrite").parquet(f"{root}/seen/batch={i}")
-        after, newest = done_before(root, i), seen(root).agg(F.max("scan_no")).first()[0]
-        upto = max(after, newest - 1) if newest is not None else after
-        transitions(root, after, upto).write.mode("overwrite").parquet(f"{root}/transitions/batch={i}")
-        spark.createDataFrame([(str(upto),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/done/batch={i}")
+        after = done(root, i - 1)
+        rows = batch.select("scan_no", *key).unionByName(carried(root, i - 1)).where(F.col("scan_no") >= after).distinct().persist()
+        try:
+            newest = rows.agg(F.max("scan_no")).first()[0]
+            upto = max(after, newest - 1) if newest is not None else after
+            transitions(rows, after, upto).write.mode("overwrite").parquet(f"{root}/transitions/batch={i}")
+            rows.where(F.col("scan_no") >= upto).write.mode("overwrite").parquet(f"{root}/carried/batch={i}")
+            spark.createDataFrame([(str(upto),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/done/batch={i}")
+        finally:
+            rows.unpersist()
         state["last"] = i
 
     state = {"last": -1}
     root = run_batches(scans, "arbitrage-scans", write, root=root)
-    if state["last"] < 0:
+    last = state["last"]
+    if last < 0:
         return scan_transitions(spark.createDataFrame([], schema), key)
-    after = done_before(root, state["last"] + 1)
-    written = spark.read.schema(transitions(root, after, after).schema).parquet(f"{root}/transitions/*")
-    return written.unionByName(transitions(root, after, (1 << 62)))
+    open_end = transitions(carried(root, last), done(root, last), 1 << 62)
+    return spark.read.schema(open_end.schema).parquet(f"{root}/transitions/*").unionByName(open_end)

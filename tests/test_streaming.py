@@ -64,7 +64,7 @@ def test_dedup_keeps_fills_of_other_tokens(spark, tmp_path):
 def test_high_water_drops_late_and_equal_times(spark, tmp_path):
     write(spark, tmp_path, 0, [trade(1, 10), trade(2, 10), trade(3, 20)])
     write(spark, tmp_path, 1, [trade(4, 15), trade(5, 20), trade(6, 30), trade(7, 1, market=2)])
-    got = jobs.run_append(jobs.high_water_trades(stream(spark, str(tmp_path))), "high")
+    got = jobs.high_water_trades(stream(spark, str(tmp_path)))
     assert sorted(r["trade_id"] for r in got.collect()) == [1, 3, 6, 7]
 
 
@@ -75,7 +75,7 @@ def test_status_stream_equals_batch(spark, tmp_path):
     for n in range(4):
         write(spark, tmp_path, n, [r for r in rows if (r[1] - T0).days == n], schema)
     key = lambda df: sorted((r["market"], r["snapshot_id"], r["event_type"]) for r in df.collect())
-    got = key(jobs.run_append(jobs.status_changes(stream(spark, str(tmp_path), schema)), "status"))
+    got = key(jobs.status_changes(stream(spark, str(tmp_path), schema)))
     assert got == key(lifecycle.status_events(spark.createDataFrame(rows, schema)))
     assert [k for m, _, k in got if m == 1] == ["created", "closed", "resolved"] and [k for m, _, k in got if m == 3] == ["created", "resolved", "closed"]
 
@@ -85,7 +85,7 @@ def test_posterior_equals_a_plain_loop(spark, tmp_path):
     rows = [(i % 2, T0 + timedelta(hours=i), i, 0.3 + i / 50, 3.0 if i % 3 else 0.1, 0.5) for i in range(12)]
     for n in range(3):
         write(spark, tmp_path, n, rows[4 * n : 4 * n + 4], schema)
-    got = {r["seq"]: (r["alpha"], r["beta"], r["updates"]) for r in jobs.run_append(jobs.posterior_state(stream(spark, str(tmp_path), schema)), "post").collect()}
+    got = {r["seq"]: (r["alpha"], r["beta"], r["updates"]) for r in jobs.posterior_state(stream(spark, str(tmp_path), schema)).collect()}
     state = {}
     for m, ts, seq, p, ratio, w in rows:
         if m not in state:
@@ -183,3 +183,111 @@ def test_arbitrage_scans_that_span_batches(spark, tmp_path):
     got = sorted(map(tuple, jobs.arbitrage_scans(frame, ["condition_id", "arb_type"], str(tmp_path / "root")).select("scan_no", "condition_id", "status").collect()))
     want = sorted(map(tuple, scan_transitions(spark.createDataFrame(rows, schema), ["condition_id", "arb_type"]).select("scan_no", "condition_id", "status").collect()))
     assert got == want and len(want) > 10
+
+
+@pytest.fixture
+def many(spark, tmp_path):
+    """Nine files of a hot market and two others, taken three at a time by a session that ends in between."""
+    rows = [trade(1000 * n + i, 10 * n + (7 * i) % 13, 1 if i % 4 else 2 + i % 3, 0.2 + (i % 9) / 20) for n in range(9) for i in range(24)]
+    return [rows[k : k + 24] for k in range(0, len(rows), 24)], tmp_path
+
+
+def over_restarts(spark, many, job, schema=SCHEMA, shape=lambda r: r):
+    """What a job gives that is started three times on the same root, the input growing."""
+    parts, folder = many
+    root = str(folder / "root")
+    for n, rows in enumerate(parts):
+        write(spark, folder / "in", n, [shape(r) for r in rows], schema)
+        if n % 3 == 2:
+            out = job(stream(spark, str(folder / "in"), schema), root)
+    return out.collect()
+
+
+def test_runs_merge_and_repeat(spark, tmp_path, monkeypatch):
+    """Any number of batches reads as all of them; a batch written twice counts once."""
+    from oddsmith.streaming import runs
+
+    monkeypatch.setattr(runs, "WIDTH", 3)
+    made = runs.Runs(spark, str(tmp_path / "r"), "k long, n long", lambda df: df.groupBy("k").agg(F.sum("n").alias("n")))
+    want = {}
+    for i in range(11):
+        assert {r["k"]: r["n"] for r in made.before(i).collect()} == want
+        rows = [(i % 4, 1), (7, i)]
+        for _ in range(2 if i in (2, 5, 8) else 1):
+            made.add(i, spark.createDataFrame(rows, "k long, n long"))
+        for k, n in rows:
+            want[k] = want.get(k, 0) + n
+    assert len(made._covering(11)) <= 6 and len(made._covering(9)) == 1
+
+
+def test_high_water_over_restarts(spark, many):
+    got = sorted(r["trade_id"] for r in over_restarts(spark, many, jobs.high_water_trades))
+    seen, want = {}, []
+    for part in many[0]:
+        best = {}
+        for r in part:
+            best[r[0], r[2]] = min(best.get((r[0], r[2]), r[3]), r[3])
+        want += [i for (m, ts), i in best.items() if ts > seen.get(m, T0 - timedelta(days=1))]
+        for m, ts in best:
+            seen[m] = max(seen.get(m, ts), ts)
+    assert got == sorted(want) and len(want) < sum(map(len, many[0]))
+
+
+def test_a_hot_market_runs_over_several_tasks(spark, tmp_path):
+    """Ties of one market are settled by time: no task gets all its rows."""
+    batch = spark.createDataFrame([trade(i, i) for i in range(600)], SCHEMA).repartition(4)
+    kept = batch.groupBy("condition_id", "ts").agg(F.min(F.struct("trade_id", "price", "size")).alias("f"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so small a table would be merged into one task
+    try:
+        sizes = [r["n"] for r in kept.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) > 1 and max(sizes) < 400
+
+
+def test_stored_bars_over_restarts(spark, many):
+    """Nine parts in three starts equal the bars of all rows, with ties in time across parts."""
+    got = over_restarts(spark, many, lambda s, root: jobs.stored_bars(s, 600, root))
+    want = bars.ohlcv_bars(spark.createDataFrame([r for p in many[0] for r in p], SCHEMA), 600).collect()
+    key = lambda rows: sorted((r["condition_id"], r["bar_time"], r["open"], r["high"], r["low"], r["close"], round(r["volume"], 6), r["trade_count"], r["open_ts"], r["close_ts"]) for r in rows)
+    assert key(got) == key(want)
+
+
+def test_posterior_over_restarts_and_forgetting(spark, many):
+    """The state of a market goes on over starts, with a hot market in small Arrow batches; after a week of silence it starts anew."""
+    schema = "condition_id long, ts timestamp, seq long, price double, ratio double, weight double"
+    shape = lambda r: (r[0], r[2] + timedelta(days=9 if r[3] >= 6000 else 0), r[3], r[5], 1.5, 0.5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = over_restarts(spark, many, lambda s, root: jobs.posterior_state(s, root=root), schema, shape)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    count, last, want = {}, {}, {}
+    for part in many[0]:
+        for r in sorted(map(shape, part), key=lambda r: (r[1], r[2])):
+            m = r[0]
+            if m in last and (r[1] - last[m]).total_seconds() > 7 * 86400:
+                count[m] = 0
+            last[m] = max(last.get(m, r[1]), r[1])
+            count[m] = count.get(m, 0) + 1
+            want[r[2]] = count[m]
+    assert {r["seq"]: r["updates"] for r in got} == want and min(v for k, v in want.items() if k >= 6000) == 1
+
+
+def test_arbitrage_carries_only_the_open_set(spark, tmp_path):
+    """A batch keeps the last complete scan and the one still coming in; a second start goes on with them."""
+    schema = "scan_no long, condition_id long, arb_type string"
+    rows = [(n, k, "x") for n in range(1, 9) for k in range(5) if (n * k) % 3 != 2]
+    key, root = ["condition_id", "arb_type"], str(tmp_path / "root")
+    found = []
+    for part, cut in enumerate((0, len(rows) // 2)):
+        chosen = rows[: len(rows) // 2] if part == 0 else rows[cut:]
+        for i in range(0, len(chosen), 6):
+            write(spark, tmp_path / "in", 100 * part + i, chosen[i : i + 6], schema)
+        found = jobs.arbitrage_scans(stream(spark, str(tmp_path / "in"), schema), key, root).select("scan_no", "condition_id", "status").collect()
+    want = lifecycle.scan_transitions(spark.createDataFrame(rows, schema), key).select("scan_no", "condition_id", "status").collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, want))
+    import glob
+
+    sizes = [spark.read.parquet(p).select("scan_no").distinct().count() for p in glob.glob(f"{root}/carried/batch=*")]
+    assert max(sizes) <= 2
