@@ -50,19 +50,71 @@ LETTERS = r"\p{L}+"
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
+#: items that a scan appends to one array: appending copies what is there, so long scans go in pieces
+SCAN = 128
+#: a letter that stands for what is covered; no term holds it
+FILLER = "\U00016FE0"
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def scanned(items: Column, step, emit, text: Column | None = None) -> Column:
+    """``emit(at, item)`` of every item, where ``at`` is an int that starts at 0 and goes on by ``step(at, item)``.
+
+    The array is walked in pieces of SCAN items: once for the states at their borders, once for what
+    they give; a long array takes time in proportion to its length.  With ``text``, emit gets
+    (at, item, part, base): the text from ``base``, where the piece begins, as far as its states reach.
+    """
+
+    def pieces(a: Column) -> Column:
+        n = F.ceil(F.size(a) / SCAN).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(a, k * SCAN + 1, F.lit(SCAN)))).otherwise(F.slice(F.array(a), 1, 0))
+
+    def borders(cut: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(cut, first, lambda s, piece: F.struct(F.aggregate(piece, s["at"], step).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: F.concat(s["all"], F.array(s["at"])))
+
+    def walk(piece: Column, at: Column, out) -> Column:
+        head, rest = F.get(piece, F.lit(0)), F.slice(piece, 2, F.lit(SCAN))
+        first = F.struct(step(at, head).alias("at"), F.array(out(at, head)).alias("out"))
+        return F.aggregate(rest, first, lambda s, x: F.struct(step(s["at"], x).alias("at"), F.concat(s["out"], F.array(out(s["at"], x))).alias("out")), lambda s: s["out"])
+
+    def each(cut: Column, states: Column) -> Column:
+        def one(piece: Column, k: Column) -> Column:
+            at = F.get(states, k)
+            if text is None:
+                return walk(piece, at, emit)
+            return let(F.substring(text, at + 1, F.get(states, k + 1) - at), lambda part: walk(piece, at, lambda now, x: emit(now, x, part, at)))
+
+        return F.flatten(F.transform(cut, one))
+
+    return let(items, lambda a: let(pieces(a), lambda cut: let(borders(cut), lambda states: each(cut, states))))
+
+
 def located(text: Column, pattern: str) -> Column:
     """Array of struct(start, end, value) of all matches, in code points."""
     between = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    pairs = F.filter(F.arrays_zip(between.alias("gap"), matches.alias("value")), lambda p: p["value"].isNotNull())
+    sized = F.transform(pairs, lambda p: F.struct(F.char_length(p["gap"]).alias("gap"), F.char_length(p["value"]).alias("size"), p["value"].alias("value")))
+    return scanned(
+        sized, lambda at, p: at + p["gap"] + p["size"],
+        lambda at, p: F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + p["size"]).alias("end"), p["value"].alias("value")))
 
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.char_length(pair["gap"])
-        end = begin + F.char_length(pair["value"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), pair["value"].alias("value")))).alias("out"))
 
-    pairs = F.filter(F.arrays_zip(between.alias("gap"), matches.alias("value")), lambda p: p["value"].isNotNull())
-    return F.aggregate(pairs, start, step, lambda s: s["out"])
+def covered(text: Column, spans: Column, cover) -> Column:
+    """The text with ``cover(span, its text)`` in place of each span, spans by start; one that begins inside another adds nothing."""
+
+    def piece(at: Column, s: Column, part: Column, base: Column) -> Column:
+        here = F.substring(part, s["start"] - base + 1, s["end"] - s["start"])
+        return F.when(s["start"] >= at, F.concat(F.substring(part, at - base + 1, s["start"] - at), cover(s, here))).otherwise("")
+
+    reach = F.aggregate(spans, F.lit(0), lambda at, s: F.greatest(at, s["end"]))
+    pieces = scanned(spans, lambda at, s: F.greatest(at, s["end"]), piece, text)
+    return F.concat(F.array_join(pieces, ""), F.substring(text, reach + 1, F.char_length(text)))
 
 
 def digits_of(value: Column) -> Column:
@@ -113,13 +165,7 @@ def _entity(span: Column) -> Column:
 
 def blanked(text: Column, spans: Column) -> Column:
     """The text with a space for each span."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        gap = F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(" "))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.when(s["start"] >= state["at"], gap).otherwise("")).alias("out"))
-
-    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
+    return covered(text, spans, lambda s, here: F.lit(" "))
 
 
 def terms_of(text: Column) -> Column:
@@ -127,11 +173,9 @@ def terms_of(text: Column) -> Column:
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
-    """(text, spans) of each line with entities, positions within the line."""
-    lines = rows.select("spans", F.explode(located(F.col("text"), r"[^\n]+")).alias("line"))
-    inside = F.filter("spans", lambda s: (s["start"] >= F.col("line")["start"]) & (s["start"] < F.col("line")["end"]))
-    shifted = F.transform(inside, lambda s: s.withField("start", s["start"] - F.col("line")["start"]).withField("end", s["end"] - F.col("line")["start"]))
-    return lines.select(F.col("line")["value"].alias("text"), shifted.alias("spans")).where(F.size("spans") > 0)
+    """(text, spans) of each line with entities; no pattern matches across a line feed, so a line has the matches of the text in it."""
+    lines = rows.select(F.explode(F.split("text", "\n")).alias("text")).where("text <> ''")
+    return lines.select("text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
 
 
 def entity_units(units: DataFrame) -> DataFrame:
@@ -164,19 +208,18 @@ def disclosing(units: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def term_spans(text: Column, base: Column, actions: Column) -> Column:
-    """Spans of the words of ``actions`` (term to action) outside the base spans; the scan holds only these words."""
-    pairs = F.arrays_zip(F.split(text, LETTERS, -1).alias("gap"), F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)).alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.char_length(pair["gap"])
-        end, term = begin + F.char_length(pair["value"]), F.lower(pair["value"])
-        span = F.struct(begin.alias("start"), F.lit(len(KINDS)).alias("rank"), end.alias("end"), F.try_element_at(actions, term).alias("kind"), term.alias("value"))
-        named = F.map_contains_key(actions, term)
-        return F.struct(end.alias("at"), F.when(named, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+    """Spans of the words of ``actions`` (term to action) that touch no base span.
 
-    found = F.aggregate(F.filter(pairs, lambda p: p["value"].isNotNull()), start, step, lambda s: s["out"])
-    return F.filter(found, lambda w: ~F.exists(base, lambda s: (w["start"] < s["end"]) & (w["end"] > s["start"])))
+    Base spans are filled with a letter first, so a word that reaches into one is no term.
+    """
+    # overlapping base spans are filled as one: what is beyond the first is filled by the next
+    filled = F.array_join(scanned(base, lambda at, s: F.greatest(at, s["end"]), lambda at, s, part, start: F.concat(
+        F.when(s["start"] > at, F.substring(part, at - start + 1, s["start"] - at)).otherwise(""), F.repeat(F.lit(FILLER), F.greatest(F.lit(0), s["end"] - F.greatest(at, s["start"])))), text), "")
+    reach = F.aggregate(base, F.lit(0), lambda at, s: F.greatest(at, s["end"]))
+    whole = F.concat(filled, F.substring(text, reach + 1, F.char_length(text)))
+    named = F.filter(located(whole, LETTERS), lambda w: F.map_contains_key(actions, F.lower(w["value"])))
+    return F.transform(named, lambda w: F.struct(
+        w["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), w["end"].alias("end"), F.try_element_at(actions, F.lower(w["value"])).alias("kind"), F.lower(w["value"]).alias("value")))
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
@@ -207,15 +250,8 @@ def found_spans(docs: DataFrame) -> DataFrame:
 def redacted(text: Column, spans: Column) -> Column:
     """The text with tags for base spans, shapes for generalised terms and without removed terms; overlapping spans are covered once."""
     shape = lambda v: F.regexp_replace(F.regexp_replace(v, r"\p{Lu}", "X"), r"\p{L}(?<!X)", "x")
-    cover = lambda s: F.when(s["kind"] == "remove", F.lit("")).when(s["kind"] == "general", shape(F.substring(text, s["start"] + 1, s["end"] - s["start"]))).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        return F.when(s["start"] >= state["at"], F.struct(s["end"].alias("at"), F.concat(state["out"], gap, cover(s)).alias("out"))).otherwise(
-            F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out")))
-
-    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
+    cover = lambda s, here: F.when(s["kind"] == "remove", F.lit("")).when(s["kind"] == "general", shape(here)).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    return covered(text, spans, cover)
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

@@ -652,3 +652,32 @@ def test_language_edges(edge, edge_rows, none):
     assert len(got) == len(edge_rows)
     assert {r["lang_pred"] for r in rows_of(langid.identify(edge.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")))} == {"und"}
     assert rows_of(langid.identify(none)) == []
+
+
+def test_scan_in_pieces(spark, monkeypatch):
+    """Running states over pieces of any size equal a plain loop, empty arrays included."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    rows = [([int(v) for v in rng.integers(1, 9, k)],) for k in (0, 1, 2, 3, 4, 7, 50)]
+    frame = spark.createDataFrame(rows, "a array<int>")
+    for size in (1, 3, 128):
+        monkeypatch.setattr(disclosure, "SCAN", size)
+        got = frame.select("a", disclosure.scanned(F.col("a"), lambda at, x: at + x, lambda at, x: at * 10 + x).alias("out")).collect()
+        for r in got:
+            at, want = 0, []
+            for x in r["a"]:
+                want.append(at * 10 + x)
+                at += x
+            assert r["out"] == want
+
+
+def test_personal_data_of_a_long_table_of_figures(spark):
+    """160,000 numbers, then 20,000 addresses on as many lines: time in proportion to the text."""
+    import time
+
+    texts = [" ".join(f"{i:06}x" for i in range(160_000)), "\n".join(f"mail user{i}@host.org now" for i in range(20_000)), "4111111111111111 " * 3000]
+    start = time.time()
+    got = {r["doc_id"]: r for r in rows_of(disclosure.personal_data(docs_of(spark, texts)))}
+    assert (got[1]["n_card"], got[2]["n_email"], got[3]["n_card"]) == (0, 20_000, 0)
+    assert time.time() - start < 240
