@@ -52,20 +52,22 @@ def granger_sql(max_lag):
         raw = ["y.l0 AS y", *[f"y.l{k} AS a{k}" for k in range(1, p + 1)], *[f"x.l{k} AS b{k}" for k in range(1, p + 1)]]
         parts.append(f"j{p} AS (SELECT src, dst, {', '.join(raw)} FROM pr JOIN lg y ON y.token_id = dst JOIN lg x ON x.token_id = src AND x.step = y.step WHERE y.step >= {p})")
         left = ["y", *own, *other]
-        parts.append(f"s{p}_0 AS (SELECT src, dst, {', '.join(f'{c} - avg({c}) OVER w AS {c}' for c in left)} FROM j{p} WINDOW w AS (PARTITION BY src, dst))")
+        parts.append(f"s{p}_0 AS (SELECT src, dst, {', '.join(f'{c} - avg({c}) OVER w AS {c}' for c in left)}, var_pop(y) OVER w * count(*) OVER w AS t FROM j{p} WINDOW w AS (PARTITION BY src, dst))")
         kept = ""
         for k, q in enumerate([*own, *other]):
             left = [c for c in left if c != q]
             cut = ", ".join(f"{c} - {q} * coalesce(sum({c} * {q}) OVER w / nullif(CASE WHEN sum({q} * {q}) OVER w > 1e-16 THEN sum({q} * {q}) OVER w ELSE 0 END, 0), 0) AS {c}" for c in left)
             # what the own lags leave of y stays as a column
             keep = f", {cut.split(', a')[0].split(', b')[0].rsplit(' AS ', 1)[0]} AS r" if k == p - 1 else kept
-            parts.append(f"s{p}_{k + 1} AS (SELECT src, dst, {cut}{keep} FROM s{p}_{k} WINDOW w AS (PARTITION BY src, dst))")
+            parts.append(f"s{p}_{k + 1} AS (SELECT src, dst, t, {cut}{keep} FROM s{p}_{k} WINDOW w AS (PARTITION BY src, dst))")
             if k >= p - 1:
                 kept = ", r"
-        parts.append(f"f{p} AS (SELECT src, dst, {p} AS lag, count(*) - 2 * {p} - 1 AS free, sum(r * r) AS restricted, sum(y * y) AS whole FROM s{p}_{2 * p} GROUP BY src, dst)")
+        parts.append(f"f{p} AS (SELECT src, dst, {p} AS lag, count(*) - 2 * {p} - 1 AS free, sum(r * r) AS restricted, sum(y * y) AS whole, max(t) AS total FROM s{p}_{2 * p} GROUP BY src, dst)")
     union = " UNION ALL ".join(f"SELECT * FROM f{p}" for p in range(1, max_lag + 1))
-    parts.append(f"gf AS (SELECT src, dst, lag, free, CASE WHEN whole > 1e-15 THEN (restricted - whole) / lag / (whole / free) END AS f_stat FROM ({union}))")
-    parts.append(f"gp AS (SELECT *, {f_tail_sql('f_stat', 'lag', 'free')} AS p_value FROM gf WHERE f_stat IS NOT NULL)")
+    parts.append(f"gf AS (SELECT src, dst, lag, free, CASE WHEN whole > greatest(1e-15, 1e-10 * total) THEN (restricted - whole) / lag / (whole / free) END AS f0 FROM ({union}))")
+    # a series that its lags explain fully has no F: p is 1
+    parts.append("gz AS (SELECT src, dst, lag, free, CASE WHEN f0 < 1e-9 THEN 0 ELSE f0 END AS f_stat FROM gf)")
+    parts.append(f"gp AS (SELECT *, CASE WHEN f_stat IS NULL THEN 1 ELSE {f_tail_sql('f_stat', 'lag', 'free')} END AS p_value FROM gz)")
     parts.append("""gm AS (SELECT src, dst, CAST(coalesce(arg_min(lag, ROW(p_value, lag)) FILTER (p_value < 1), 1) AS INTEGER) AS lag, coalesce(arg_min(f_stat, ROW(p_value, lag)) FILTER (p_value < 1), 0) AS f_stat,
       least(min(p_value), 1) AS p_value FROM gp GROUP BY src, dst)""")
     return ", ".join(parts)

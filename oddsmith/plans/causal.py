@@ -43,9 +43,11 @@ def granger_best(grams: list[np.ndarray], n: int, max_lag: int) -> tuple[int, fl
         gram = square(grams[p - 1])
         own, both = range(2, 2 + p), range(2, 2 + 2 * p)
         restricted, full = unexplained(gram, 1, own), unexplained(gram, 1, both)
-        if full <= 1e-15:
+        # explained but for rounding: no F
+        if full <= max(1e-15, 1e-10 * unexplained(gram, 1, [])):
             continue
         f = ((restricted - full) / p) / (full / free)
+        f = f if f > 1e-9 else 0.0
         prob = float(f_tail(f, p, free))
         if prob < best[2]:
             best = (p, f, prob)
