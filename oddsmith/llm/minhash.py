@@ -9,17 +9,20 @@
    smallest id names it at the end).  A block
    hands on the bands of one document of each class, a bucket keeps one of each.
 3. Buckets of a band with two or more representatives are brought together; buckets with the
-   same members count once.  A bucket past ``BUCKET`` members is split into pairs of
-   member blocks, so no pair is lost and no task gets more than two blocks.
-4. First pass: in each bucket every document proposes its nearest earlier one by the odd
-   sketches, if the estimate reaches 0.5 (a pair of similarity 0.75 is 5.7 standard
+   same members count once.  A bucket past ``BUCKET`` members leaves its task member by
+   member, in blocks that all start with the same few pivots, so what it makes is in
+   proportion to its members and a task holds one block.
+4. First pass: in each bucket or block every document proposes its nearest earlier one by the
+   odd sketches, if the estimate reaches 0.5 (a pair of similarity 0.75 is 5.7 standard
    deviations above).  Each document keeps its best proposal; it is confirmed on the full
-   sets.  Confirmed links join components.
+   sets.  Confirmed links join components, over all blocks by way of the pivots.
 5. Second pass: only pairs of a bucket that still lie in different components and pass the
-   sketch are left.  Their documents are brought together bucket by bucket and confirmed
-   exactly, on bitmaps of the shingles they share.  So every pair that bands and sketches
-   let through is either confirmed, refuted or already connected, and a group of copies
-   is never expanded into all its pairs.
+   sketch are left.  A bucket of one component is done.  Elsewhere the members outside the
+   largest component meet all members in cells of bounded rows and shingles (row and column
+   blocks by hash, made by ``explode`` and shuffled as groups of their own), so all pairs
+   across components are looked at.  What passes is confirmed exactly, on bitmaps of the
+   shingles shared.  So every pair that bands and sketches let through is either confirmed,
+   refuted or already connected, and a group of copies is never expanded into all its pairs.
 
 Defined cases: a null or empty text, or one of white space, has no shingles and is linked
 with nothing; rows that repeat an id are judged each by its own text, and texts with one
@@ -46,7 +49,10 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 LEAST_ESTIMATE = 0.5
 NUMERATOR, DENOMINATOR = 75, 100
-BUCKET = 4096
+#: members of a block or of a side of a cell, and shingles of such a side
+BUCKET, CELL_SHINGLES = 512, 4_000_000
+#: kinds of rows of ``buckets``
+SMALL, BLOCK, WHOLE = 0, 1, 2
 
 _RNG = np.random.default_rng(1301)
 _FACTORS = (_RNG.integers(0, 1 << 31, SAMPLES, dtype=np.uint64) * U(2) + U(1)).astype(np.uint32)
@@ -133,60 +139,84 @@ def by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def buckets(sigs: DataFrame) -> DataFrame:
-    """(bucket, doc_id) of the buckets with several representatives, equal buckets once."""
+    """(bucket, kind, doc_id) of the buckets with several representatives, equal buckets once.
 
-    def emit(keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], names=["bucket", "doc_id"])
+    ``SMALL`` rows are a bucket of at most ``BUCKET`` members, ``BLOCK`` rows a block of a
+    larger one with its pivots in front, ``WHOLE`` rows its members.  Large buckets that
+    begin with the same block share a name, so that their members are taken together.
+    """
+    most, lead = BUCKET, max(1, BUCKET // 16)
+
+    def named(ids: np.ndarray, kind: int) -> np.int64:
+        return mixed(mixed(ids.astype(np.uint64)).sum(dtype=np.uint64, keepdims=True) + U(len(ids) + (kind << 32))).view(np.int64)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, held = [], [], 0
-        rest_key, rest_ids = None, []
+        out: list[tuple[np.ndarray, ...]] = []
+        held = 0
+        key = last = pivots = whole = None
+        waiting: list[np.ndarray] = []
 
-        def close(rows: np.ndarray) -> None:
+        def put(name: np.int64, kind: int, ids: np.ndarray) -> None:
             nonlocal held
-            # equal sets share all their buckets: the smallest id of each stays
-            order = np.lexsort(rows)
-            doc, digest = rows[:, order]
-            members = np.unique(doc[np.concatenate([[True], digest[1:] != digest[:-1]])])
-            if len(members) < 2:
-                return
-            size = len(members)
-            blocks_ = [members] if size <= BUCKET else np.array_split(members, -(-size // (BUCKET // 2)))
-            parts = [blocks_[0]] if len(blocks_) == 1 else [np.concatenate([blocks_[i], blocks_[j]]) for i in range(len(blocks_)) for j in range(i + 1, len(blocks_))]
-            for part in parts:
-                name = mixed(mixed(part.astype(np.uint64)).sum(dtype=np.uint64, keepdims=True) + U(len(part))).view(np.int64)
-                keys.append(np.repeat(name, len(part)))
-                ids.append(part)
-                held += len(part)
+            out.append((np.full(len(ids), name, np.int64), np.full(len(ids), kind, np.int32), ids))
+            held += len(ids)
+
+        def cut(end: bool) -> None:
+            """Blocks that are full leave; at the end of the bucket its rest as well."""
+            nonlocal waiting, pivots, whole
+            ids = np.concatenate(waiting)
+            if pivots is None and len(ids) <= most:
+                if end and len(ids) > 1:
+                    put(named(ids, SMALL), SMALL, ids)
+            else:
+                if pivots is None:
+                    pivots, whole = ids[:lead], named(ids[:most], WHOLE)
+                    put(named(ids[:most], BLOCK), BLOCK, ids[:most])
+                    put(whole, WHOLE, ids[:most])
+                    ids = ids[most:]
+                while len(ids) >= most - lead or (end and len(ids)):
+                    part, ids = ids[: most - lead], ids[most - lead :]
+                    block = np.concatenate([pivots, part])
+                    put(named(block, BLOCK), BLOCK, block)
+                    put(whole, WHOLE, part)
+            waiting = [] if end else [ids]
+            if end:
+                pivots = whole = None
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k, d = batch.column("key").to_numpy(), np.stack([batch.column("doc_id").to_numpy(), batch.column("d1").to_numpy()])
-            cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
-            if rest_key is not None and k[0] != rest_key:
-                close(np.concatenate(rest_ids, axis=1))
-                rest_ids = []
-            if not len(cuts):
-                rest_key = k[0]
-                rest_ids.append(d)
+            k, d = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
+            fresh = np.ones(len(k), bool)
+            fresh[0] = key is None or k[0] != key or d[0] != last
+            fresh[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+            last, k, d = d[-1], k[fresh], d[fresh]
+            if not len(k):
                 continue
-            close(np.concatenate([*rest_ids, d[:, : cuts[0]]], axis=1))
-            # most keys have one row: only runs of two or more are looked at
-            lengths = np.diff(cuts)
-            for i in np.flatnonzero(lengths > 1):
-                close(d[:, cuts[i] : cuts[i + 1]])
-            rest_key, rest_ids = k[-1], [d[:, cuts[-1] :]]
-            if held > 100_000:
-                yield emit(keys, ids)
-                keys, ids, held = [], [], 0
-        if rest_ids:
-            close(np.concatenate(rest_ids, axis=1))
+            if key is not None and k[0] != key:
+                cut(True)
+            key = k[-1]
+            cuts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
+            waiting.append(d[: cuts[1]])
+            if len(cuts) > 2:
+                cut(True)
+                # most keys have one row: only runs of two or more are looked at
+                for i in np.flatnonzero(np.diff(cuts[1:-1]) > 1) + 1:
+                    waiting = [d[cuts[i] : cuts[i + 1]]]
+                    cut(True)
+                waiting = [d[cuts[-2] :]]
+            cut(False)
+            if held > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["bucket", "kind", "doc_id"])
+                out.clear()
+                held = 0
+        if waiting:
+            cut(True)
         if held:
-            yield emit(keys, ids)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["bucket", "kind", "doc_id"])
 
-    rows = sigs.select(F.explode("bands").alias("key"), "doc_id", "d1")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "bucket long, doc_id long").distinct()
+    rows = sigs.select(F.explode("bands").alias("key"), "doc_id")
+    return rows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "bucket long, kind int, doc_id long").distinct()
 
 
 def _near(z: np.ndarray, n: np.ndarray, i: int, j: int) -> np.ndarray:
@@ -267,6 +297,27 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "src long, dst long")
 
 
+def cells(members: DataFrame) -> DataFrame:
+    """The members (bucket, doc_id, n, sketch, component) of buckets with several components, dealt to cells that take the bucket's place.
+
+    Members outside the bucket's largest component are rows, all members are columns; each
+    pair of a row and a column meets in one cell.
+    """
+    most, shingles = BUCKET, CELL_SHINGLES
+    by = members.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    per = by.groupBy("bucket").agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", "component", "n")).alias("top")).where("top.m < m")
+    blocks_of = lambda m, n: F.greatest(F.ceil(m / most), F.ceil(n / shingles), F.lit(1)).cast("int")
+    per = per.select("bucket", F.col("top.component").alias("top"), blocks_of(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("rows"), blocks_of(F.col("m"), F.col("n")).alias("columns"))
+    place = lambda count: F.pmod(F.xxhash64("doc_id"), F.col(count)).cast("int")
+    # the buckets have no bound: never broadcast
+    dealt = members.join(per.hint("merge"), "bucket").withColumn("row", place("rows")).withColumn("column", place("columns"))
+    cell = lambda row, column: F.struct(row.alias("row"), column.alias("column"))
+    down = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: cell(i, F.col("column")))
+    across = F.transform(F.filter(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: (j != F.col("column")) & (F.col("component") != F.col("top"))), lambda j: cell(F.col("row"), j))
+    dealt = dealt.withColumn("cell", F.explode(F.concat(down, across)))
+    return dealt.select(F.xxhash64("bucket", "cell.row", "cell.column").alias("bucket"), "doc_id", "n", "sketch", "component")
+
+
 def open_members(members: DataFrame) -> DataFrame:
     """(bucket, doc_id, n, sketch, component) of the documents that have a pair across components to be confirmed."""
 
@@ -337,9 +388,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sigs = stored(signatures(docs).withColumn("node", F.xxhash64("n", "d1", "d2")), "minhash-signatures")
     classes = sigs.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("least"))
     classes = stored(classes.select("node", F.col("least.doc_id").alias("rep"), F.col("least.text_key").alias("text_key")), "minhash-classes")
-    found = buckets(sigs.select(F.col("node").alias("doc_id"), "d1", "bands"))
+    found = buckets(sigs.select(F.col("node").alias("doc_id"), "bands"))
     members = stored(found.join(sigs.select(F.col("node").alias("doc_id"), "n", "sketch").dropDuplicates(["doc_id"]), "doc_id"), "minhash-members")
-    near = stored(proposals(members), "minhash-proposals")
+    near = stored(proposals(members.where(F.col("kind") != WHOLE)), "minhash-proposals")
     pairs = near.where("a is not null")
     # the ids near another have no bound: never broadcast, the same join at every size
     wanted = classes.join(near.select(F.col("b").alias("node")).hint("merge"), "node", "left_semi")
@@ -350,8 +401,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = classes.join(several.hint("merge"), "rep").where("node <> src").select("src", F.col("node").alias("dst"))
     first = stored(confirmed(pairs, texts).unionByName(same).distinct(), "minhash-links")
     label = stored(connected_components(first), "minhash-labels")
-    labelled = members.join(label, members["doc_id"] == label["node"], "left").select(members["bucket"], members["doc_id"], members["n"], members["sketch"], F.coalesce("component", "doc_id").alias("component"))
-    waiting = stored(open_members(labelled), "minhash-open")
+    labelled = members.where(F.col("kind") != BLOCK).join(label, members["doc_id"] == label["node"], "left")
+    labelled = stored(labelled.select("bucket", "doc_id", "n", "sketch", F.coalesce("component", "doc_id").alias("component")), "minhash-labelled")
+    waiting = stored(open_members(cells(labelled)), "minhash-open")
     second = stored(links_across(waiting.join(texts, "doc_id")).distinct(), "minhash-across")
     merged = connected_components(second)
     merged = stored(merged, "minhash-merged")

@@ -108,6 +108,46 @@ def test_near_duplicates_brute_force(spark, monkeypatch, bucket):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.values())
 
 
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    """Buckets far past a block: one group of copies drifting apart, and texts that share half their words without being copies."""
+    monkeypatch.setattr(minhash, "BUCKET", 8)
+    monkeypatch.setattr(minhash, "CELL_SHINGLES", 500)
+    rng = np.random.default_rng(31)
+    own = lambda k: [f"own{x}" for x in rng.integers(0, 10**9, k)]
+    common = [f"{w}{rng.integers(0, 50)}" for w in prose(rng, 90).split()]
+    drift, texts = common + own(30), []
+    for _ in range(60):
+        drift = list(drift)
+        drift[int(rng.integers(0, len(drift)))] = own(1)[0]
+        texts.append(" ".join(drift))
+    texts += [" ".join(common + own(int(rng.integers(20, 60)))) for _ in range(80)]
+    texts += [x + " and one more" for x in texts[-20:]]
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    docs = docs_of(spark, texts)
+    sigs = minhash.signatures(docs).select("doc_id", "bands")
+    kinds = {r["kind"]: r["count"] for r in minhash.buckets(sigs).groupBy("kind").count().collect()}
+    assert kinds[minhash.SMALL] and kinds[minhash.BLOCK] > kinds[minhash.WHOLE] > 0
+    sizes, components = brute_components(list(range(1, len(texts) + 1)), texts)
+    got = {r["doc_id"]: r for r in rows_of(minhash.near_duplicates(docs))}
+    assert [got[i + 1]["component_id"] for i in range(len(texts))] == components
+    assert [got[i + 1]["n_shingles"] for i in range(len(texts))] == sizes
+
+
+def test_cells_hold_every_pair_across_components(spark, monkeypatch):
+    """Each two members of different components meet, and no cell has more than its bound of rows or so."""
+    monkeypatch.setattr(minhash, "BUCKET", 16)
+    component = [0] * 150 + [1] * 40 + list(range(2, 32))
+    rows = [(7, i, 5, b"", c) for i, c in enumerate(component)] + [(8, i, 5, b"", 3) for i in range(9)]
+    frame = spark.createDataFrame(rows, "bucket long, doc_id long, n long, sketch binary, component long")
+    met, inside = set(), {}
+    for r in minhash.cells(frame).collect():
+        inside.setdefault(r["bucket"], []).append(r["doc_id"])
+    for ids in inside.values():
+        assert len(ids) == len(set(ids)) <= 64
+        met |= {(i, j) for i in ids for j in ids}
+    assert all((i, j) in met for i, c in enumerate(component) for j, e in enumerate(component) if c != e)
+
+
 def test_near_duplicates_edges(edge, edge_rows, none):
     got = rows_of(minhash.near_duplicates(edge))
     assert len(got) == len(edge_rows)
