@@ -10,8 +10,10 @@ substring of the window.
 
 Texts are compared as UTF-8 bytes with A-Z and U+00C0-U+00DE in lower case and each run of
 ASCII white space as one blank.  The items are a stated query set: they are taken in
-blocks of at most ``ITEMS`` items and ``ITEM_BYTES`` bytes, each block is broadcast and
-scanned against all documents, so what is broadcast has a fixed bound.
+blocks of at most ``ITEMS`` items and ``ITEM_BYTES`` bytes (one larger item is a block of its
+own), each block is broadcast and scanned against all documents.  Blocks follow each other:
+the hits of one are stored and its broadcast is destroyed before the next goes out, so what
+is broadcast has a fixed bound whatever the number of items.
 
 Defined cases: null or empty texts and items match nothing; items under 16 bytes must
 occur unchanged (no edits); rows that repeat an id give rows each; repeated items keep
@@ -22,12 +24,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oddsmith.llm.store import stored
 from oddsmith.llm.text import LOWER, SPACE, Block, U, blocks
 
 EDIT_SHARE = 0.08
@@ -187,7 +192,7 @@ class Items:
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """The items in blocks of bounded size; the driver holds one block at a time."""
+    """The items in blocks of bounded size; the driver holds two blocks at most."""
     held, size = [], 0
     for row in benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null and text <> ''").toLocalIterator():
         text = row["text"].encode()
@@ -200,43 +205,70 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
         yield held
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
-    """(doc_id, item_id, distance) of every document row and item within its edits."""
-    spark = docs.sparkSession
-    schema = "doc_id long, item_id long, distance int"
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+def _found(texts: DataFrame, source: Iterator[list[tuple[int, bytes]]], share: float) -> DataFrame | None:
+    """(key, item_id, distance) of the rows (key, text) and the items of all blocks.
 
-    def scan(items: list[tuple[int, bytes]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(items)
+    One block is a map-only pass.  With several, each pass is stored and its items leave
+    the executors before the next block goes out, so one block is held at a time.
+    """
+    spark = texts.sparkSession
+    kind = texts.schema["key"].dataType.simpleString()
 
+    def scan(sent: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tables = Items(sent.value, share)
             for block in blocks(batches):
                 found = list(tables.matches(block))
                 if found:
                     doc, item, distance = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([block.column("doc_id").take(pa.array(doc)), pa.array(item, pa.int64()), pa.array(distance, pa.int32())], names=["doc_id", "item_id", "distance"])
-
-        return texts.mapInArrow(run, schema)
+                    yield pa.RecordBatch.from_arrays([block.column("key").take(pa.array(doc)), pa.array(item, pa.int64()), pa.array(distance, pa.int32())], names=["key", "item_id", "distance"])
 
-    parts = [scan(items) for items in item_blocks(benchmark)]
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
-
-
-def clean_documents(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
-    """The rows of ``docs`` without any item, with all their columns: one map-only pass a block of items."""
-    spark = docs.sparkSession
+        return texts.mapInArrow(run, f"key {kind}, item_id long, distance int")
 
-    def without(df: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
+    parts: list[DataFrame] = []
+    items = next(source, None)
+    while items is not None:
+        following = next(source, None)
         sent = spark.sparkContext.broadcast(items)
+        part = scan(sent)
+        if parts or following is not None:
+            part = stored(part, "decontamination")
+            sent.destroy()
+        parts.append(part)
+        items = following
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables = Items(sent.value, share)
-            for block in blocks(batches):
-                keep = np.ones(block.n, bool)
-                keep[[d for d, _, _ in tables.matches(block)]] = False
-                yield block.rows.filter(pa.array(keep))
 
-        return df.mapInArrow(run, df.schema)
+def contaminations(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
+    """(doc_id, item_id, distance) of every document row and item within its edits."""
+    found = _found(docs.select(F.col("doc_id").cast("long").alias("key"), "text"), item_blocks(benchmark), share)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int")
+    return found.withColumnRenamed("key", "doc_id")
+
 
-    return reduce(without, item_blocks(benchmark), docs)
+def clean_documents(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
+    """The rows of ``docs`` without any item, with all their columns.
+
+    One block of items filters in a map-only pass; the hits of several are joined back by
+    the text's digest, as a row is judged by its text alone.
+    """
+    source = item_blocks(benchmark)
+    first = [*islice(source, 2)]
+    if not first:
+        return docs
+    if len(first) > 1:
+        found = _found(docs.select(F.sha2("text", 256).alias("key"), "text"), chain(first, source), share)
+        # the texts hit have no bound: never broadcast
+        hit = found.select("key").distinct().hint("merge")
+        return docs.join(hit, F.sha2(docs["text"], 256) == hit["key"], "left_anti")
+    sent = docs.sparkSession.sparkContext.broadcast(first[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = Items(sent.value, share)
+        for block in blocks(batches):
+            keep = np.ones(block.n, bool)
+            keep[[d for d, _, _ in tables.matches(block)]] = False
+            yield block.rows.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

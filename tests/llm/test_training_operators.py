@@ -469,9 +469,13 @@ def test_decontamination_blocks_and_edges(spark, monkeypatch, edge, none):
     assert (0, 3) in one
     monkeypatch.setattr(decontaminate, "ITEMS", 1)
     assert sorted((r["doc_id"] or 0, r["item_id"]) for r in rows_of(decontaminate.contaminations(edge, bench))) == one
+    several = decontaminate.clean_documents(edge, bench)
+    monkeypatch.undo()
     assert rows_of(decontaminate.contaminations(none, bench)) == [] == rows_of(decontaminate.contaminations(edge, bench.where("false")))
     clean = decontaminate.clean_documents(edge, bench)
-    assert clean.columns == edge.columns and clean.count() == edge.count() - len({d for d, _ in one})
+    assert clean.columns == several.columns == edge.columns and clean.count() == edge.count() - len({d for d, _ in one})
+    assert sorted(map(repr, clean.collect())) == sorted(map(repr, several.collect()))
+    assert decontaminate.clean_documents(edge, bench.where("false")).count() == edge.count()
 
 
 def test_normalised_text():
