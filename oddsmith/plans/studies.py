@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsmith.operators.gram import correlation, covariance, logistic_fits, logistic_hits, moments
+from oddsmith.operators.neighbours import nearest_neighbours
 from oddsmith.operators.ordered import DAY, time_chunk, with_row_number, with_running
 from oddsmith.operators.versions import limit_by
 from oddsmith.session import cut_lineage
@@ -201,40 +201,14 @@ def label_silhouette(df: DataFrame, vector: str, label: str) -> float:
     return ClusteringEvaluator(featuresCol="features", predictionCol="prediction", distanceMeasure="cosine").evaluate(rows)
 
 
-#: most labelled rows that neighbours are taken from; they are sent to every task
-FIT_ROWS = 100_000
+def neighbour_label_accuracy(df: DataFrame, key: str, vector: str, label: str, k: int = 5) -> DataFrame:
+    """Share of labelled rows whose k nearest labelled rows (by cosine, itself left out) mostly share their label.
 
-
-def neighbour_label_accuracy(df: DataFrame, key: str, vector: str, label: str, k: int = 5, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Share of rows whose k nearest labelled rows (by cosine, itself left out) mostly share their label.
-
-    Neighbours come from the labelled rows with the smallest hashes of their key, at most
-    ``fit_rows`` of them, which bounds what is broadcast; every row is compared with all
-    of them, exactly.  Ties go to the smaller key.
+    Neighbours come from all labelled rows, exactly; ties go to the smaller key.  A row without any other
+    has a share of 0.
     """
-    rows = df.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.col(label).cast("long").alias("label"))
-    fit = rows.where("label is not null").orderBy(F.xxhash64("id"), "id").limit(fit_rows).toArrow().sort_by("id")
-    sent = df.sparkSession.sparkContext.broadcast((fit.column("id").to_numpy(), fit.column("label").to_numpy(), np.vstack([_unit(np.asarray(v)) for v in fit.column("v").to_pylist()]) if len(fit) else np.empty((0, 0))))
-
-    def run(batches):
-        ids, labels, units = sent.value
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            own, lab = batch.column("id").to_numpy(), batch.column("label").to_numpy(zero_copy_only=False)
-            share = np.zeros(batch.num_rows)
-            for at in range(0, batch.num_rows, 256):
-                v = np.vstack([_unit(np.asarray(x)) for x in batch.column("v").slice(at, 256).to_pylist()])
-                near = np.round(v @ units.T, 12)
-                near[ids[None, :] == own[at : at + 256, None]] = -np.inf
-                best = np.argsort(-near, axis=1, kind="stable")[:, :k]
-                share[at : at + 256] = (labels[best] == lab[at : at + 256, None]).mean(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(share)], names=["id", "same"])
-
-    vote = rows.where("label is not null").mapInArrow(run, "id long, same double")
+    rows = df.where(F.col(label).isNotNull()).select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.col(label).cast("long").alias("label"))
+    near = F.col("neighbours")
+    same = F.size(F.filter(near, lambda e: e["label"] == F.col("label"))) / F.nullif(F.size(near), F.lit(0))
+    vote = nearest_neighbours(rows, k).select(F.coalesce(same, F.lit(0.0)).alias("same"))
     return vote.agg(F.count("*").alias("n"), F.avg("same").alias("same_label"), F.avg(F.when(F.col("same") > 0.5, 1.0).otherwise(0.0)).alias("accuracy"))
-
-
-def _unit(v: np.ndarray) -> np.ndarray:
-    size = float(np.linalg.norm(v))
-    return v / size if size else v

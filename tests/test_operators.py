@@ -6,11 +6,12 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from oddsmith.operators import asof, bars, graph, ordered, pairs, quantiles, ranges, versions
+from oddsmith.operators import asof, bars, graph, neighbours, ordered, pairs, quantiles, ranges, versions
 
 T0 = datetime(2024, 1, 1)
 
@@ -252,3 +253,63 @@ def test_earlier_medians_of_a_hot_key(spark):
         assert got[k, d][0] == len(past) and got[k, d][1] == (pytest.approx(statistics.median(past)) if len(past) >= 2 else None)
     none = earlier_medians(frame.where("k > 100"), ["k"], "d", "v").collect()
     assert none == []
+
+
+def nearest_by_hand(rows, k):
+    found = {}
+    units = {i: v / (np.linalg.norm(v) or 1.0) for i, v, _ in rows}
+    for i, _, label in rows:
+        others = sorted((-round(float(units[i] @ units[j]), 12) + 0.0, j, other) for j, _, other in rows if j != i)
+        found[i] = (label, [(j, other) for _, j, other in others[:k]])
+    return found
+
+
+def vectors_in_groups(groups, d, n, seed=3):
+    """Vectors round some centres, a third of all rows equal, some ties by scale, zeros."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, d))
+    rows = []
+    for i in range(n):
+        v = centres[0] if i % 3 == 0 else centres[rng.integers(groups)] + rng.normal(size=d) * 0.05
+        if i % 50 == 1:
+            v = 2 * np.array(rows[rng.integers(len(rows))][1])
+        if i % 97 == 2:
+            v = np.zeros(d)
+        rows.append((int(rng.integers(10)) * n + i, v, int(i % 4)))
+    return rows
+
+
+@pytest.mark.parametrize("k, block, pivots, visitors", [(5, 2048, 1024, 1 << 18), (5, 8, 12, 20), (1, 16, 1024, 7), (3, 8, 1, 1 << 18)])
+def test_nearest_neighbours(spark, k, block, pivots, visitors):
+    rows = vectors_in_groups(9, 6, 300)
+    df = spark.createDataFrame([(i, v.tolist(), label) for i, v, label in rows], "id long, v array<double>, label long").repartition(3)
+    found = {r["id"]: (r["label"], [(e["id"], e["label"]) for e in r["neighbours"]]) for r in neighbours.nearest_neighbours(df, k, block, pivots, visitors).collect()}
+    assert found == nearest_by_hand(rows, k)
+
+
+def test_nearest_neighbours_defined_cases(spark):
+    schema = "id long, v array<double>, label string"
+    run = lambda rows: {r["id"]: [(e["score"], e["id"], e["label"]) for e in r["neighbours"]] for r in neighbours.nearest_neighbours(spark.createDataFrame(rows, schema), 2).collect()}
+    assert run([]) == {}
+    assert run([(1, None, "a"), (2, [1.0, None], "a"), (3, [float("nan"), 1.0], "a")]) == {}
+    assert run([(4, [1.0, 0.0], None)]) == {4: []}
+    assert run([(4, [1.0, 0.0], None), (9, [0.0, 0.0], "z")]) == {4: [(0.0, 9, "z")], 9: [(0.0, 4, None)]}
+    assert run([(1, None, "a"), (7, [3.0, 0.0], "b"), (5, [1.0, 0.0], "c"), (6, [0.0, 1.0], "d")]) == {7: [(1.0, 5, "c"), (0.0, 6, "d")], 5: [(1.0, 7, "b"), (0.0, 6, "d")], 6: [(0.0, 5, "c"), (0.0, 7, "b")]}
+
+
+def test_cells_of_other_groups_are_not_visited():
+    """Groups far apart: every row visits its own cell, few others, and none that holds a nearer row is left out."""
+    rng = np.random.default_rng(8)
+    centres = neighbours.units(pa.array(rng.normal(size=(40, 16)).tolist()))
+    group = rng.integers(40, size=2000)
+    rows = neighbours.units(pa.array((centres[group] + rng.normal(size=(2000, 16)) * 0.01).tolist()))
+    d = neighbours.distances(rows, centres)
+    own = d.argmin(axis=1)
+    to_own = d[np.arange(2000), own]
+    inner, outer = (np.array([f(to_own[own == c]) for c in range(40)]) for f in (np.min, np.max))
+    products = np.round(rows @ rows.T, 12)
+    least = np.sort(products, axis=1)[:, -6]
+    visited = neighbours.cells_to_visit(rows, own, least, centres, inner, outer)
+    row, near = np.nonzero(products >= least[:, None])
+    assert visited[row, own[near]].all()
+    assert visited.sum() < 2000 * 2
