@@ -1,4 +1,4 @@
-"""Suffix arrays of a shard of text by induced sorting, whole buckets at a time.
+"""Suffix arrays of a shard of text by induced sorting, in whole arrays.
 
 The linear-time construction sorts leftmost-smaller (LMS) substrings by induction, names
 them, sorts the string of names, and induces all suffixes from that.  Induction scans
@@ -7,8 +7,11 @@ entries of one bucket are known when the scan reaches it, except those the bucke
 induces in itself; so a bucket is taken as one array operation, followed by one for each
 repetition of its symbol.  The work stays linear and runs in numpy.
 
-The string of names has many symbols, for which buckets would be tiny: it is sorted by
-recursion while it has few symbols, by doubling of ranks otherwise.
+The string of names is sorted by recursion, at every size.  It has many symbols, so buckets
+would be tiny; there all buckets are induced at once (``induced_ranks``).  A larger-type suffix
+is ordered by its symbol and the place of the suffix after it, and the places go back from the
+LMS suffixes along falling runs, twice as far in each round; then smaller-type suffixes
+likewise along rising runs.  A round takes only suffixes that are still tied.
 """
 
 from __future__ import annotations
@@ -17,8 +20,6 @@ import numpy as np
 
 from oddsmith.llm.text import U, mixed, powers
 
-FEW_SYMBOLS = 1024
-
 
 def smaller_type(text: np.ndarray) -> np.ndarray:
     """Which suffixes are smaller than the one that follows; the last counts as smaller."""
@@ -99,20 +100,66 @@ def induce(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, symbols: in
     return array
 
 
-def by_doubling(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names."""
-    rank, n, width = names.astype(np.int64), len(names), 1
-    while True:
-        key = rank * (n + 2)
-        key[:-width] += rank[width:] + 1
+def refine(rank: np.ndarray, following: np.ndarray, tied: np.ndarray, known: np.ndarray) -> None:
+    """Order the suffixes ``tied`` within their rank by the rank of the suffix that follows, in place.
+
+    ``rank`` is the number of suffixes known to be smaller, so equal ranks are a group.  ``following`` leads
+    along a run to its end, which is of the other type: its rank is final, or shared with equal ones (``known``).
+    """
+    n = len(rank)
+    tied = tied[np.bincount(rank[tied], minlength=n)[rank[tied]] > 1]
+    while len(tied):
+        ahead = following[tied]
+        key = rank[tied] * n + rank[ahead]
         order = np.argsort(key)
-        fresh = np.ones(n, bool)
-        fresh[1:] = key[order[1:]] != key[order[:-1]]
-        value = np.cumsum(fresh) - 1
-        rank[order] = value
-        if value[-1] == n - 1 or 2 * width >= n:
-            return order
-        width *= 2
+        key, moved = key[order], tied[order]
+        group, at = key // n, np.arange(len(key))
+        first, new_first = np.ones(len(key), bool), np.ones(len(key), bool)
+        first[1:] = group[1:] != group[:-1]
+        new_first[1:] = key[1:] != key[:-1]
+        rank[moved] = group + np.maximum.accumulate(np.where(new_first, at, 0)) - np.maximum.accumulate(np.where(first, at, 0))
+        alone = new_first.copy()
+        alone[:-1] &= new_first[1:]
+        still = np.zeros(n, bool)
+        still[moved[~alone]] = True
+        following[tied] = following[ahead]
+        tied = tied[still[tied] & ~known[ahead]]
+
+
+def induced_ranks(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sorted_lms: bool) -> np.ndarray:
+    """Rank of every suffix from the LMS suffixes in order; from unsorted ones equal LMS substrings share their rank."""
+    n, symbols = len(text), int(text.max()) + 1
+    larger, rest = np.flatnonzero(~smaller), np.flatnonzero(smaller)
+    size_larger, size_lms, size = (np.bincount(text[p], minlength=symbols) for p in (larger, lms, slice(None)))
+    # in a bucket, suffixes of the larger type come first
+    start = np.cumsum(size_larger + size_lms) - size_larger - size_lms
+    rank = np.zeros(n, np.int64)
+    rank[larger] = start[text[larger]]
+    rank[lms] = (start + size_larger)[text[lms]]
+    if sorted_lms:
+        rank[lms] += np.arange(len(lms)) - (np.cumsum(size_lms) - size_lms)[text[lms]]
+    following = np.arange(n)
+    following[larger] += 1
+    refine(rank, following, larger, smaller)
+    whole = np.cumsum(size) - size
+    rank[larger] += (whole - start)[text[larger]]
+    rank[rest] = (whole + size_larger)[text[rest]]
+    following = np.arange(n)
+    following[rest[:-1]] += 1  # the end mark follows itself
+    refine(rank, following, rest, ~smaller)
+    return rank
+
+
+def sorted_names(names: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of a string of names, whose last is 0 and occurs only there."""
+    smaller = smaller_type(names)
+    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    if len(lms) > 1:
+        distinct, shorter = np.unique(induced_ranks(names, smaller, lms, False)[lms], return_inverse=True)
+        lms = lms[np.argsort(shorter) if len(distinct) == len(lms) else sorted_names(shorter)]
+    order = np.empty(len(names), np.int64)
+    order[induced_ranks(names, smaller, lms, True)] = np.arange(len(names))
+    return order
 
 
 class Sums:
@@ -155,10 +202,8 @@ def suffix_array(text: np.ndarray, symbols: int, sums: Sums | None = None) -> np
     names[index[ordered]] = value
     if value[-1] == len(lms) - 1:
         order = index[ordered]
-    elif value[-1] + 1 <= FEW_SYMBOLS:
-        order = suffix_array(names.astype(np.int32), int(value[-1]) + 1)
     else:
-        order = by_doubling(names)
+        order = sorted_names(names)
     return induce(text, smaller, lms[order].astype(np.int32), symbols)
 
 

@@ -536,6 +536,25 @@ def test_suffix_arrays():
             assert common[x] == np.cumprod(text[x : x + m] == text[y : y + m]).sum()
 
 
+def test_suffix_arrays_of_names():
+    """Strings of names of few and many symbols, long runs, periods and repeated stretches, through all levels of the recursion."""
+    rng = np.random.default_rng(31)
+    strings = [rng.integers(1, int(rng.integers(2, 3000)), int(rng.integers(1, 400))) for _ in range(150)]
+    strings += [np.tile(s[: int(rng.integers(1, 9))], 40) for s in strings[:40]] + [np.ones(3000, np.int64), np.arange(1, 2000), np.arange(2000, 0, -1), np.tile([1, 2], 1500), np.empty(0, np.int64)]
+    for names in strings:
+        names = np.append(names, 0)
+        assert suffixes.sorted_names(names).tolist() == sorted(range(len(names)), key=lambda i: names[i:].tolist())
+
+
+def test_suffix_arrays_of_long_texts():
+    rng = np.random.default_rng(32)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000)]
+    prose = " ".join(rng.choice(words, 6000))
+    for data in (prose.encode(), (prose[:9000] + "=" + prose[:12000] + prose[3000:9000]).encode(), b"ab" * 5000):
+        text = np.append(np.frombuffer(data, np.uint8).astype(np.int32) + 1, 0).astype(np.int32)
+        assert suffixes.suffix_array(text, 257).tolist() == [len(data), *sorted(range(len(data)), key=lambda i: data[i:])]
+
+
 # 8 token files
 
 
