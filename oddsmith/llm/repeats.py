@@ -12,8 +12,9 @@ windows of a document, about 40 to a run, and equal windows lie in runs of equal
 3. The bytes of the other representatives, 99 more than their windows, go to shards by anchor.
    A shard is sorted by its suffix array (induced sorting); common prefixes of 100 bytes
    or more part the array into classes of equal windows; all but the first window of a
-   class are repeats.  An anchor with more than ``HOT`` representatives is dealt by the bytes
-   of each single window instead, which spreads it over all shards.
+   class are repeats.  An anchor with more than ``HOT`` representatives goes on as single
+   windows, dealt by their bytes: equal ones merge in their block, those of all blocks meet in order of
+   place, and all but the first, which stream by without being held, are repeats.
 4. The repeated windows of a document, as a list of runs, meet its text and cover its bytes.
 
 First and earlier mean the smaller (doc_id, position).  Everything is judged on the input.
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,7 +158,11 @@ def meet(rows: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def segments(waiting: DataFrame, docs: DataFrame) -> DataFrame:
-    """(shard, doc_id, start, n, bytes) of the representatives; hot ones window by window, equal windows of a batch merged."""
+    """(hot, shard, doc_id, start, n, bytes) of the representatives; hot ones window by window.
+
+    Of equal hot windows of a block only the first goes to their shard.  The others are done: they have no bytes
+    and travel on dealt by their own place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -176,12 +182,13 @@ def segments(waiting: DataFrame, docs: DataFrame) -> DataFrame:
             later = np.zeros(len(shard), bool)
             where = np.flatnonzero(hot)
             later[where] = ~first_of((shard[where],), doc[where], start[where])
+            shard = np.where(later, shard + doc + start, shard)
             raw = block.data.tobytes()
             pieces = [b"" if gone else raw[a : a + k + LENGTH - 1] for a, k, gone in zip(first.tolist(), n.tolist(), later.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(doc), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(pieces, pa.binary())], names=["shard", "doc_id", "start", "n", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(hot & ~later), pa.array(shard), pa.array(doc), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(pieces, pa.binary())], names=["hot", "shard", "doc_id", "start", "n", "bytes"])
 
     grouped = waiting.groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "n", "hot")).alias("parts"))
-    return docs.join(grouped, "doc_id").select("doc_id", "text", "parts").mapInArrow(run, "shard long, doc_id long, start int, n int, bytes binary")
+    return docs.join(grouped, "doc_id").select("doc_id", "text", "parts").mapInArrow(run, "hot boolean, shard long, doc_id long, start int, n int, bytes binary")
 
 
 def repeated_windows(pieces: list[bytes], doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,11 +215,12 @@ def repeated_windows(pieces: list[bytes], doc: np.ndarray, start: np.ndarray, n:
 
 
 def shard_repeats(parts: DataFrame) -> DataFrame:
-    """(doc_id, start, n) runs of repeated windows, from shards of about ``SHARD_BYTES``."""
+    """(doc_id, start, n) runs of repeated windows, from shards of about ``SHARD_BYTES``; hot windows come after them, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
+        before: tuple[int, bytes] | None = None
 
         def settled(table: pa.Table) -> Iterator[pa.RecordBatch]:
             table = table.combine_chunks()
@@ -235,6 +243,15 @@ def shard_repeats(parts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(k, pa.int32())], names=["doc_id", "start", "n"])
 
         for batch in batches:
+            cold = batch.num_rows - batch.column("hot").true_count
+            windows, batch = batch.slice(cold), batch.slice(0, cold)
+            if windows.num_rows:
+                key, text = windows.column("shard").to_numpy(), windows.column("bytes")
+                same = np.empty(len(key), bool)
+                same[0] = before == (key[0], text[0].as_py())
+                same[1:] = (key[1:] == key[:-1]) & pc.equal(text[1:], text[:-1]).to_numpy(zero_copy_only=False)
+                before = int(key[-1]), text[-1].as_py()
+                yield windows.select(["doc_id", "start", "n"]).filter(pa.array(same))
             if not batch.num_rows:
                 continue
             held.append(batch)
@@ -259,7 +276,8 @@ def shard_repeats(parts: DataFrame) -> DataFrame:
         if held:
             yield from settled(pa.Table.from_batches(held))
 
-    return parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "doc_id long, start int, n int")
+    order = ["hot", "shard", F.when(F.col("hot"), F.col("bytes")), "doc_id", "start"]
+    return parts.repartition("shard").sortWithinPartitions(*order).mapInArrow(run, "doc_id long, start int, n int")
 
 
 def covered(docs: DataFrame, removed: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 from oddsmith.llm import decontaminate, disclosure, langid, lm, minhash, mixing, paragraphs, quality, repeats, suffixes, tokens
 from oddsmith.llm.store import stored
@@ -513,6 +514,23 @@ def test_repeats_brute_force(spark, hot):
     assert [tuple(got[i + 1][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i in range(len(texts))] == brute_repeats(texts)
 
 
+def test_hot_windows_meet_across_blocks(spark, monkeypatch):
+    """A passage in many surroundings, over many blocks, tasks and Arrow batches: the first place keeps its windows."""
+    rng = np.random.default_rng(33)
+    passage = prose(rng, 25)
+    texts = [f"{prose(rng, int(rng.integers(0, 4)))} {i} {passage[: 120 + i % 7]}{i * 7919 % 1000} {prose(rng, 12)}" for i in range(150)]
+    texts[40] = texts[90] = passage * 3
+    docs = docs_of(spark, texts).orderBy(F.desc("doc_id")).repartition(7)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 1 << 12)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = {r["doc_id"]: r for r in rows_of(repeats.without_repeats(docs, 5))}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [tuple(got[i + 1][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i in range(len(texts))] == brute_repeats(texts)
+
+
 def test_repeats_edges(spark, edge, edge_rows, none):
     got = rows_of(repeats.without_repeats(edge))
     assert len(got) == len(edge_rows)
@@ -719,8 +737,6 @@ def test_language_edges(edge, edge_rows, none):
 
 def test_scan_in_pieces(spark, monkeypatch):
     """Running states over pieces of any size equal a plain loop, empty arrays included."""
-    from pyspark.sql import functions as F
-
     rng = np.random.default_rng(6)
     rows = [([int(v) for v in rng.integers(1, 9, k)],) for k in (0, 1, 2, 3, 4, 7, 50)]
     frame = spark.createDataFrame(rows, "a array<int>")
