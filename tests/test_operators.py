@@ -138,6 +138,30 @@ def test_hot_key_generates_no_pairs(spark):
     assert pairs.shared_key_pairs(df, "m", "k", 2).count() == 0
 
 
+def test_pairs_are_added_up_in_their_cells(spark, monkeypatch):
+    """Sums, columns of a member and numbers beside, over several blocks; no join or exchange holds rows of common keys."""
+    monkeypatch.setattr(pairs, "_blocks", lambda members: 3)
+    rng = random.Random(5)
+    rows = [(f"w{m:02d}", k, float(rng.randrange(9)) if rng.random() < 0.9 else None, m % 4) for m in range(30) for k in rng.sample(range(12), rng.randrange(1, 9))] + [(None, 1, 1.0, 0)]
+    near = [("w01", "w02", 2), ("w01", "w02", 3), ("w03", "w29", 4), (None, "w02", 9), ("w00", "other", 5)]
+    got = pairs.shared_key_pairs(
+        spark.createDataFrame(rows, "m string, k long, v double, t long"), "m", "k", 3, ["v"], ["drop"], lambda a, b: {"drop": np.fmax(a["v"] - b["v"], 0)}, ["t"],
+        spark.createDataFrame(near, "a string, b string, hits long"))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString().replace("FlatMapCoGroups", "")
+    have = defaultdict(dict)
+    for m, k, v, t in rows:
+        if m is not None:
+            have[m][k] = v
+    want = {}
+    for a in have:
+        for b in have:
+            common = have[a].keys() & have[b].keys()
+            if a < b and len(common) >= 3:
+                drop = sum(max(have[a][k] - have[b][k], 0.0) for k in common if have[a][k] is not None and have[b][k] is not None)
+                want[a, b] = (len(common), len(have[a]), len(have[b]), int(a[1:]) % 4, int(b[1:]) % 4, drop, float(sum(n for x, y, n in near if (x, y) == (a, b))))
+    assert want and {(r["a"], r["b"]): tuple(r[2:]) for r in got.collect()} == want
+
+
 def test_latest_version_and_limit_by(events):
     got = {r["k"]: r["id"] for r in versions.latest_version(events, ["k"], ["ts", "id"]).collect()}
     want = {}
