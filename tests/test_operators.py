@@ -222,6 +222,39 @@ def test_shortest_paths_and_triangles(spark, edges):
     assert got == {n: c for n, c in tri.items() if c}
 
 
+def test_forward_asof_reads_a_slice_once(spark, events):
+    """A frame that ends at the last row of its slice is read again for every row."""
+    got = asof.asof_join(events, events, ["k"], "ts", {"hit": "v"}, "forward", tie=["id"])
+    assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_crowded_cells_are_dealt_over_tasks(spark):
+    """All points in one cell: centres of the cell go to several partitions, and the edges of one zone too."""
+    c = spark.range(64).select(F.col("id").alias("centre_id"), F.lit(1.0).alias("lat"), F.lit(1.0).alias("lng"))
+    p = spark.range(50).select(F.col("id").alias("point_id"), F.lit(1.0).alias("p_lat"), F.lit(1.0).alias("p_lng"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = graph.radius_join(c, p, 5.0).withColumn("at", F.spark_partition_id())
+        assert got.count() == 64 * 50 and got.select("at").distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+@pytest.mark.parametrize("edges_a_cell", [5, 1 << 21])
+def test_triangles_in_cells_without_joins(spark, monkeypatch, edges_a_cell):
+    monkeypatch.setattr(graph, "CELL_EDGES", edges_a_cell)
+    rng = random.Random(8)
+    links = {tuple(rng.sample(range(25), 2)) for _ in range(110)} | {(3, 3), (None, 4)}
+    adj = defaultdict(set)
+    for a, b in links:
+        if a is not None and a != b:
+            adj[a].add(b), adj[b].add(a)
+    want = {n: sum(1 for x in adj[n] for y in adj[n] if x < y and y in adj[x]) for n in adj}
+    got = graph.triangles_per_node(spark.createDataFrame([*links], "src long, dst long"))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["node"]: r["triangles"] for r in got.collect()} == {n: c for n, c in want.items() if c}
+
+
 def test_radius_join_near_the_date_line_and_pole(spark):
     c = spark.createDataFrame([(1, 0.0, 179.99), (2, 89.99, 10.0), (3, -8.7230, 115.1750)], "centre_id long, lat double, lng double")
     p = spark.createDataFrame([(1, 0.0, -179.99), (2, 89.99, -170.0), (3, -8.5069, 115.2624), (4, 40.0, 40.0)], "point_id long, p_lat double, p_lng double")
