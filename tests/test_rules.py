@@ -356,3 +356,15 @@ def test_plans_push_down_and_prune(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("l_partkey = 3").select("l_partkey", "l_quantity")
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_partkey), EqualTo(l_partkey,3)]" in plan and "l_shipdate" not in plan
+
+
+def test_links_are_distinct_without_a_shuffle_of_links(spark):
+    """Copies of an article, of a market, and several common entities give one link; the join is the last exchange."""
+    from oddsmith.plans import news
+
+    articles = spark.createDataFrame([(1, ["a", "b"]), (1, ["b", "c"]), (2, ["d"]), (3, []), (None, ["a"])], "article_id long, entities array<string>")
+    markets = spark.createDataFrame([("a", 10), ("b", 10), ("b", 10), ("c", 11), (None, 12), ("a", 13), ("d", 13)], "entity string, condition_id long")
+    got = news.link_markets(articles, markets)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 10), (1, 11), (1, 13), (2, 13), (None, 10), (None, 13)], key=str)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan[:plan.index("Join")]
