@@ -291,3 +291,20 @@ def test_arbitrage_carries_only_the_open_set(spark, tmp_path):
 
     sizes = [spark.read.parquet(p).select("scan_no").distinct().count() for p in glob.glob(f"{root}/carried/batch=*")]
     assert max(sizes) <= 2
+
+
+def test_pre_news_of_a_hot_market_runs_over_several_tasks(spark, tmp_path):
+    """One market, events at slice borders and rows without a time: all trades of the day before, found by more than one task."""
+    minutes = [(37 * i) % 4320 for i in range(300)] + [0, 180, 1440, 1440, 1620, 2880, 3060]
+    rows = [trade(i, m) for i, m in enumerate(sorted(minutes))] + [(1, "Yes", None, 900, 2, 0.5, 10.0, "buy")]
+    for n in range(3):
+        write(spark, tmp_path, n, rows[n * 100 : n * 100 + 100] if n < 2 else rows[200:])
+    source = stream(spark, str(tmp_path))
+    events = source.where("trade_id % 5 = 0").select("condition_id", F.col("trade_id").alias("event_id"), F.lit("up").alias("direction"), F.col("price").alias("magnitude"), F.col("ts").alias("event_ts"))
+    trades = source.select("condition_id", F.col("trade_id").alias("transaction_hash"), F.lit(7).alias("wallet"), F.upper("side").alias("side"), F.col("size").alias("usdc_size"), "ts")
+    found = jobs.run_append(jobs.pre_news_join(events, trades).withColumn("task", F.spark_partition_id()), "pre-news").collect()
+    when = {r[3]: r[2] for r in rows if r[2]}
+    day = timedelta(hours=24)
+    want = sorted((e, i) for e in when if e % 5 == 0 for i in when if when[e] - day <= when[i] < when[e])
+    assert sorted((r["event_id"], r["transaction_hash"]) for r in found) == want
+    assert len({r["task"] for r in found}) > 1
