@@ -281,6 +281,45 @@ def test_paths_and_intensity_have_no_hop_limit(spark, monkeypatch):
         graph.shortest_paths(chain.withColumn("weight", -F.col("weight")), start)
 
 
+def best_products(links, origins, floor):
+    """Relaxed one origin after the other."""
+    found = {}
+    for o in origins:
+        best = front = {o: 1.0}
+        while front:
+            made = {}
+            for n, v in front.items():
+                for m, f in links.get(n, []):
+                    if v * f >= floor and v * f > max(best.get(m, 0.0), made.get(m, 0.0)) * (1 + 1e-12):
+                        made[m] = v * f
+            best, front = best | made, made
+        found |= {(o, n): v for n, v in best.items()}
+    return found
+
+
+def test_intensity_of_few_factors_keeps_a_bit_a_pair(spark, monkeypatch):
+    """More origins than a block holds, several cells, shares and kinds, double edges and origins, a loop, nulls; no pair is relaxed on its own."""
+    from oddsmith.operators import floods
+
+    monkeypatch.setattr(floods, "CELL_EDGES", 1500)
+    monkeypatch.setattr(floods, "NODES", 700)
+    monkeypatch.setattr(floods, "BAND", 1)
+    monkeypatch.setattr(graph, "_spread", None)
+    rng = np.random.default_rng(4)
+    ends = rng.integers(0, 2600, size=(3000, 2)).tolist()
+    rows = [(f"n{a}", f"n{b}", (0.7, 0.7 * 0.7, 0.4)[i % 3]) for i, (a, b) in enumerate(ends)]
+    rows += rows[:5] + [("n1", "n1", 0.7), ("n1", None, 0.7), (None, "n2", 0.7), ("n3", "n4", None), ("n3", "n5", 0.01)]
+    links = {}
+    for a, b, f in rows:
+        if a and b and f:
+            links.setdefault(a, []).append((b, f))
+            links.setdefault(b, []).append((a, f))
+    origins = [f"n{i}" for i in range(2300)] + ["n7", "alone"]
+    got = graph.spread_intensity(spark.createDataFrame(rows, "src string, dst string, factor double"), spark.createDataFrame([(o,) for o in origins], "origin string"), floor=0.15).collect()
+    want = best_products(links, set(origins), 0.15)
+    assert len(got) == len(want) and {(r["origin"], r["node"]): r["intensity"] for r in got} == pytest.approx(want)
+
+
 def test_components_raise_when_rounds_end(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(30)], "src long, dst long")
     with pytest.raises(RuntimeError):
