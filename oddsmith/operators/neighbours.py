@@ -8,8 +8,8 @@
    rest of its neighbours can be.
 3. A cell is visited only if it may hold something as near: the distance to its pivot must be within
    the bound of the cell's nearest and farthest member, and the border between the cells not farther than
-   the bound.  A visited block is in memory once, its visitors stream past it, and a block with many
-   visitors is held by several tasks.
+   the bound.  Racks of ``RACK`` blocks are in memory together, so that a visitor is sent once a rack, however
+   many of its blocks it visits; visitors stream past, and a rack with many is held by several tasks.
 4. The best ``k + 1`` entries of all visited blocks remain, cut in each partition before the shuffle.
 
 Only the pivots (at most ``PIVOTS`` vectors) and one row a cell pass through the driver.  Without
@@ -34,12 +34,14 @@ from oddsmith.session import cut_lineage
 PIVOTS = 1024
 #: classes a block holds, about
 BLOCK = 2048
-#: visitors of a block that one task takes, about
+#: blocks held in memory together by a task of the second search
+RACK = 32
+#: visits of a block that make a task, about; a rack takes four times as many
 VISITORS = 1 << 18
 #: distances come from rounded products; a cell is left out only if it is farther by this much
 SLACK = 1e-6
 _CHUNK = 256
-_SLOTS = ["block", "slice", "visitor", "head", "v", "members", "least"]
+_SLOTS = ["rack", "slice", "visitor", "block", "head", "v", "members", "least", "wanted"]
 
 
 def units(column: pa.Array) -> np.ndarray:
@@ -89,33 +91,40 @@ def _compare(fit: tuple, part: pa.RecordBatch, take: int) -> Iterator[pa.RecordB
         )
 
 
+def _fit(parts: list[pa.RecordBatch]) -> tuple:
+    members = pa.concat_arrays([p.column("members") for p in parts])
+    count = members.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = members.flatten()
+    return np.vstack([units(p.column("v")) for p in parts]), np.cumsum(count) - count, count, flat.field("id"), flat.field("label")
+
+
 def _search(rows: DataFrame, take: int) -> DataFrame:
-    """(head, score, id, label) of the visitors of each (block, slice), whose fit rows come first."""
+    """(head, score, id, label) of the visitors of each (rack, slice), whose fit rows come first; ``wanted`` names the blocks to visit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, parts, fit = None, [], None
+        held, parts, fits = None, {}, {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.stack([batch.column(c).to_numpy() for c in ("block", "slice", "visitor")])
+            key = np.stack([batch.column(c).to_numpy() for c in ("rack", "slice", "visitor", "block")])
             cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
-                block, visitor = tuple(key[:2, lo]), key[2, lo]
+                rack, visitor, block = tuple(key[:2, lo]), key[2, lo], key[3, lo]
                 part = batch.slice(lo, hi - lo)
-                if block != held:
-                    held, parts, fit = block, [], None
+                if rack != held:
+                    held, parts, fits = rack, {}, {}
                 if not visitor:
-                    parts.append(part)
+                    parts.setdefault(block, []).append(part)
                     continue
-                if fit is None:
-                    members = pa.concat_arrays([p.column("members") for p in parts])
-                    count = members.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                    flat = members.flatten()
-                    fit = (np.vstack([units(p.column("v")) for p in parts]), np.cumsum(count) - count, count, flat.field("id"), flat.field("label"))
-                    parts = []
-                yield from _compare(fit, part, take)
-
-    spread = rows.repartition("block", "slice").sortWithinPartitions("block", "slice", "visitor")
+                wanted = part.column("wanted")
+                row = np.repeat(np.arange(part.num_rows), wanted.value_lengths().to_numpy(zero_copy_only=False))
+                blocks = wanted.flatten().to_numpy()
+                for block in np.unique(blocks):
+                    if block not in fits:
+                        fits[block] = _fit(parts.pop(block))
+                    yield from _compare(fits[block], part.take(pa.array(row[blocks == block])), take)
+
+    spread = rows.repartition("rack", "slice").sortWithinPartitions("rack", "slice", "visitor", "block")
     members = rows.schema["members"].dataType.elementType
     return spread.mapInArrow(run, f"head long, score double, id long, label {members['label'].dataType.simpleString()}")
 
@@ -139,19 +148,25 @@ def _trips(home: DataFrame, held: DataFrame, own: DataFrame, cells: dict, parts:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("head", "v", "least", "block")), lists], names=["head", "v", "least", "home", "cells"])
 
     located = home.select("head", "v", "cell", "block").join(bounds, "head")
-    trips = cut_lineage(located.select("head", "v", "least", "cell", "block").mapInArrow(visits, "head long, v array<double>, least double, home int, cells array<int>"))
-    asked = {r["cell"]: -(-r["count"] // visitors) for r in trips.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()}
-    slices = _of_cell(asked, number)
-    calls = trips.select("head", "v", "least", "home", F.explode("cells").alias("cell"))
-    start = _of_cell(starts, number)
-    calls = calls.withColumn("block", F.explode(F.sequence(start, start + _of_cell(parts, number) - 1))).where("block <> home")
-    calls = calls.withColumn("slice", F.pmod(F.xxhash64("head"), slices).cast("int")).withColumn("visitor", F.lit(1)).withColumn("members", F.lit(None).cast(held.schema["members"].dataType))
-    shown = held.where(slices > 0).withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+    trips = cut_lineage(located.select("head", "v", "least", "cell", "block").mapInArrow(visits, f"head long, v {held.schema['v'].dataType.simpleString()}, least double, home int, cells array<int>"))
+    # the blocks a class visits, but its own, by rack
+    first, last = (F.lit([int(f(c)) for c in range(number)]) for f in (lambda c: starts.get(c, 0), lambda c: starts.get(c, 0) + parts.get(c, 1) - 1))
+    blocks = F.flatten(F.transform("cells", lambda c: F.sequence(F.element_at(first, c + 1), F.element_at(last, c + 1))))
+    blocks = F.filter(blocks, lambda b: b != F.col("home"))
+    calls = trips.select("head", "v", "least", blocks.alias("blocks"))
+    calls = calls.withColumn("rack", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.floor(b / RACK).cast("int")))))
+    calls = calls.withColumn("wanted", F.filter("blocks", lambda b: F.floor(b / RACK) == F.col("rack")))
+    # a task takes four times the visits that one block gets, so that copies of a rack stay few
+    asked = {r["rack"]: -(-r["visits"] // (4 * visitors)) for r in calls.groupBy("rack").agg(F.sum(F.size("wanted")).alias("visits")).collect()}
+    slices = lambda rack: F.element_at(F.lit([int(asked.get(r, 0)) for r in range(sum(parts.values()) // RACK + 1)]), rack + 1)
+    calls = calls.withColumn("slice", F.pmod(F.xxhash64("head"), slices(F.col("rack"))).cast("int")).withColumns({"visitor": F.lit(1), "block": F.lit(-1), "members": F.lit(None).cast(held.schema["members"].dataType)})
+    shown = held.withColumn("rack", F.floor(F.col("block") / RACK).cast("int"))
+    shown = shown.where(slices(F.col("rack")) > 0).withColumn("slice", F.explode(F.sequence(F.lit(0), slices(F.col("rack")) - 1)))
     return shown.select(*_SLOTS).union(calls.select(*_SLOTS))
 
 
 def nearest_neighbours(rows: DataFrame, k: int, block: int = BLOCK, pivots: int = PIVOTS, visitors: int = VISITORS) -> DataFrame:
-    """(id, label, neighbours) of ``rows`` (id long, v array of double, label): the k other rows of greatest cosine, exactly.
+    """(id, label, neighbours) of ``rows`` (id long, v array of float or double, label): the k other rows of greatest cosine, exactly.
 
     ``neighbours`` is an array of (score, id, label), best first; scores are rounded to 12 places and ties
     go to the smaller id.  Ids are unique and vectors of one length.  Rows whose vector is null, or holds a
@@ -184,12 +199,13 @@ def nearest_neighbours(rows: DataFrame, k: int, block: int = BLOCK, pivots: int
     starts = dict(zip(sorted(parts), np.cumsum([0, *[parts[c] for c in sorted(parts)]])))
     number = len(points)
     home = placed.withColumn("block", _of_cell(starts, number) + F.pmod(F.xxhash64("c1", "c2"), _of_cell(parts, number)).cast("int"))
-    held = home.select("cell", "block", F.lit(0).alias("visitor"), "head", "v", "members", F.lit(0.0).alias("least"))
+    held = home.select("cell", "block", F.lit(0).alias("visitor"), "head", "v", "members", F.lit(0.0).alias("least"), F.lit(None).cast("array<int>").alias("wanted"))
     no_members = F.lit(None).cast(held.schema["members"].dataType)
 
-    guests = home.select("block", F.lit(0).alias("slice"), F.lit(1).alias("visitor"), "head", "v", no_members.alias("members"), F.lit(float("-inf")).alias("least"))
+    alone = {"rack": F.col("block"), "slice": F.lit(0)}
+    guests = home.select("block", F.lit(1).alias("visitor"), "head", "v", no_members.alias("members"), F.lit(float("-inf")).alias("least"), F.array("block").alias("wanted"))
     best = [F.col("score").desc(), F.col("id")]
-    own = cut_lineage(limit_by(_search(held.withColumn("slice", F.lit(0)).select(*_SLOTS).union(guests.select(*_SLOTS)), take), ["head"], best, take))
+    own = cut_lineage(limit_by(_search(held.withColumns(alone).select(*_SLOTS).union(guests.withColumns(alone).select(*_SLOTS)), take), ["head"], best, take))
 
     if sum(parts.values()) > 1:
         own = own.unionByName(_search(_trips(home, held, own, cells, parts, starts, points, take, visitors), take))

@@ -10,6 +10,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from oddsmith.operators.gram import correlation, covariance, logistic_fits, logistic_hits, moments
 from oddsmith.operators.neighbours import nearest_neighbours
@@ -207,7 +208,9 @@ def neighbour_label_accuracy(df: DataFrame, key: str, vector: str, label: str, k
     Neighbours come from all labelled rows, exactly; ties go to the smaller key.  A row without any other
     has a share of 0.
     """
-    rows = df.where(F.col(label).isNotNull()).select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.col(label).cast("long").alias("label"))
+    # floats stay floats: half the bytes in every exchange, and the search computes in doubles either way
+    single = df.schema[vector].dataType == ArrayType(FloatType())
+    rows = df.where(F.col(label).isNotNull()).select(F.col(key).cast("long").alias("id"), (F.col(vector) if single else F.transform(vector, lambda x: x.cast("double"))).alias("v"), F.col(label).cast("long").alias("label"))
     near = F.col("neighbours")
     same = F.size(F.filter(near, lambda e: e["label"] == F.col("label"))) / F.nullif(F.size(near), F.lit(0))
     vote = nearest_neighbours(rows, k).select(F.coalesce(same, F.lit(0.0)).alias("same"))

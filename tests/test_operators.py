@@ -383,6 +383,22 @@ def test_nearest_neighbours(spark, k, block, pivots, visitors):
     assert found == nearest_by_hand(rows, k)
 
 
+def test_a_visitor_is_sent_once_a_rack(spark, monkeypatch):
+    """Vectors without structure visit all blocks: rows sent grow with the racks, not with the blocks; floats stay floats."""
+    sent = []
+    search = neighbours._search
+    monkeypatch.setattr(neighbours, "RACK", 4)
+    monkeypatch.setattr(neighbours, "_search", lambda rows, take: sent.append(rows) or search(rows, take))
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(rng.normal(size=(240, 12)).astype(np.float32))]
+    df = spark.createDataFrame(rows, "id long, v array<float>, label long")
+    found = {r["id"]: (r["label"], [(e["id"], e["label"]) for e in r["neighbours"]]) for r in neighbours.nearest_neighbours(df, 3, 16, 15).collect()}
+    assert found == nearest_by_hand([(i, np.array(v), label) for i, v, label in rows], 3)
+    blocks = sent[1].where("visitor = 0").select("block").distinct().count()
+    racks = -(-blocks // 4)
+    assert blocks > 8 and sent[1].where("visitor = 1").count() <= 240 * (racks + 1) and sent[1].schema["v"].dataType.elementType.simpleString() == "float"
+
+
 def test_nearest_neighbours_defined_cases(spark):
     schema = "id long, v array<double>, label string"
     run = lambda rows: {r["id"]: [(e["score"], e["id"], e["label"]) for e in r["neighbours"]] for r in neighbours.nearest_neighbours(spark.createDataFrame(rows, schema), 2).collect()}
