@@ -351,6 +351,26 @@ def test_earlier_medians_of_a_hot_key(spark):
     assert none == []
 
 
+def test_earlier_medians_in_cells(spark, monkeypatch):
+    """Keys over several cells, several keys in a cell, many rows of one value; the number of exchanges doesn't grow with the values."""
+    from oddsmith.operators import order_statistics
+
+    rng = random.Random(6)
+    rows = [(f"k{min(rng.randrange(12), 6)}", rng.randrange(-500, 700), rng.choice([rng.gauss(0, 50), 7.0])) for _ in range(3000)]
+    frame = spark.createDataFrame(rows, "k string, d int, v double")
+    cuts = []
+    real = order_statistics.cut_lineage
+    monkeypatch.setattr(order_statistics, "cut_lineage", lambda df: cuts.append(df) or real(df))
+    for points, least in ((40, 1), (1000, 3)):
+        monkeypatch.setattr(order_statistics, "POINTS", points)
+        cuts.clear()
+        got = {(r["k"], r["d"]): (r["earlier"], r["median"]) for r in order_statistics.earlier_medians(frame, ["k"], "d", "v", least).collect()}
+        assert len(cuts) == 4 and set(got) == {(k, d) for k, d, _ in rows}
+        for k, d in got:
+            past = [v for j, e, v in rows if j == k and e < d]
+            assert got[k, d][0] == len(past) and got[k, d][1] == (pytest.approx(statistics.median(past)) if len(past) >= least else None)
+
+
 def nearest_by_hand(rows, k):
     found = {}
     units = {i: v / (np.linalg.norm(v) or 1.0) for i, v, _ in rows}

@@ -337,6 +337,23 @@ def test_history_has_no_leak(spark):
     assert got[0]["prior_lots"] is None and got[1]["prior_lots"] == pytest.approx(math.log1p(1)) and got[4]["avg_log_price"] is None
 
 
+def test_history_sends_the_lots_through_one_join(spark):
+    """A lot without a day only has its artist's number of lots, one without an artist falls out; the wide rows meet one join."""
+    rows = [("x", T0 + timedelta(days=d), 10.0 + d, d) for d in range(6)] + [("x", None, 5.0, 6), (None, T0, 5.0, 7), ("y", None, 5.0, 8)]
+    found = W.artist_history(spark.createDataFrame(rows, "artist string, sale_date timestamp, price double, lot_id int"))
+    got = {r["lot_id"]: r for r in found.collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 5, 6, 8} and {i: got[i]["artist_lot_count"] for i in (0, 6, 8)} == {0: 7, 6: 7, 8: 1}
+    assert got[6]["prior_lots"] is None and got[6]["avg_log_price"] is None and got[8]["is_rare_artist"] == 1 and got[5]["median_log_price"] == pytest.approx(math.log(12))
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if line.lstrip(" :+-").startswith("Join")]
+    lots_side = [line for line in joins if "_artist" in line or "<=>" in line]
+    assert joins[0] in lots_side and len(lots_side) == 1
+
+
+def test_wide_projections_are_generated_in_short_methods(spark):
+    """HotSpot leaves methods above 8,000 bytes interpreted."""
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
 def test_tables_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("c", "t", "Yes", 0.4, 10.0, "buy", str(i), T0 + timedelta(days=20 * i)) for i in range(6)],
                                "condition_id string, token_id string, outcome string, price double, size double, side string, trade_id string, timestamp timestamp")
