@@ -385,3 +385,17 @@ def test_links_are_distinct_without_a_shuffle_of_links(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 10), (1, 11), (1, 13), (2, 13), (None, 10), (None, 13)], key=str)
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert "Aggregate" not in plan[:plan.index("Join")]
+
+
+def test_markets_of_an_entity_are_joined_in_packs(spark):
+    """Ids are unpacked above the join, which sees a few rows a set of entities, and every link comes once."""
+    from oddsmith.plans import news
+
+    articles = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["b"]) for i in range(5)], "article_id long, entities array<string>")
+    markets = spark.createDataFrame([("b" if i % 3 else "a", i) for i in range(1500)] + [("b", None), ("a", 1)], "entity string, condition_id long")
+    got = news.link_markets(articles, markets)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan[:plan.index("Join")].count("Generate") == 2
+    has = [("b" if i % 3 else "a", i) for i in range(1500)] + [("b", None), ("a", 1)]
+    want = {(i, m) for i in range(5) for e, m in has if e == "b" or i % 2}
+    assert got.columns == ["article_id", "condition_id"] and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
