@@ -162,6 +162,60 @@ def test_pairs_are_added_up_in_their_cells(spark, monkeypatch):
     assert want and {(r["a"], r["b"]): tuple(r[2:]) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("hot, least", [(0.0, None), (2.0, None), (0.25, 0.35)])
+def test_wallet_pairs_by_matrices_and_by_joins(spark, monkeypatch, hot, least):
+    """Common markets as columns of matrices or joined row by row, trades close in time counted in the cells: the pairs of a plain loop."""
+    from oddsmith.plans import wallets
+
+    monkeypatch.setattr(pairs, "HOT", hot)
+    monkeypatch.setattr(pairs, "BLOCK", 7)
+    monkeypatch.setattr(pairs, "_blocks", lambda members: 3)
+    rng = random.Random(8)
+    rows = [(rng.randrange(25), rng.randrange(9) if rng.random() < 0.95 else None, rng.choice(["BUY", "SELL", "SELL", ""]), rng.choice([None, 0.0, -3.0, 1.0, 2.5, 40.0]),
+             at(rng.randrange(4000)), "TRADE", i) for i in range(600)]
+    rows += [(None, 1, "BUY", 1.0, at(5), "TRADE", 900), (3, 1, "BUY", 1.0, None, "TRADE", 901)]
+    activity = spark.createDataFrame(rows, "wallet long, condition_id long, side string, usdc_size double, ts timestamp, activity_type string, transaction_hash long")
+    weights = wallets.GROUP_WEIGHTS if least else None
+    found = wallets.wallet_pairs(activity, F.lit(at(5000)), 86400, 90, weights=weights, least=least)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r["a"], r["b"]): tuple(r[2:]) for r in found.collect()}
+    trades = defaultdict(lambda: defaultdict(list))
+    for w, k, side, usd, ts, _, tx in rows:
+        if None not in (w, k, ts) and side:
+            trades[w][k].append((ts, tx, side, usd))
+    volume = defaultdict(float)
+    for w, _, side, usd, ts, _, _ in rows:
+        if ts and side:
+            volume[w] += usd or 0.0
+    want = {}
+    for a in trades:
+        for b in trades:
+            common = trades[a].keys() & trades[b].keys()
+            if not a < b or len(common) < 3:
+                continue
+            last = [(max(trades[a][k])[2:], max(trades[b][k])[2:]) for k in common]
+            high = [(x[1], y[1]) for x, y in last if max([v for v in (x[1], y[1]) if v is not None], default=0) > 0]
+            ratios = [1.0 if None in h else min(h) / max(h) for h in high]
+            near = sum(abs((x[0] - y[0]).total_seconds()) <= 90 for k in common for x in trades[a][k] for y in trades[b][k])
+            crossed = sum(len(trades[a][k]) * len(trades[b][k]) for k in common)
+            parts = (len(common) / (len(trades[a]) + len(trades[b]) - len(common)), sum(x[0] == y[0] for x, y in last) / len(common), near / crossed, sum(ratios) / len(ratios) if ratios else 0.0)
+            if not least or sum(v * w for v, w in zip(parts, weights.values())) >= least:
+                want[a, b] = (len(common), *parts, volume[a] + volume[b])
+    assert want.keys() == got.keys() and len(want) > 50
+    for pair, numbers in want.items():
+        assert got[pair] == pytest.approx(numbers), pair
+
+
+def test_suspicion_of_groups_without_a_shuffle_of_groups(spark):
+    from oddsmith.plans import wallets
+
+    groups = spark.createDataFrame([(1, 2, "g"), (1, 3, "h"), (4, 5, "i"), (1, 2, "g")], "a long, b long, group_id string")
+    profiles = spark.createDataFrame([(1, 10.0), (2, 30.0), (3, None), (None, 7.0)], "wallet long, suspicion double")
+    got = wallets.flag_groups(groups, profiles)
+    assert sorted(map(tuple, got.select("group_id", "avg_suspicion").collect())) == [("g", 20.0), ("g", 20.0), ("h", 5.0), ("i", 0.0)]
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().sparkPlan().toString() and got._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 2
+
+
 def test_latest_version_and_limit_by(events):
     got = {r["k"]: r["id"] for r in versions.latest_version(events, ["k"], ["ts", "id"]).collect()}
     want = {}

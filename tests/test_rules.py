@@ -399,3 +399,15 @@ def test_markets_of_an_entity_are_joined_in_packs(spark):
     has = [("b" if i % 3 else "a", i) for i in range(1500)] + [("b", None), ("a", 1)]
     want = {(i, m) for i in range(5) for e, m in has if e == "b" or i % 2}
     assert got.columns == ["article_id", "condition_id"] and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_rounding_is_that_of_decimals(spark):
+    from oddsmith.catalog.registry import _round
+
+    rng = np.random.default_rng(2)
+    odd = [0.0, -0.0, 0.5e-6, 1.5e-6, -2.5e-6, 1.0000005, 2.0000015, 1e300, -1e12, 1234567.8912345, float("nan"), float("inf"), -float("inf"), None]
+    values = odd + list(rng.normal(size=3000)) + list(rng.normal(size=1000) * 1e7) + list(np.arange(2000) / 2e6) + list(np.arange(500) * 0.0000005 + 17)
+    df = spark.createDataFrame([(float(v) if v is not None else None,) for v in values], "x double")
+    for digits in (6, 9):
+        off = df.select(_round(F.col("x"), digits).alias("got"), F.round("x", digits).alias("want")).where("NOT (got <=> want)")
+        assert off.count() == 0
